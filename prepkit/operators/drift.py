@@ -10,10 +10,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prepkit.functions.columns import aggregate_rows, local_rows, number, numeric_columns, quoted
+from prepkit.functions.folds import COUNT_SCHEMA, bin_counter, right_closed
 from prepkit.operators.quantiles import linear_quantiles
 
 WARN_AT = 0.10
@@ -122,23 +124,32 @@ def bin_index(x: Column, edges: Sequence[float]) -> Column:
     for e in edges[2:-1]:
         under = under + (x > F.lit(e)).cast("int")
     inside = under + 1 if len(edges) > 2 else F.lit(1)
-    return F.when(x.isNull(), F.lit(None).cast("int")).when(
+    return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("int")).when(
         (x >= F.lit(edges[0])) & (x <= F.lit(edges[-1])), inside).otherwise(F.lit(0))
 
 
-def _binned(df: DataFrame, plan: PsiPlan, clips: dict, current: int) -> DataFrame:
-    entries = [F.struct(F.lit(c).alias("feature"),
-                        bin_index(_clipped(number(df, c), clips[c]), plan.edges[c]).alias("bin"))
-               for c in plan.edges]
-    return df.select(F.inline(F.array(*entries))).withColumn("side", F.lit(current))
+def _side_counts(df: DataFrame, plan: PsiPlan, clips: dict, side: str) -> DataFrame:
+    def place(c: str):
+        lo, hi = clips.get(c, (None, None))
+        inner = right_closed(plan.edges[c])
+        if lo is None and hi is None:
+            return inner
+        return lambda v: inner(np.clip(v, lo, hi))
+
+    cols = list(plan.edges)
+    values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    counts = values.mapInArrow(bin_counter([place(c) for c in cols]), COUNT_SCHEMA)
+    return counts.select(F.array(*map(F.lit, cols))[F.col("col")].alias("feature"),
+                         F.when(F.col("bin") >= 0, F.col("bin")).alias("bin"),
+                         F.col("n").alias(side))
 
 
 def bin_counts(base: DataFrame, curr: DataFrame, plan: PsiPlan) -> DataFrame:
     """(feature, bin, n_base, n_curr) over every bin value met, NULL and 0 (outside) included."""
-    both = (_binned(base, plan, plan.base_clip, 0)
-            .unionByName(_binned(curr, plan, plan.curr_clip, 1)))
-    return both.groupBy("feature", "bin").agg(
-        F.count_if(F.col("side") == 0).alias("n_base"), F.count_if(F.col("side") == 1).alias("n_curr"))
+    nothing = F.lit(0).cast("bigint")
+    both = (_side_counts(base, plan, plan.base_clip, "n_base").withColumn("n_curr", nothing)
+            .unionByName(_side_counts(curr, plan, plan.curr_clip, "n_curr").withColumn("n_base", nothing)))
+    return both.groupBy("feature", "bin").agg(F.sum("n_base").alias("n_base"), F.sum("n_curr").alias("n_curr"))
 
 
 def _slots(spark, plan: PsiPlan) -> DataFrame:
