@@ -93,8 +93,8 @@ def nearest_neighbours(points: DataFrame, key: str, features: str, k: int = 5,
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"id": [], "neighbour": [], "distance": []}
         if len(left) and len(right):
-            q, t = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            qi, ti = left["id"].to_numpy(), right["id"].to_numpy()
+            q, t = np.stack(left["v"].to_numpy()), np.stack(right["t_v"].to_numpy())
+            qi, ti = left["id"].to_numpy(), right["t_id"].to_numpy()
             for lo in range(0, len(q), 512):
                 d = np.sqrt(((q[lo:lo + 512, None, :] - t[None]) ** 2).sum(-1))
                 d[qi[lo:lo + 512, None] == ti[None]] = np.inf
@@ -117,7 +117,8 @@ def nearest_neighbours(points: DataFrame, key: str, features: str, k: int = 5,
                  .withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), per_cell(blocks).cast("bigint") - 1))))
         held = (target.filter(F.col("cell").isin(list(chunks)))
                 .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), per_cell(chunks).cast("bigint") - 1))))
-        return (asked.groupBy("cell", "block", "chunk").cogroup(held.groupBy("cell", "block", "chunk"))
+        held = held.select(*[F.col(c).alias(f"t_{c}") for c in ("id", "v", "cell", "block", "chunk")])
+        return (asked.groupBy("cell", "block", "chunk").cogroup(held.groupBy("t_cell", "t_block", "t_chunk"))
                 .applyInPandas(nearest, "id bigint, neighbour bigint, distance double"))
 
     def best(found: DataFrame) -> DataFrame:
