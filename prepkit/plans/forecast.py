@@ -33,6 +33,7 @@ YEARLY_TERMS, WEEKLY_TERMS, DAILY_TERMS = 10, 3, 4
 TUNED_SCALES = (0.02, 0.05, 0.1)
 NOISE = 0.05  # assumed noise of the scaled series; sets the ridge strength against the prior scales
 SEASONAL_SCALE = 10.0
+HINGE_RIDGE = 0.5  # slope changes are kept small unless the data insist
 FLUSH_SERIES = 256
 
 
@@ -74,7 +75,7 @@ def _design(t: np.ndarray, days: np.ndarray, use: np.ndarray, extra: np.ndarray)
 def _penalty(scale: float, width: int) -> np.ndarray:
     lam = np.full(width, (NOISE / SEASONAL_SCALE) ** 2)
     lam[0] = lam[1] = (NOISE / 5.0) ** 2
-    lam[2:TREND] = (NOISE / scale) ** 2
+    lam[2:TREND] = HINGE_RIDGE / scale
     return lam
 
 
