@@ -178,9 +178,21 @@ def fill_values(df: DataFrame, cols: Sequence[str], how: str, constant: float =
     if how == "constant":
         return {c: constant for c in cols}
     if how == "median":
-        return {c: v[0] for c, v in linear_quantiles(df, cols, [0.5]).items()}
-    row = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[i] for i, c in enumerate(cols)}
+        fills = {c: v[0] for c, v in linear_quantiles(df, cols, [0.5]).items()}
+    else:
+        row = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        fills = {c: row[i] for i, c in enumerate(cols)}
+    return _without_needless(df, fills)
+
+
+def _without_needless(df: DataFrame, fills: dict[str, float | None]) -> dict[str, float | None]:
+    """A whole-number column with nothing missing needs no fractional fill and so keeps its type."""
+    odd = [c for c, v in fills.items() if v is not None and not float(v).is_integer() and not is_floating(df.schema[c].dataType)]
+    if not odd:
+        return fills
+    row = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(odd)]).first()
+    full = {c for i, c in enumerate(odd) if not row[i]}
+    return {c: v for c, v in fills.items() if c not in full}
 
 
 def fill_numeric(df: DataFrame, fills: dict[str, float | None]) -> DataFrame:
