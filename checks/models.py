@@ -171,7 +171,7 @@ def shapley(spark, d):
 
 
 def run_train_job(spark, d):
-    out = train_job(spark, f"{d}/part.parquet", "p_retailprice", "p_partkey", scratch(spark), trials=1, folds=2,
+    out = train_job(spark, f"{d}/labels.parquet", "toxic", "doc_id", scratch(spark), trials=1, folds=2,
                     rounds=(2, 3), final_trees=3)
     return out.select("problem_type", "metric_name", "best_score")
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prepkit.functions.columns import local_rows
 from prepkit.operators.ordering import RANGE, running_sums, with_range
 from prepkit.operators.quantiles import linear_quantiles
 
@@ -26,6 +27,9 @@ def threshold_scores(df: DataFrame, label: str, score: str) -> DataFrame:
     """
     found = linear_quantiles(df, [score], THRESHOLD_QUANTILES)[score]
     cuts = sorted({v for v in found if v is not None})
+    if not cuts:
+        return local_rows(df.sparkSession, [], "threshold double, tp bigint, fp bigint, fn bigint, tn bigint, f1 double, "
+                                               "accuracy double, youden double")
     reached = F.lit(0)
     for t in cuts:
         reached = reached + (F.col(score) >= F.lit(t)).cast("int")
@@ -78,7 +82,7 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
     hit = F.col(pred) == 1 if pred else F.col(score) >= F.lit(threshold)
     counts = df.agg(F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"),
                     F.count_if(y & ~hit).alias("fn"), F.count_if(y == hit).alias("right"), F.count("*").alias("t"))
-    base = counts.select((F.col("right") / F.col("t")).alias("accuracy"),
+    base = counts.select(F.try_divide(F.col("right"), F.col("t")).alias("accuracy"),
                          _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"), F.lit(1).alias("_one"))
     curve = ranking_metrics(df, y, score).withColumn("_one", F.lit(1))
     return base.join(curve, "_one").select("accuracy", "f1", "roc_auc", "pr_auc")
@@ -100,8 +104,8 @@ def multiclass_metrics(df: DataFrame, label: str, scores: str, pred: str | None
                  F.lit(0).cast("bigint").alias("real"), F.col("n").alias("said")))))
     per = sides.groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("real").alias("real"), F.sum("said").alias("said"))
     f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.col("tp"), F.col("real") + F.col("said")), F.lit(0.0))
-    flat = per.agg((F.sum("tp") / F.sum("real")).alias("accuracy"),
-                   (F.sum(f1 * F.col("real")) / F.sum("real")).alias("f1_weighted"), F.lit(1).alias("_one"))
+    flat = per.agg(F.try_divide(F.sum("tp"), F.sum("real")).alias("accuracy"),
+                   F.try_divide(F.sum(f1 * F.col("real")), F.sum("real")).alias("f1_weighted"), F.lit(1).alias("_one"))
     each = base.select("y", F.posexplode("s").alias("c", "score"))
     curve = (ranking_metrics(each, F.col("y") == F.col("c"), "score", ["c"])
              .agg(F.avg("roc_auc").alias("roc_auc_ovr"), F.avg("pr_auc").alias("pr_auc_macro"), F.lit(1).alias("_one")))

@@ -219,8 +219,9 @@ def numeric_signals(df: DataFrame, target: str) -> DataFrame:
         "n": lambda c: F.count(pair(c)[0]),
         "vx": lambda c: F.var_pop(pair(c)[0]),
         "vy": lambda c: F.var_pop(pair(c)[1]),
-        "r": lambda c: F.corr(*pair(c))})
-    return out.filter("n >= 3 AND vx > 1e-12 AND vy > 1e-12").select("feature", F.abs("r").alias("score"))
+        "cov": lambda c: F.covar_pop(*pair(c))})
+    r = F.col("cov") / F.sqrt(F.nullif(F.col("vx") * F.col("vy"), F.lit(0.0)))
+    return out.filter("n >= 3 AND vx > 1e-12 AND vy > 1e-12").select("feature", F.abs(r).alias("score"))
 
 
 def variance_signals(df: DataFrame) -> DataFrame:

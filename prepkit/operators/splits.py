@@ -166,13 +166,13 @@ def oversample_minority(df: DataFrame, key: str, label: str, features: str, k: i
             continue
         need = top - n
         members = out.filter(F.col(label).eqNullSafe(F.lit(y)) & F.col(key).isNotNull())
-        near = nearest_neighbours(members, key, features, k).groupBy("id").agg(
+        near = nearest_neighbours(members, key, features, k).groupBy(F.col("id").alias("_of")).agg(
             F.map_from_entries(F.collect_list(F.struct("rank", "neighbour"))).alias("near"))
         ranked = hash_ranks(members, [], [key], seed)
         copies = F.lit(need // n) + (F.col("_rank") <= need % n).cast("int")
         drawn = (ranked.withColumn("_copies", copies).filter("_copies > 0")
                  .withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-                 .join(near, F.col(key) == F.col("id"), "left"))
+                 .join(near, F.col(key) == F.col("_of"), "left"))
         pick = (F.floor(hash_unit([key, "_i"], f"{seed}n") * F.size("near")) + 1).cast("int")
         drawn = drawn.select(F.col(label), F.col(features).alias("_a"), F.coalesce(F.col("near")[pick], F.col(key)).alias("_b_id"),
                              hash_unit([key, "_i"], f"{seed}u").alias("_u"))

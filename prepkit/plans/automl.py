@@ -47,7 +47,7 @@ from prepkit.operators.profile import infer_problem_type, label_codes
 from prepkit.operators.splits import fold_assign, oversample_minority, stratified_split
 
 MAX_ONE_HOT = 1000
-HASHED_WIDTH = 1 << 16
+HASHED_WIDTH = 1 << 10
 
 
 # --- preprocessing -------------------------------------------------------------------------

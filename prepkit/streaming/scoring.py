@@ -16,8 +16,8 @@ def chunk_writer(scored: DataFrame, path: str, checkpoint: str, order: str, show
     """One NDJSON line per micro-batch: {chunk, n, sample_pred}. Few predictions are ever gathered."""
     def each(batch: DataFrame, epoch: int) -> None:
         first = batch.orderBy(order).limit(shown).agg(F.sort_array(F.collect_list(F.struct(order, "prediction"))).alias("h"))
-        line = batch.agg(F.count("*").alias("n")).select(
-            F.lit(epoch).alias("chunk"), "n", F.transform(first.scalar(), lambda x: x["prediction"]).alias("sample_pred"))
+        line = batch.agg(F.count("*").alias("n")).withColumn("h", first.scalar()).select(
+            F.lit(epoch).alias("chunk"), "n", F.col("h.prediction").alias("sample_pred"))
         line.select(F.to_json(F.struct("chunk", "n", "sample_pred")).alias("value")).write.mode("append").text(path)
 
     return scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
