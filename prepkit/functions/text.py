@@ -50,7 +50,7 @@ DAY_FIRST = (
 
 
 _LONGEST_DATE = 40
-_DATE_START = r"^(\d{1,4}[-/. :]|\d{4}|[A-Za-z]{3} \d)"
+_DATE_START = r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{4}$|\d{8}$|\d{4}-\d{2}$|\d{1,2} [A-Za-z]{3} \d{4}$|[A-Za-z]{3} \d{1,2}, \d{4}$)"
 
 # Number text holds nothing but these; other text fails at its first foreign letter.
 _NUMBER_SHAPE = r"^[-+().,' \u00A0\deE]+$|^(?i)[-+]?inf(inity)?$"

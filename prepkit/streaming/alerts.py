@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from prepkit.functions.sizing import bucket_count
 from prepkit.operators.ordering import RANGE, as_number, with_range
 
 
@@ -38,18 +39,49 @@ def _entry_table(ts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return steps
 
 
+HOT_ROWS = 1_000_000
+
+
 def suppress_repeats(df: DataFrame, signature: Sequence[str], ts: str, window_seconds: int = 300,
-                     parts: int | None = None) -> DataFrame:
+                     parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Batch form: keeps (signature, ts) rows; of equal timestamps one row is kept.
 
-    Times are deduplicated per signature first. A very frequent signature is cut into time ranges:
-    each range says how it maps the entry state to the exit state, the short list of ranges is folded
-    per signature, and every range then walks its own chain. No task holds a whole hot signature.
+    Ordinary signatures are sorted inside their partition and folded batch by batch with one value of
+    state, so no group is ever held. In a large table the signatures with more than ``hot_rows`` rows
+    are taken out and folded range by range over many tasks instead.
     """
-    window = window_seconds * 1_000_000
-    keys = list(signature)
-    times = df.select(*keys, F.col(ts), as_number(df, ts).cast("bigint").alias("_t")).groupBy(*keys, "_t").agg(F.min(ts).alias(ts))
-    ranged, n = with_range(times, ts, parts)
+    keys, window = list(signature), window_seconds * 1_000_000
+    base = df.select(*keys, F.col(ts), as_number(df, ts).cast("bigint").alias("_t"))
+    n = bucket_count(df) if parts is None else parts
+    if n == 1:
+        return _fold_sorted(base, keys, ts, window)
+    hot = base.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
+    cold = _fold_sorted(base.join(hot, keys, "left_anti"), keys, ts, window)
+    return cold.unionByName(_fold_ranges(base.join(hot, keys, "left_semi"), keys, ts, window, n))
+
+
+def _fold_sorted(base: DataFrame, keys: list[str], ts: str, window: int) -> DataFrame:
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, 0
+        for pdf in batches:
+            keep = np.zeros(len(pdf), dtype=bool)
+            for i, (k, t) in enumerate(zip(pdf["_k"].tolist(), pdf["_t"].tolist())):
+                if k != last_key or t - last >= window:
+                    keep[i], last_key, last = True, k, t
+            yield pdf.loc[keep, [*keys, ts]]
+
+    fields = ", ".join(f"`{k}` {t}" for k, t in base.select(*keys, ts).dtypes)
+    ordered = (base.withColumn("_k", F.to_json(F.struct(*keys))).repartition(*keys).sortWithinPartitions("_k", "_t"))
+    return ordered.mapInPandas(fold, fields)
+
+
+def _fold_ranges(base: DataFrame, keys: list[str], ts: str, window: int, parts: int) -> DataFrame:
+    """Each time range says how it maps the entry state to the exit state, the short list of ranges is
+    folded per signature, and every range then walks its own chain from the state it is entered with.
+    Times are deduplicated first, inside map tasks.
+    """
+    times = base.groupBy(*keys, "_t").agg(F.min(ts).alias(ts))
+    ranged, _ = with_range(times, ts, parts)
     fields = ", ".join(f"`{k}` {t}" for k, t in times.select(*keys).dtypes)
     names = [*keys, RANGE]
 
@@ -59,33 +91,28 @@ def suppress_repeats(df: DataFrame, signature: Sequence[str], ts: str, window_se
         start = int(np.searchsorted(t, pdf["_entry"].iloc[0], side="left"))
         return pdf.iloc[_chain(t, start, window)][[*keys, "_t"]]
 
-    if n == 1:
-        entered = ranged.withColumn("_entry", F.lit(-(1 << 62)))
-    else:
-        def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-            steps = _entry_table(np.sort(pdf["_t"].to_numpy()), window)
-            out = pd.DataFrame(steps, columns=["upto", "leave"])
-            for k in names:
-                out[k] = pdf[k].iloc[0]
-            return out[[*names, "upto", "leave"]]
-
-        tables = ranged.groupBy(*names).applyInPandas(summarise, f"{fields}, {RANGE} int, upto bigint, leave bigint")
-
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows, entry = [], -(1 << 62)
-            for r, piece in pdf.sort_values([RANGE, "upto"]).groupby(RANGE, sort=True):
-                rows.append((r, entry))
-                ahead = piece[piece["upto"] >= entry]
-                if len(ahead):
-                    entry = int(ahead["leave"].iloc[0]) + window
-            out = pd.DataFrame(rows, columns=[RANGE, "_entry"])
-            for k in keys:
-                out[k] = pdf[k].iloc[0]
-            return out[[*keys, RANGE, "_entry"]]
-
-        entries = tables.groupBy(*keys).applyInPandas(fold, f"{fields}, {RANGE} int, _entry bigint")
-        entered = ranged.join(entries, names)
-    kept = entered.select(*keys, RANGE, "_t", "_entry").groupBy(*names).applyInPandas(walk, f"{fields}, _t bigint")
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_entry_table(np.sort(pdf["_t"].to_numpy()), window), columns=["upto", "leave"])
+        for k in names:
+            out[k] = pdf[k].iloc[0]
+        return out[[*names, "upto", "leave"]]
+
+    def chain_ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, entry = [], -(1 << 62)
+        for r, piece in pdf.sort_values([RANGE, "upto"]).groupby(RANGE, sort=True):
+            rows.append((r, entry))
+            ahead = piece[piece["upto"] >= entry]
+            if len(ahead):
+                entry = int(ahead["leave"].iloc[0]) + window
+        out = pd.DataFrame(rows, columns=[RANGE, "_entry"])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, RANGE, "_entry"]]
+
+    tables = ranged.groupBy(*names).applyInPandas(summarise, f"{fields}, {RANGE} int, upto bigint, leave bigint")
+    entries = tables.groupBy(*keys).applyInPandas(chain_ranges, f"{fields}, {RANGE} int, _entry bigint")
+    kept = (ranged.join(entries, names).select(*keys, RANGE, "_t", "_entry").groupBy(*names)
+            .applyInPandas(walk, f"{fields}, _t bigint"))
     return kept.join(times, [*keys, "_t"]).select(*keys, ts)
 
 

@@ -131,7 +131,7 @@ def test_suppression_of_a_hot_signature(spark, parts):
     cold = np.array([5, 300, 304, 305, 700])
     data = [("hot", int(t)) for t in hot] + [("cold", int(t)) for t in cold]
     df = spark.createDataFrame(data, "s string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
-    got = suppress_repeats(df, ["s"], "ts", 300, parts).select("s", F.unix_seconds("ts").alias("t"))
+    got = suppress_repeats(df, ["s"], "ts", 300, parts, hot_rows=100).select("s", F.unix_seconds("ts").alias("t"))
     want = sorted([("hot", t) for t in chain(hot, 300)] + [("cold", t) for t in chain(cold, 300)])
     assert sorted(rows(got)) == want
 
