@@ -109,9 +109,12 @@ def drop_tokens(c: Column, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
 def number_text(c: Column, thousands: bool = True) -> Column:
     """'(1,234.5)' -> -1234.5, '1 234,56' -> 1234.56. With ``thousands`` a dot before exactly three
     digits is a separator, so '0.125' becomes 125."""
-    c = F.regexp_replace(c, r"^\((.*)\)$", "-$1")
-    c = F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), r"[ ' ]", "")
-    return F.regexp_replace(c, r"(?<=\d)\.(?=\d{3}(\D|$))", "") if thousands else c
+    bracketed = c.startswith("(") & c.endswith(")") & (F.length(c) > 1)
+    c = F.when(bracketed, F.concat(F.lit("-"), F.substring(c, F.lit(2), F.length(c) - 2))).otherwise(c)
+    c = F.translate(c, ", '\u00A0", ".")  # comma to dot, spaces and apostrophes dropped
+    if not thousands:
+        return c
+    return F.when(c.contains("."), F.regexp_replace(c, r"(?<=\d)\.(?=\d{3}(\D|$))", "")).otherwise(c)
 
 
 def parse_number(c: Column, thousands: bool = True) -> Column:
