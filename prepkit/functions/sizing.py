@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SMALL_BYTES_CONF = "spark.prepkit.smallBytes"
 BUCKET_BYTES_CONF = "spark.prepkit.bucketBytes"
@@ -41,6 +42,17 @@ def bucket_count(df: DataFrame) -> int:
     return int(min(_MAX_BUCKETS, max(2, math.ceil(size / per))))
 
 
+def lookup_side(side: DataFrame, main: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A lookup side for a join with ``main``: broadcast when counted to be short.
+
+    For a small main table the choice is left to adaptive execution, which costs no extra job. A
+    longer side is joined by shuffle, with skewed keys split at run time.
+    """
+    if is_small(main) or side.limit(max_rows + 1).count() > max_rows:
+        return side
+    return F.broadcast(side)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; make a local one only where none is set."""
     if spark.sparkContext.getCheckpointDir():

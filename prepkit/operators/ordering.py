@@ -22,6 +22,7 @@ from prepkit.functions.sizing import bucket_count, ensure_checkpoint_dir, is_sma
 from prepkit.operators.quantiles import range_splitters
 
 RANGE = "_range"
+LABELS_PER_TASK = 1_000_000
 
 
 def as_number(df: DataFrame, col: str) -> Column:
@@ -97,14 +98,17 @@ def hash_ranks(df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: i
 def dense_codes(labels: DataFrame, label: str, code: str) -> DataFrame:
     """Codes 0.. for a frame of distinct labels in sorted order.
 
-    A small list is numbered by one window. A large one is range-sorted, checkpointed so that the
-    partition of every label is fixed, and numbered range by range.
+    A short list (by checked size or by count) is numbered by one window. A long one is range-sorted,
+    checkpointed so that the partition of every label is fixed, and numbered range by range.
     """
-    if is_small(labels):
+    parts = 1
+    if not is_small(labels):
+        ensure_checkpoint_dir(labels.sparkSession)
+        labels = labels.checkpoint(eager=True)
+        parts = -(-labels.count() // LABELS_PER_TASK)
+    if parts <= 1:
         w = Window.orderBy(label)
         return labels.withColumn(code, (F.row_number().over(w) - 1).cast("bigint"))
-    ensure_checkpoint_dir(labels.sparkSession)
-    parts = bucket_count(labels)
     pinned = (labels.repartitionByRange(parts, label).withColumn(RANGE, F.spark_partition_id())
               .checkpoint(eager=True))
     out = running_sums(pinned, [], [F.col(label)], {code: F.lit(1).cast("bigint")}, parts)

@@ -24,7 +24,7 @@ from prepkit.functions.columns import (
 )
 from prepkit.functions.folds import COUNT_SCHEMA, bin_counter, equal_width
 from prepkit.functions.hashing import row_digest
-from prepkit.functions.sizing import is_small
+from prepkit.functions.sizing import is_small, lookup_side
 from prepkit.operators.ordering import dense_codes
 from prepkit.operators.quantiles import quantile_columns
 
@@ -179,7 +179,7 @@ def encode_target(df: DataFrame, target: str, out: str = "target_code") -> DataF
     if is_numeric(df.schema[target].dataType):
         return df.withColumn(out, quoted(target).cast("double"))
     codes = label_codes(df, target).select(F.col("label").alias("_label"), F.col("code").cast("double").alias(out))
-    joined = df.join(codes, quoted(target) == F.col("_label"), "left").drop("_label")
+    joined = df.join(lookup_side(codes, df), quoted(target) == F.col("_label"), "left").drop("_label")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from prepkit.functions.columns import local_rows
 from prepkit.functions.hashing import row_digest
+from prepkit.operators.ordering import row_numbers
 from prepkit.operators.profile import head, sample_rows
 from prepkit.sources.files import Files
 
@@ -50,9 +51,9 @@ def validate_schema(expected: dict[str, str], df: DataFrame) -> None:
 
 
 def list_versions(versions: DataFrame, keys: Sequence[str] = ("name",), ts: str = "created_ts") -> DataFrame:
-    """Versions newest first, numbered per name."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(ts))
-    return versions.withColumn("age_rank", F.row_number().over(w)).orderBy(*keys, "age_rank")
+    """Versions newest first, numbered per name (range by range when the log is large)."""
+    newest_first = versions.withColumn("_age", -F.col(ts))
+    return row_numbers(newest_first, keys, "_age", name="age_rank").drop("_age").orderBy(*keys, "age_rank")
 
 
 def retention(versions: DataFrame, keep_last: int | None = 10, max_age_days: float | None = None,

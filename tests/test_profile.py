@@ -59,7 +59,8 @@ def test_target_rules(spark, table):
     assert pf.infer_problem_type(few.limit(0), "id") == "unknown"
 
 
-def test_label_codes_large_plan(scaled, spark):
+def test_label_codes_large_plan(scaled, spark, monkeypatch):
+    monkeypatch.setattr("prepkit.operators.ordering.LABELS_PER_TASK", 20)
     df = spark.range(500).select(F.format_string("k%03d", F.col("id") % 97).alias("s"))
     got = {r["label"]: r["code"] for r in pf.label_codes(df, "s").collect()}
     assert got == {f"k{i:03d}": i for i in range(97)}
