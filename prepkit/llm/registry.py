@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from prepkit.llm import linededup, secretscan
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
 from prepkit.llm.packing import best_fit_pack
 from prepkit.llm.tokencount import token_counts
 
 
+def op1_line_dedup(spark, sf_dir):
+    """Digest of the operator's rows: counts and the md5 of the text that is left (empty for null)."""
+    out = linededup.drop_repeated_chunks(table(tuned(spark), sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_chunks", "lines_removed", "chunks_removed",
+                      F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(tuned(spark), sf_dir, "documents"), vocabulary_path())
 
 
+def op6_secret_scans(spark, sf_dir):
+    return secretscan.secret_scan(table(tuned(spark), sf_dir, "documents"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
-QUERIES = {q.__name__: q for q in (op4_best_fit_packing, op9_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op9_token_counts)}
+ORACLES = {"op1_line_dedup": linededup.SQL}
