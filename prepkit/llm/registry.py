@@ -8,6 +8,7 @@ from prepkit.llm import linededup, secretscan
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
 from prepkit.llm.packing import best_fit_pack
+from prepkit.llm.quality import quality_rules
 from prepkit.llm.tokencount import token_counts
 
 
@@ -30,5 +31,11 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op9_token_counts)}
+def op10_quality_rules(spark, sf_dir):
+    tuned(spark)
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op9_token_counts, op10_quality_rules)}
 ORACLES = {"op1_line_dedup": linededup.SQL}
