@@ -10,6 +10,7 @@ from prepkit.llm.common import table, tuned
 from prepkit.llm.packing import best_fit_pack
 from prepkit.llm.quality import quality_rules
 from prepkit.llm.tokencount import token_counts
+from prepkit.llm.toxicity import toxicity
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -27,6 +28,12 @@ def op6_secret_scans(spark, sf_dir):
     return secretscan.secret_scan(table(tuned(spark), sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    tuned(spark)
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
@@ -37,5 +44,5 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op9_token_counts, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op7_toxicity, op9_token_counts, op10_quality_rules)}
 ORACLES = {"op1_line_dedup": linededup.SQL}
