@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepkit.llm import linededup, secretscan
+from prepkit.llm import linededup, secretscan, topk
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
 from prepkit.llm.packing import best_fit_pack
@@ -34,6 +34,10 @@ def op7_toxicity(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op8_exact_topk(spark, sf_dir):
+    return topk.top_inner_products(table(tuned(spark), sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
 
@@ -44,5 +48,5 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op7_toxicity, op9_token_counts, op10_quality_rules)}
-ORACLES = {"op1_line_dedup": linededup.SQL}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op4_best_fit_packing, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
+ORACLES = {"op1_line_dedup": linededup.SQL, "op8_exact_topk": topk.SQL}
