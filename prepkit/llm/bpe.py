@@ -16,6 +16,8 @@ import numpy as np
 
 #: Pieces that a worker keeps; at this number it starts again with an empty dictionary.
 KEPT_PIECES = 400_000
+#: Pieces that are encoded in one call.
+BLOCK = 500
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,6 +48,9 @@ class PieceEncoder:
         self.first: dict[str, bytes] = {}  # pieces at the start of a line
         self.inner: dict[str, bytes] = {}  # pieces after a space
         self.odd: set[str] = set()  # pieces that white space begins or ends
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose tokens begin with a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.newline = self._encode(["\n"])[0]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -58,8 +63,25 @@ class PieceEncoder:
         if len(known) + len(new) > self.kept:
             known.clear()
             new = list(pieces)
-        self.odd.update(p for p in new if p[0].isspace() or p[-1].isspace())
-        known.update(zip(new, self._encode([lead + p for p in new]), strict=True))
+        odd = {p for p in new if p[0].isspace() or p[-1].isspace()}
+        self.odd |= odd
+        new = [p for p in new if p not in odd] if odd else new
+        for k in range(0, len(new), BLOCK):
+            known.update(zip(new[k : k + BLOCK], self._encode_block(new[k : k + BLOCK], lead), strict=True))
+
+    def _encode_block(self, pieces: list[str], lead: str) -> list[bytes]:
+        """The pieces' ids from one call: pieces after a space part at tokens that begin with one, others at line breaks."""
+        ids = np.array(self.library.encode_batch_fast([lead + lead.join(pieces) if lead == " " else "\n".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        if lead == " ":
+            starts = np.flatnonzero(self.spaced[ids])
+            ends = np.append(starts[1:], len(ids))
+        else:
+            breaks = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+            starts, ends = np.append(0, breaks + 1), np.append(breaks, len(ids))
+        if len(starts) != len(pieces):
+            return self._encode([lead + p for p in pieces])
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut: list[list[list[str]] | None] = []

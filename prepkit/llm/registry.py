@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepkit.llm import linededup, secretscan, topk, warc
+from prepkit.llm import jaccard, linededup, secretscan, topk, warc
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
 from prepkit.llm.packing import best_fit_pack
@@ -29,6 +29,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(tuned(spark), sf_dir, "documents"), vocabulary_path())
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(tuned(spark), sf_dir, "documents"))
+
+
 def op6_secret_scans(spark, sf_dir):
     return secretscan.secret_scan(table(tuned(spark), sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc, op4_best_fit_packing, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
-ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op8_exact_topk": topk.SQL}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
+ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op8_exact_topk": topk.SQL}
