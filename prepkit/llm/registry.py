@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prepkit.llm import jaccard, linededup, secretscan, topk, warc
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
+from prepkit.llm.lattice import sample_segmentations
 from prepkit.llm.packing import best_fit_pack
 from prepkit.llm.quality import quality_rules
 from prepkit.llm.tokencount import token_counts
@@ -25,6 +26,12 @@ def op2_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_sentencepiece_sampling(spark, sf_dir):
+    """Digest of the operator's rows: the number of pieces and a hash of the ids."""
+    out = sample_segmentations(table(tuned(spark), sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", "round_trip")
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return best_fit_pack(table(tuned(spark), sf_dir, "documents"), vocabulary_path())
 
@@ -57,5 +64,5 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
+QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc, op3_sentencepiece_sampling, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
 ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op8_exact_topk": topk.SQL}
