@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import table
+from checks import scratch, table
 from prepkit.operators import clean as cl
 from prepkit.operators import dates as dt
 from prepkit.operators.clean import CleanConfig
@@ -18,6 +18,15 @@ def scan_parquet(spark, d):
     return rd.read_parquet(spark, f"{d}/lineitem.parquet", ["l_orderkey", "l_quantity", "l_shipdate"]).filter("l_quantity > 49")
 
 
+def csv_line_breaks(spark, d):
+    """Texts with line breaks, quotes and separators, written as CSV and read back."""
+    home = f"{scratch(spark)}/csv"
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit('"a,'), "text").alias("text"))
+    docs.write.option("header", True).option("escape", '"').csv(home)
+    back = rd.read_csv(spark, home, ",")
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def normalize_missing(spark, d):
     df = table(spark, d, "customer").select("c_custkey", F.expr(
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'n/a' WHEN 'MACHINERY' THEN '--' WHEN 'FURNITURE' THEN 'NA' ELSE c_mktsegment END").alias("seg"))
@@ -134,6 +143,7 @@ def date_features(spark, d):
 
 QUERIES = {
     "scan_parquet": scan_parquet,
+    "csv_line_breaks": csv_line_breaks,
     "normalize_missing": normalize_missing,
     "downcast_plan": downcast_plan,
     "auto_parse_dates": auto_parse_dates,
@@ -198,6 +208,7 @@ _RAW = ("raw AS (SELECT o_orderkey AS order_key, trim(regexp_replace(' ' || o_or
         "quantile_cont(half, 0.01) AS ha, quantile_cont(half, 0.99) AS hb, quantile_cont(cust, 0.01) AS ca, quantile_cont(cust, 0.99) AS cb FROM filled)")
 
 ORACLES = {
+    "csv_line_breaks": "SELECT doc_id, md5(chr(34) || 'a,' || text) AS text_md5 FROM documents",
     "scan_parquet": "SELECT l_orderkey, l_quantity, l_shipdate FROM lineitem WHERE l_quantity > 49",
     "normalize_missing": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN NULL WHEN 'FURNITURE' THEN 'NA' ELSE c_mktsegment END AS seg FROM customer",
     "downcast_plan": "WITH t AS (" + " UNION ALL ".join(

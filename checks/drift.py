@@ -76,6 +76,12 @@ def repeats(spark, d):
     return suppress_repeats(table(spark, d, "events"), ["event_type", "user_id"], "ts", 300)
 
 
+def repeats_null_times(spark, d):
+    """Events without a time are left out and hide none of the others."""
+    events = table(spark, d, "events").withColumn("ts", F.expr("CASE WHEN event_id % 7 <> 0 THEN ts END"))
+    return suppress_repeats(events, ["event_type", "user_id"], "ts", 300)
+
+
 def alerts(spark, d):
     e = table(spark, d, "events")
     found = dr.psi_table(e.filter("event_type <> 'purchase'"), e.filter("value > 10"), include=["value", "user_id"])
@@ -95,6 +101,7 @@ QUERIES = {
     "drift_first_numeric": drift_first_numeric,
     "drift_windows": windows,
     "suppress_repeats": repeats,
+    "suppress_repeats_null_times": repeats_null_times,
     "alert_rows": alerts,
 }
 
@@ -191,3 +198,4 @@ ORACLES = {
                      printf('%s PSI=%.3f', feature, psi) AS message FROM c)
         SELECT *, sha256(channel || target || subject || message) AS signature FROM m""",
 }
+ORACLES["suppress_repeats_null_times"] = ORACLES["suppress_repeats"].replace("FROM events)", "FROM events WHERE event_id % 7 <> 0)")

@@ -87,6 +87,13 @@ def predict_chunks(spark, d):
     return out.select("chunk", "n", F.array_join(F.transform("sample_pred", lambda x: F.floor(x).cast("string")), ",").alias("sample_pred"))
 
 
+def predict_chunks_text_key(spark, d):
+    """Rows in the order of a text."""
+    orders = table(spark, d, "orders").withColumn("place", F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    out = sc.predict_chunks(orders, F.col("o_totalprice") * 2 + 1, ["place"], 7)
+    return out.withColumn("sample_pred", F.array_join(F.transform("sample_pred", lambda x: F.floor(x).cast("string")), ","))
+
+
 def predict_chunks_ndjson(spark, d):
     return sc.ndjson(predict_chunks(spark, d))
 
@@ -222,6 +229,7 @@ QUERIES = {
     "soft_vote": soft_vote,
     "predict_chunks": predict_chunks,
     "predict_chunks_ndjson": predict_chunks_ndjson,
+    "predict_chunks_text_key": predict_chunks_text_key,
     "attribution_sample": attribution_sample,
     "linear_attribution": linear_attribution,
     "preprocess": preprocess,
@@ -303,6 +311,7 @@ ORACLES = {
     "soft_vote": "WITH t AS (SELECT o_orderkey, 0.6 * (o_totalprice / 500000) + 0.4 * (o_custkey % 100 / 100) AS a, 0.6 * (1 - o_totalprice / 500000) + 0.4 * (1 - o_custkey % 100 / 100) AS b FROM orders) "
                  "SELECT o_orderkey, round(greatest(a, b), 9) AS p, (b > a)::BIGINT AS prediction FROM t",
     "predict_chunks": _CHUNKS,
+    "predict_chunks_text_key": _CHUNKS,
     "predict_chunks_ndjson": f"SELECT '{{\"chunk\":' || chunk || ',\"n\":' || n || ',\"sample_pred\":\"' || sample_pred || '\"}}' AS value FROM ({_CHUNKS})",
     "attribution_sample": "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '|42')) AS i FROM orders) "
                           "SELECT o_orderkey, i <= 200 AS background FROM r WHERE i <= 500",

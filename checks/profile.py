@@ -22,7 +22,7 @@ def _r(df, *cols, places=6):
 
 
 def schema_profile(spark, d):
-    return pf.schema_profile(table(spark, d, "lineitem")).select("n_rows", "n_cols", "position", "feature")
+    return pf.schema_profile(table(spark, d, "lineitem"))
 
 
 def missing_ratio(spark, d):
@@ -95,6 +95,12 @@ def histogram(spark, d):
     return _r(out.withColumn("bin", F.col("bin").cast("bigint")), "bin_left", "bin_right", places=4)
 
 
+def histogram_infinite(spark, d):
+    """Infinite values have no bin and no part in the limits."""
+    odd = table(spark, d, "orders").withColumn("o_totalprice", F.expr("CASE WHEN o_orderkey % 100 = 0 THEN double('inf') WHEN o_orderkey % 100 = 1 THEN double('-inf') ELSE o_totalprice END"))
+    return _r(pf.histogram(odd, ["o_totalprice"]).withColumn("bin", F.col("bin").cast("bigint")), "bin_left", "bin_right", places=4)
+
+
 def table_preview(spark, d):
     return pf.table_preview(table(spark, d, "orders"), order=["o_orderkey"])
 
@@ -138,6 +144,7 @@ QUERIES = {
     "head_rows": lambda s, d: pf.head(table(s, d, "orders"), 12, ["o_orderkey"]),
     "value_counts": lambda s, d: pf.value_counts(table(s, d, "part"), "p_name"),
     "histogram": histogram,
+    "histogram_infinite": histogram_infinite,
     "table_preview": table_preview,
     "eda_report": eda_rows,
 }
@@ -186,7 +193,8 @@ _HIST = """SELECT feature, bin, round(lo + (bin - 1) * w, 4) AS bin_left, round(
                       count(*) AS n FROM orders GROUP BY 1) h USING (bin)"""
 
 ORACLES = {
-    "schema_profile": f"SELECT n_rows, 11::INT AS n_cols, (unnest(range(11)))::INT AS position, unnest({_ALL}) AS feature "
+    "schema_profile": f"SELECT n_rows, 11::INT AS n_cols, (unnest(range(11)))::INT AS position, unnest({_ALL}) AS feature, "
+                      "unnest(['bigint', 'bigint', 'bigint', 'int', 'double', 'double', 'double', 'double', 'string', 'string', 'timestamp_ntz']) AS dtype "
                       "FROM (SELECT count(*) AS n_rows FROM lineitem)",
     "missing_ratio": f"WITH {_HOLES} SELECT feature, n_rows, missing, round(missing / n_rows, 6) AS missing_ratio FROM ({_MISSING})",
     "missing_table": f"WITH {_HOLES} SELECT feature, missing, round(missing / n_rows * 100, 2) AS missing_pct FROM ({_MISSING}) WHERE missing > 0",
@@ -226,6 +234,7 @@ ORACLES = {
     "sample_rows": f"SELECT * FROM orders ORDER BY {_DIGEST} LIMIT 100",
     "head_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 12",
     "value_counts": "SELECT p_name AS value, count(*) AS count FROM part GROUP BY 1 ORDER BY count DESC, value LIMIT 30",
+    "histogram_infinite": _HIST.format(c="o_totalprice").replace("FROM orders", "FROM (SELECT * FROM orders WHERE o_orderkey % 100 > 1)"),
     "histogram": _HIST.format(c="o_totalprice") + " UNION ALL " + _HIST.format(c="o_custkey"),
     "table_preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 200",
 }

@@ -54,11 +54,13 @@ def lookup_side(side: DataFrame, main: DataFrame, max_rows: int = 100_000) -> Da
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a local one only where none is set."""
+    """Use the shared folder the cluster names; a local one is made in local mode alone."""
     if spark.sparkContext.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="spark-ckpt-")

@@ -26,34 +26,29 @@ class DateFeatureConfig:
     add_flags: bool = True
     add_clock: bool = True
     add_cyclic: bool = True
-    max_new_cols: int = 256
+    max_new_cols: int | None = None
     sep: str = "_"
 
 
-SAMPLE = 500
 MIN_SUCCESS = 0.8
 
 
-def _layout_of(df: DataFrame, col: str, dayfirst: bool, sample: int | None) -> tuple[str, str] | None:
-    """The layout that parses the largest share (>= 0.8) of the column, or of its first values."""
-    values = df.select(quoted(col).cast("string").alias("v")).filter("v IS NOT NULL")
-    if sample:
-        values = values.limit(sample)
-    r = parse_ratios(values, ["v"], dayfirst, numbers=False).first()
-    if r is None or r["layout"] is None or r["date_ok"] < MIN_SUCCESS * r["n_rows"]:
-        return None
-    return tx.layouts(dayfirst)[r["layout"]]
+def _layouts_of(df: DataFrame, cols: Sequence[str], dayfirst: bool) -> dict[str, tuple[str, str]]:
+    """{column: the layout that parses the largest share, 0.8 or more, of its values}; one aggregate over all rows."""
+    if not cols:
+        return {}
+    texts = df.select(*[quoted(c).cast("string").alias(c) for c in cols])
+    filled = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    size = {c: filled[f"n{i}"] for i, c in enumerate(cols)}
+    found = {r["feature"]: r for r in parse_ratios(texts, cols, dayfirst, numbers=False).collect()}
+    return {c: tx.layouts(dayfirst)[r["layout"]] for c, r in found.items()
+            if r["layout"] is not None and r["date_ok"] >= MIN_SUCCESS * size[c]}
 
 
 def detect_datetime_cols(df: DataFrame, limit: int | None = None) -> list[str]:
-    """Time-typed columns, and text columns whose first 500 values are mostly dates."""
-    times, texts, found = timestamp_columns(df), string_columns(df), []
-    for c in df.columns:
-        if c in times or (c in texts and _layout_of(df, c, False, SAMPLE)):
-            found.append(c)
-        if limit and len(found) >= limit:
-            break
-    return found
+    """Time-typed columns, and text columns whose values are mostly dates."""
+    times, dates = timestamp_columns(df), _layouts_of(df, string_columns(df), False)
+    return [c for c in df.columns if c in times or c in dates][:limit]
 
 
 def _to_ntz(c: Column) -> Column:
@@ -81,7 +76,7 @@ def ensure_datetime(df: DataFrame, col: str, cfg: DateFeatureConfig = DateFeatur
     dtype = df.schema[col].dataType
     zoned = isinstance(dtype, T.TimestampType)
     if isinstance(dtype, T.StringType):
-        layout = _layout_of(df, col, cfg.dayfirst, None) if cfg.parse_dates else None
+        layout = _layouts_of(df, [col], cfg.dayfirst).get(col) if cfg.parse_dates else None
         if layout is None:
             return None
         c = tx.parse_layout(quoted(col), layout)
@@ -176,7 +171,7 @@ def date_features(df: DataFrame, cfg: DateFeatureConfig = DateFeatureConfig(),
                     add(c, {f"{part}_{k}": v for k, v in cyclic(value, period).items()})
         if holidays is not None:
             marked.append(c)
-        if len(new) + len(marked) >= cfg.max_new_cols:
+        if cfg.max_new_cols is not None and len(new) + len(marked) >= cfg.max_new_cols:
             break
     out = df.withColumns(new) if new else df
     for c in marked:

@@ -23,6 +23,8 @@ from prepkit.operators.quantiles import range_splitters
 
 RANGE = "_range"
 LABELS_PER_TASK = 1_000_000
+#: Values that the cuts of a text column are taken from.
+CUT_SAMPLE = 10_000
 
 
 def as_number(df: DataFrame, col: str) -> Column:
@@ -42,6 +44,8 @@ def with_range(df: DataFrame, col: str, parts: int | None = None) -> tuple[DataF
     parts = bucket_count(df) if parts is None else parts
     if parts <= 1:
         return df.withColumn(RANGE, F.lit(0)), 1
+    if isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType, T.BooleanType)):
+        return _with_text_range(df, col, parts)
     axis = df.select(as_number(df, col).alias("x"))
     cuts = range_splitters(axis, "x", parts)
     if not cuts:
@@ -52,6 +56,21 @@ def with_range(df: DataFrame, col: str, parts: int | None = None) -> tuple[DataF
     return cutter.transform(placed).withColumn(RANGE, F.col(RANGE).cast("int")).drop(spot), len(cuts) + 1
 
 
+def _with_text_range(df: DataFrame, col: str, parts: int) -> tuple[DataFrame, int]:
+    """Ranges of a column that has no numeric axis: cuts are even steps through a sample by hash order.
+
+    The sample is bounded and repeatable; it decides how even the ranges are, never which rows they hold.
+    """
+    x = quoted(col)
+    sample = df.select(x.alias("x")).filter("x IS NOT NULL").orderBy(F.xxhash64("x"), "x").limit(CUT_SAMPLE)
+    values = sorted({r["x"] for r in sample.collect()})
+    cuts = [values[len(values) * i // parts] for i in range(1, min(parts, len(values)))]
+    if not cuts:
+        return df.withColumn(RANGE, F.lit(0)), 1
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x))
+    return df.withColumn(RANGE, F.when(x.isNull(), F.lit(0)).otherwise(place)), len(cuts) + 1
+
+
 def running_sums(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column], parts: int,
     descending: bool = False,

@@ -28,7 +28,7 @@ from prepkit.functions.sizing import is_small, lookup_side
 from prepkit.operators.ordering import dense_codes
 from prepkit.operators.quantiles import quantile_columns
 
-MAX_PROFILE_COLUMNS = 300
+# Thresholds and sizes of the reports.
 CONSTANT_TOLERANCE = 1e-12
 HIGH_CARDINALITY = 0.5
 TOP_SIGNALS = 12
@@ -42,7 +42,7 @@ def _first(cols: Sequence[str], limit: int | None) -> list[str]:
 # --- schema and missing values -------------------------------------------------------------
 
 
-def schema_profile(df: DataFrame, max_cols: int | None = MAX_PROFILE_COLUMNS) -> DataFrame:
+def schema_profile(df: DataFrame, max_cols: int | None = None) -> DataFrame:
     """One row per column: position, name, type, and the shape of the table."""
     width = len(df.columns)
     entries = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("feature"),
@@ -52,7 +52,7 @@ def schema_profile(df: DataFrame, max_cols: int | None = MAX_PROFILE_COLUMNS) ->
             .select("n_rows", "n_cols", F.inline(F.array(*entries))))
 
 
-def missing_ratio(df: DataFrame, max_cols: int | None = MAX_PROFILE_COLUMNS) -> DataFrame:
+def missing_ratio(df: DataFrame, max_cols: int | None = None) -> DataFrame:
     cols = _first(df.columns, max_cols)
     out = aggregate_rows(df, cols, {"n_rows": lambda c: F.count(F.lit(1)), "missing": lambda c: _nulls(df, c)})
     return out.withColumn("missing_ratio", F.try_divide(F.col("missing"), F.col("n_rows")))
@@ -107,7 +107,7 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
 
 
 def constant_columns(df: DataFrame, tol: float = CONSTANT_TOLERANCE,
-                     max_cols: int | None = MAX_PROFILE_COLUMNS) -> DataFrame:
+                     max_cols: int | None = None) -> DataFrame:
     """Numeric: max - min <= tol. Other: one value, seen as min = max, so nothing is deduplicated."""
     cols = [c for c in _first(df.columns, max_cols) if not isinstance(
         df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]
@@ -122,13 +122,13 @@ def constant_columns(df: DataFrame, tol: float = CONSTANT_TOLERANCE,
 
 
 def high_cardinality(df: DataFrame, ratio: float = HIGH_CARDINALITY, approx: bool = False,
-                     max_cols: int | None = MAX_PROFILE_COLUMNS) -> DataFrame:
+                     max_cols: int | None = None) -> DataFrame:
     out = distinct_counts(df, _first(df.columns, max_cols), approx)
     return (out.withColumn("distinct_ratio", F.col("n_distinct") / F.col("n_rows"))
             .filter(F.col("distinct_ratio") >= ratio).select("feature", "n_distinct", "distinct_ratio"))
 
 
-def date_columns(df: DataFrame, max_cols: int | None = MAX_PROFILE_COLUMNS) -> list[str]:
+def date_columns(df: DataFrame, max_cols: int | None = None) -> list[str]:
     return timestamp_columns(df)[:max_cols]
 
 
@@ -239,7 +239,7 @@ def _finite(c: Column) -> Column:
 # --- describe ------------------------------------------------------------------------------
 
 
-def describe_numeric(df: DataFrame, max_cols: int | None = 12) -> DataFrame:
+def describe_numeric(df: DataFrame, max_cols: int | None = None) -> DataFrame:
     """count, mean, std (n-1), min, quartiles (linear), max per numeric column."""
     cols = _first(numeric_columns(df), max_cols)
     quart = quantile_columns(df, cols, [0.25, 0.5, 0.75])
@@ -266,7 +266,7 @@ def top_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return freq.select("feature", "count", "unique", F.col("_t.v").alias("top"), (-F.col("_t.m")).alias("freq"))
 
 
-def describe_all(df: DataFrame, max_cols: int | None = 25) -> DataFrame:
+def describe_all(df: DataFrame, max_cols: int | None = None) -> DataFrame:
     """``describe_numeric`` plus unique/top/freq rows for the other columns."""
     cols = _first(df.columns, max_cols)
     num = [c for c in cols if is_numeric(df.schema[c].dataType)]
@@ -353,9 +353,9 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None
     return tagged.orderBy("_digest", *(key or [])).limit(n).drop("_digest")
 
 
-def bound_table(df: DataFrame, max_rows: int = 100_000, max_cols: int = MAX_PROFILE_COLUMNS,
+def bound_table(df: DataFrame, max_rows: int = 100_000, max_cols: int | None = None,
                 seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
-    """At most max_rows sampled rows and the first max_cols columns."""
+    """At most max_rows sampled rows and the first max_cols columns (all without it)."""
     return sample_rows(df, max_rows, seed, key).select(*map(quoted, df.columns[:max_cols]))
 
 
@@ -380,11 +380,11 @@ def value_counts(df: DataFrame, col: str, top_k: int | None = 30) -> DataFrame:
     return out if top_k is None else out.limit(top_k)
 
 
-def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30, max_cols: int | None = 6) -> DataFrame:
-    """Equal-width bins over min..max, empty ones included; the maximum falls in the last bin."""
+def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30, max_cols: int | None = None) -> DataFrame:
+    """Equal-width bins over min..max of the finite values, empty ones included; the maximum falls in the last bin."""
     cols = list(cols) if cols else _first(numeric_columns(df), max_cols)
     limits = {r["feature"]: (r["lo"], r["hi"]) for r in aggregate_rows(df, cols, {
-        "lo": lambda c: F.min(number(df, c)), "hi": lambda c: F.max(number(df, c))}).collect()}
+        "lo": lambda c: F.min(_finite(number(df, c))), "hi": lambda c: F.max(_finite(number(df, c)))}).collect()}
     live = [c for c in cols if limits[c][0] is not None]
     if not live:
         return local_rows(df.sparkSession, [], "feature string, bin int, bin_left double, bin_right double, n bigint")
@@ -395,7 +395,7 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 30,
         width = (hi - lo) / k
         slots += [(c, i + 1, lo + i * width, hi if i == k - 1 else lo + (i + 1) * width) for i in range(k)]
         places.append(equal_width(lo, hi, k))
-    values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(live)])
+    values = df.select(*[_finite(number(df, c)).alias(f"c{i}") for i, c in enumerate(live)])
     counts = (values.mapInArrow(bin_counter(places), COUNT_SCHEMA).filter("bin >= 0")
               .groupBy(F.array(*map(F.lit, live))[F.col("col")].alias("feature"), "bin").agg(F.sum("n").alias("n")))
     return (local_rows(df.sparkSession, slots, "feature string, bin int, bin_left double, bin_right double")

@@ -23,7 +23,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (
     ElementwiseProduct,
-    FeatureHasher,
     OneHotEncoder,
     SQLTransformer,
     StringIndexer,
@@ -46,9 +45,6 @@ from prepkit.operators import metrics as mt
 from prepkit.operators.profile import infer_problem_type, label_codes
 from prepkit.operators.splits import fold_assign, oversample_minority, stratified_split
 
-MAX_ONE_HOT = 1000
-HASHED_WIDTH = 1 << 10
-
 
 # --- preprocessing -------------------------------------------------------------------------
 
@@ -56,15 +52,12 @@ HASHED_WIDTH = 1 << 10
 def build_preprocessor(df: DataFrame, features: Sequence[str], output: str = "features") -> Pipeline:
     """Numbers divided by their population std (not centred), other columns one-hot.
 
-    The spare last slot of the encoder stands for unknown values, which so become all zeros. Columns
-    with more than MAX_ONE_HOT values are hashed instead, as their label lists would not be small.
+    The spare last slot of the encoder stands for unknown values, which so become all zeros. Vectors
+    are sparse, so that columns of many values cost no more than others.
     """
     num = [c for c in features if is_numeric(df.schema[c].dataType)]
     cat = [c for c in features if c not in num]
-    facts = df.agg(*[F.stddev_pop(number(df, c)).alias(f"s{i}") for i, c in enumerate(num)],
-                   *[F.approx_count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(cat)], F.count("*")).first()
-    wide = [c for i, c in enumerate(cat) if facts[f"d{i}"] > MAX_ONE_HOT]
-    narrow = [c for c in cat if c not in wide]
+    facts = df.agg(*[F.stddev_pop(number(df, c)).alias(f"s{i}") for i, c in enumerate(num)], F.count("*")).first()
     stages: list[Any] = []
     if cat:
         casts = ", ".join(f"COALESCE(CAST(`{c}` AS STRING), 'nan') AS `{c}__t`" for c in cat)
@@ -75,14 +68,11 @@ def build_preprocessor(df: DataFrame, features: Sequence[str], output: str = "fe
         stages += [VectorAssembler(inputCols=num, outputCol="_num", handleInvalid="error"),
                    ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="_num", outputCol="_scaled")]
         parts.append("_scaled")
-    if narrow:
-        stages += [StringIndexer(inputCols=[f"{c}__t" for c in narrow], outputCols=[f"{c}__i" for c in narrow],
+    if cat:
+        stages += [StringIndexer(inputCols=[f"{c}__t" for c in cat], outputCols=[f"{c}__i" for c in cat],
                                  handleInvalid="keep", stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=[f"{c}__i" for c in narrow], outputCols=[f"{c}__o" for c in narrow], dropLast=True)]
-        parts += [f"{c}__o" for c in narrow]
-    if wide:
-        stages.append(FeatureHasher(inputCols=[f"{c}__t" for c in wide], outputCol="_hashed", numFeatures=HASHED_WIDTH))
-        parts.append("_hashed")
+                   OneHotEncoder(inputCols=[f"{c}__i" for c in cat], outputCols=[f"{c}__o" for c in cat], dropLast=True)]
+        parts += [f"{c}__o" for c in cat]
     stages.append(VectorAssembler(inputCols=parts, outputCol=output))
     return Pipeline(stages=stages)
 
@@ -215,8 +205,10 @@ def train_baseline(df: DataFrame, target: str, key: Sequence[str], seed: int = 4
     is_cls = problem == "classification"
     data, labels = _labelled(df, target, is_cls)
     classes = len(labels) if labels else 0
-    pre = build_preprocessor(df, features).fit(df)
-    split = stratified_split(pre.transform(data).select(*key, "label", "features"), key, "label" if is_cls else None, test_size, seed)
+    parted = stratified_split(data, key, "label" if is_cls else None, test_size, seed).persist()
+    seen = parted.filter("NOT is_test")
+    pre = build_preprocessor(seen, features).fit(seen)  # statistics and categories of the training rows alone
+    split = pre.transform(parted).select(*key, "label", "features", "is_test")
     if classes == 2:
         share = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).collect()}
         total = sum(share.values())
@@ -230,8 +222,12 @@ def train_baseline(df: DataFrame, target: str, key: Sequence[str], seed: int = 4
             if families and name not in families:
                 continue
             stages: list[Transformer] = [est.fit(train)]
+            skipped = None
             if is_cls and calibrated:
-                stages += calibrate(est, train, key, classes, seed)
+                try:
+                    stages += calibrate(est, train, key, classes, seed)
+                except Exception as e:  # a class too rare for the folds: the plain scores are used
+                    skipped = str(e)
             model = PipelineModel([*pre.stages, *stages])
             out, threshold = PipelineModel(stages).transform(test), None
             if not is_cls:
@@ -254,11 +250,12 @@ def train_baseline(df: DataFrame, target: str, key: Sequence[str], seed: int = 4
                     out = out.withColumn("y_pred", (F.array_position("proba", F.array_max("proba")) - 1).cast("double"))
                     found = mt.multiclass_metrics(out, "label", "proba", "y_pred").first().asDict()
                     score = found["f1_weighted"]
-            every[name] = found
+            every[name] = {**found, **({"calibration_skipped": skipped} if skipped else {})}
             if score is not None and score > best["score"]:
                 best = {"score": score, "name": name, "model": model, "metrics": found, "threshold": threshold, "out": out}
     finally:
         split.unpersist()
+        parted.unpersist()
     cols = [*key, "label", "y_pred", *(["proba"] if is_cls else [])]
     shown = best["out"].select(*cols)
     if labels:

@@ -11,17 +11,15 @@ from prepkit.functions.columns import local_rows, numeric_columns
 from prepkit.operators import profile as pf
 
 IMBALANCE = 0.8
-NAMES_SHOWN = 8
 
 
 def recommendations(constant: DataFrame, high_card: DataFrame, problem: str, classes: DataFrame | None) -> DataFrame:
     """(rule, message) rows from the findings. Only lists of column names are gathered."""
     def named(found: DataFrame, rule: str, text: str) -> DataFrame:
         names = F.array_sort(F.collect_list("feature"))
-        more = F.when(F.size("n") > NAMES_SHOWN, " ...").otherwise("")
         return (found.agg(names.alias("n")).filter(F.size("n") > 0)
                 .select(F.lit(rule).alias("rule"),
-                        F.concat(F.lit(text), F.concat_ws(", ", F.slice("n", 1, NAMES_SHOWN)), more).alias("message")))
+                        F.concat(F.lit(text), F.concat_ws(", ", "n")).alias("message")))
 
     out = named(constant, "constant", "Drop constant columns: ").unionByName(
         named(high_card, "high_cardinality", "Use target encoding or hashing for: "))
@@ -75,7 +73,7 @@ class Insights:
 
 
 def insights(df: DataFrame, target: str | None = None, max_rows: int | None = None,
-             max_cols: int = pf.MAX_PROFILE_COLUMNS) -> Insights | None:
+             max_cols: int | None = None) -> Insights | None:
     """Schema, missing values, constant and high-cardinality columns, target, signals, advice.
 
     All rows are used; ``max_rows`` samples first. None for an empty table.
@@ -93,15 +91,15 @@ def insights(df: DataFrame, target: str | None = None, max_rows: int | None = No
                     pf.top_k(scores), classes, recommendations(constant, high, problem, classes))
 
 
-def eda_report(df: DataFrame, metrics: dict[str, float] | None = None, max_hist_cols: int = 6,
-               include_corr: bool = True, sample: int = 12) -> dict[str, DataFrame]:
+def eda_report(df: DataFrame, metrics: dict[str, float] | None = None, max_hist_cols: int | None = 6,
+               include_corr: bool = True, sample: int = 12, max_describe_cols: int | None = 12) -> dict[str, DataFrame]:
     """The report's tables by name."""
     out = {
         "metrics": local_rows(df.sparkSession, [(k, float(v)) for k, v in (metrics or {}).items()], "name string, value double"),
         "shape": pf.table_size(df), "schema": pf.schema_profile(df, None), "missing": pf.missing_table(df),
         "sample": pf.head(df, sample)}
     if numeric_columns(df):
-        out["describe"] = pf.describe_numeric(df)
+        out["describe"] = pf.describe_numeric(df, max_describe_cols)
         out["histograms"] = pf.histogram(df, max_cols=max_hist_cols)
         if include_corr and len(numeric_columns(df)) > 1:
             out["correlation"] = pf.correlation_matrix(df)

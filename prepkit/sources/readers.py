@@ -48,21 +48,22 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8",
-             schema: T.StructType | str | None = None) -> DataFrame:
+             schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Header row, sniffed separator. Types are inferred unless a schema is given, which saves a pass.
 
+    Quoted values may hold line breaks. A file is then read by one task; ``multi_line=False`` splits
+    files that have none.
+
     Values are kept as written: text marks for "missing" are the business of ``normalize_missing``.
     """
-    reader = (spark.read.option("header", True).option("sep", sep or sniff_separator(spark, path))
-              .option("encoding", encoding).option("multiLine", False).option("quote", '"').option("escape", '"'))
+    reader = (spark.read.option("sep", sep or sniff_separator(spark, path)).option("encoding", encoding)
+              .option("multiLine", multi_line).option("quote", '"').option("escape", '"'))
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    lines = spark.read.text(path).limit(1).collect()
-    df = reader.option("inferSchema", True).csv(path)
-    if lines:
-        header = [h.strip().strip('"') for h in lines[0]["value"].split(sep or sniff_separator(spark, path))]
-        if len(header) == len(df.columns):  # Spark renames repeated headers by position; use our rule
-            df = df.toDF(*dedupe_names(header))
+        return reader.schema(schema).option("header", True).csv(path)
+    first = reader.option("header", False).csv(path).limit(1).collect()
+    df = reader.option("header", True).option("inferSchema", True).csv(path)
+    if first and len(first[0]) == len(df.columns):  # Spark renames repeated headers by position; use our rule
+        df = df.toDF(*dedupe_names([(h or "").strip() for h in first[0]]))
     return df
 
 
@@ -145,19 +146,18 @@ def downcast_numbers(df: DataFrame) -> DataFrame:
     return df.withColumns({c: quoted(c).cast(t) for c, t in new.items()}) if new else df
 
 
+# Characters that dates are written with.
 LOOKS_LIKE_DATE = r"[\d:/\-TZ ]"
-DATE_SAMPLE = 200
 
 
 def date_parse_plan(df: DataFrame, threshold: float = 0.8) -> dict[str, tuple[str, str]]:
-    """Text columns to be read as dates: half of the first 200 values must look like dates at all,
-    then month-first is tried before day-first over all rows (NULLs count as failures)."""
+    """Text columns to be read as dates: half of the values must look like dates at all, then month-first
+    is tried before day-first (NULLs count as failures). All over all rows, one aggregate for all columns."""
     cols = string_columns(df)
-    likely = []
-    for c in cols:
-        first = df.select(quoted(c).alias("v")).filter("v IS NOT NULL").limit(DATE_SAMPLE)
-        if (first.agg(F.avg(F.col("v").rlike(LOOKS_LIKE_DATE).cast("int"))).first()[0] or 0.0) >= 0.5:
-            likely.append(c)
+    if not cols:
+        return {}
+    share = df.agg(*[F.avg(quoted(c).rlike(LOOKS_LIKE_DATE).cast("int")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    likely = [c for i, c in enumerate(cols) if (share[f"s{i}"] or 0.0) >= 0.5]
     found: dict[str, tuple[str, str]] = {}
     for dayfirst in (False, True):
         left = [c for c in likely if c not in found]

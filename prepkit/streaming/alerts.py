@@ -44,14 +44,14 @@ HOT_ROWS = 1_000_000
 
 def suppress_repeats(df: DataFrame, signature: Sequence[str], ts: str, window_seconds: int = 300,
                      parts: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Batch form: keeps (signature, ts) rows; of equal timestamps one row is kept.
+    """Batch form: keeps (signature, ts) rows; of equal timestamps one row is kept, events without a time go.
 
     Ordinary signatures are sorted inside their partition and folded batch by batch with one value of
     state, so no group is ever held. In a large table the signatures with more than ``hot_rows`` rows
     are taken out and folded range by range over many tasks instead.
     """
     keys, window = list(signature), window_seconds * 1_000_000
-    base = df.select(*keys, F.col(ts), as_number(df, ts).cast("bigint").alias("_t"))
+    base = df.select(*keys, F.col(ts), as_number(df, ts).cast("bigint").alias("_t")).filter("_t IS NOT NULL")
     n = bucket_count(df) if parts is None else parts
     if n == 1:
         return _fold_sorted(base, keys, ts, window)
@@ -121,7 +121,7 @@ def suppress_stream(stream: DataFrame, signature: Sequence[str], ts: str, window
     """Live form: the state is the time of the last alert sent per signature."""
     keys = list(signature)
     micros = window_seconds * 1_000_000
-    base = stream.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    base = stream.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).filter("_t IS NOT NULL")
     fields = ", ".join(f"`{k}` {t}" for k, t in base.select(*keys).dtypes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
