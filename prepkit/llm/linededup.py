@@ -69,7 +69,8 @@ def drop_repeated_chunks(
     gone = repeated_chunks(df, id_col, text_col, mean, least).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "gone")
     results = ["n_lines", "n_chunks", "lines_removed", "chunks_removed"]
     own = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in results), *text_key(id_col, text_col))
-    whole = own.join(gone, (F.col("_gth") == F.col("_th")) & F.col("_gid").eqNullSafe(F.col("_id")), "left").drop("_gid", "_gth", "_id", "_th")
+    # a merge join at every size: its shuffle of the texts grows with them, and hot keys can be split
+    whole = own.join(gone.hint("merge"), (F.col("_gth") == F.col("_th")) & F.col("_gid").eqNullSafe(F.col("_id")), "left").drop("_gid", "_gth", "_id", "_th")
     cut = chunked(whole, text_col, mean).withColumn("_chunks", _chunks())
     lost = lambda c: F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c.idx)
     total = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda a, c: a + c.lines)
