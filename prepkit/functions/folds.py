@@ -66,46 +66,3 @@ def equal_width(lo: float, hi: float, bins: int) -> Callable[[np.ndarray], np.nd
         return np.minimum(np.floor((v - lo) / width).astype("int64") + 1, bins)
 
     return place
-
-
-def value_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The non-missing values of each column of this task as one binary cell."""
-    parts: list[list[np.ndarray]] = []
-    for batch in batches:
-        for k, v in enumerate(columns_of(batch)):
-            if len(parts) <= k:
-                parts.append([])
-            parts[k].append(v[~np.isnan(v)])
-    if parts:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(parts)), pa.int32()), pa.array([np.concatenate(p).tobytes() for p in parts], pa.binary())],
-            names=["col", "data"])
-
-
-def bracket_regions(brackets: Sequence[Sequence[float]]) -> Callable[[np.ndarray], np.ndarray]:
-    """Odd = inside a [lo, hi] bracket, even = under, between or over them."""
-    lows = np.array([b[0] for b in brackets], dtype="float64")
-    highs = np.array([b[1] for b in brackets], dtype="float64")
-
-    def place(v: np.ndarray) -> np.ndarray:
-        return np.searchsorted(lows, v, side="right") + np.searchsorted(highs, v, side="left")
-
-    return place
-
-
-def bracket_values(place: Sequence[Callable[[np.ndarray], np.ndarray]]):
-    """Values inside brackets as (col, region, value, n), repeats within a batch already merged."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, v in enumerate(columns_of(batch)):
-                v = v[~np.isnan(v)]
-                region = place[k](v)
-                inside = region % 2 == 1
-                values, first, n = np.unique(v[inside], return_index=True, return_counts=True)
-                if len(values):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(values), k, dtype="int32")), pa.array(region[inside][first].astype("int32")),
-                         pa.array(values), pa.array(n.astype("int64"))], names=["col", "region", "value", "n"])
-
-    return fold

@@ -1,56 +1,34 @@
-"""Size checks: which of two exact plans to take, and how many ranges to cut work into."""
+"""How many ranges to cut work into, from counted rows; which side of a join is short."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_BYTES_CONF = "spark.prepkit.smallBytes"
-BUCKET_BYTES_CONF = "spark.prepkit.bucketBytes"
-_SMALL_BYTES = 64 << 20
-_BUCKET_BYTES = 128 << 20
-_MAX_BUCKETS = 10_000
-
-
-def _conf(spark: SparkSession, key: str, default: int) -> int:
-    return int(spark.conf.get(key, str(default)))
-
-
-def plan_bytes(df: DataFrame) -> float:
-    """The optimizer's size estimate for the frame; infinite when it cannot be had."""
-    try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:
-        return math.inf
+RANGE_ROWS_CONF = "spark.prepkit.rangeRows"
+_RANGE_ROWS = 1_000_000
+#: What a lookup side may hold to be sent to all tasks.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when the frame is known to fit one task comfortably."""
-    return plan_bytes(df) <= _conf(df.sparkSession, SMALL_BYTES_CONF, _SMALL_BYTES)
+def ranges_for(spark: SparkSession, rows: int) -> int:
+    """Ranges of about a million rows each (``spark.prepkit.rangeRows``)."""
+    return max(1, -(-rows // int(spark.conf.get(RANGE_ROWS_CONF, str(_RANGE_ROWS)))))
 
 
 def bucket_count(df: DataFrame) -> int:
-    """1 for a small frame, else enough ranges that each is about one bucket in size."""
-    size = plan_bytes(df)
-    if size <= _conf(df.sparkSession, SMALL_BYTES_CONF, _SMALL_BYTES):
-        return 1
-    if math.isinf(size):
-        return _MAX_BUCKETS
-    per = _conf(df.sparkSession, BUCKET_BYTES_CONF, _BUCKET_BYTES)
-    return int(min(_MAX_BUCKETS, max(2, math.ceil(size / per))))
+    """Ranges for the rows of the frame, which are counted."""
+    return ranges_for(df.sparkSession, df.count())
 
 
-def lookup_side(side: DataFrame, main: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A lookup side for a join with ``main``: broadcast when counted to be short.
+def lookup_side(side: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A lookup side of a join: broadcast when its counted rows and bytes are few.
 
-    For a small main table the choice is left to adaptive execution, which costs no extra job. A
-    longer side is joined by shuffle, with skewed keys split at run time.
+    A longer side is joined by shuffle, with skewed keys split at run time.
     """
-    if is_small(main) or side.limit(max_rows + 1).count() > max_rows:
-        return side
-    return F.broadcast(side)
+    text = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in side.columns])))
+    size = side.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return F.broadcast(side) if size[0] <= max_rows and 2 * size[1] <= max_bytes else side
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -137,7 +137,7 @@ def holiday_flag(df: DataFrame, col: str, calendar: DataFrame, country: str = "P
                  out: str = "is_holiday") -> DataFrame:
     """Whether the date is in the (country, day) calendar table; a missing date gives false."""
     days = calendar.filter(F.col("country") == country).select(F.to_date("day").alias("_day")).distinct()
-    days = lookup_side(days.withColumn("_hit", F.lit(True)), df)
+    days = lookup_side(days.withColumn("_hit", F.lit(True)))
     joined = df.withColumn("_on", F.to_date(quoted(col))).join(days, F.col("_on") == F.col("_day"), "left")
     return joined.withColumn(out, F.coalesce("_hit", F.lit(False))).drop("_on", "_day", "_hit")
 

@@ -2,8 +2,8 @@
 
 A plain ``Window.orderBy`` without (or with a hot) partition key runs in one task. Here the rows
 are cut into ranges of the order column; windows run inside (keys, range) and small per-range
-totals carry what is needed from one range to the next. A small frame uses a single range, which
-is the plain window.
+totals carry what is needed from one range to the next. The number of ranges follows the counted rows;
+a single range is the plain window.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 
 from prepkit.functions.columns import quoted, unique_name
 from prepkit.functions.hashing import digest_unit, row_digest
-from prepkit.functions.sizing import bucket_count, ensure_checkpoint_dir, is_small
-from prepkit.operators.quantiles import range_splitters
+from prepkit.functions.sizing import bucket_count, ranges_for
+from prepkit.operators.quantiles import ACCURACY, range_splitters
 
 RANGE = "_range"
 LABELS_PER_TASK = 1_000_000
+#: Even cuts that are taken along with the count; more ranges take a pass of their own.
+EVEN = 256
 #: Values that the cuts of a text column are taken from.
 CUT_SAMPLE = 10_000
 
@@ -41,13 +43,22 @@ def as_number(df: DataFrame, col: str) -> Column:
 
 def with_range(df: DataFrame, col: str, parts: int | None = None) -> tuple[DataFrame, int]:
     """Add ``_range``: rows with a smaller order value never sit in a later range."""
-    parts = bucket_count(df) if parts is None else parts
+    text = isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType, T.BooleanType))
+    axis = None if text else df.select(as_number(df, col).alias("x"))
+    cuts: list[float] | None = None
+    if parts is None and text:
+        parts = bucket_count(df)
+    elif parts is None:  # rows and even cuts in one pass
+        n, even = axis.agg(F.count(F.lit(1)), F.percentile_approx("x", F.array(*[F.lit(i / EVEN) for i in range(1, EVEN)]), F.lit(ACCURACY))).first()
+        parts = ranges_for(df.sparkSession, n)
+        if 1 < parts <= EVEN and even:
+            cuts = sorted({even[EVEN * i // parts - 1] for i in range(1, parts)})
     if parts <= 1:
         return df.withColumn(RANGE, F.lit(0)), 1
-    if isinstance(df.schema[col].dataType, (T.StringType, T.BinaryType, T.BooleanType)):
+    if text:
         return _with_text_range(df, col, parts)
-    axis = df.select(as_number(df, col).alias("x"))
-    cuts = range_splitters(axis, "x", parts)
+    if cuts is None:
+        cuts = range_splitters(axis, "x", parts)
     if not cuts:
         return df.withColumn(RANGE, F.lit(0)), 1
     spot = unique_name("_axis", df.columns)
@@ -115,20 +126,7 @@ def hash_ranks(df: DataFrame, groups: Sequence[str], key: Sequence[str], seed: i
 
 
 def dense_codes(labels: DataFrame, label: str, code: str) -> DataFrame:
-    """Codes 0.. for a frame of distinct labels in sorted order.
-
-    A short list (by checked size or by count) is numbered by one window. A long one is range-sorted,
-    checkpointed so that the partition of every label is fixed, and numbered range by range.
-    """
-    parts = 1
-    if not is_small(labels):
-        ensure_checkpoint_dir(labels.sparkSession)
-        labels = labels.checkpoint(eager=True)
-        parts = -(-labels.count() // LABELS_PER_TASK)
-    if parts <= 1:
-        w = Window.orderBy(label)
-        return labels.withColumn(code, (F.row_number().over(w) - 1).cast("bigint"))
-    pinned = (labels.repartitionByRange(parts, label).withColumn(RANGE, F.spark_partition_id())
-              .checkpoint(eager=True))
-    out = running_sums(pinned, [], [F.col(label)], {code: F.lit(1).cast("bigint")}, parts)
+    """Codes 0.. for a frame of distinct text labels in sorted order, numbered range by range."""
+    ranged, parts = _with_text_range(labels, label, -(-labels.count() // LABELS_PER_TASK) or 1)
+    out = running_sums(ranged, [], [F.col(label)], {code: F.lit(1).cast("bigint")}, parts)
     return out.withColumn(code, F.col(code) - 1).drop(RANGE)

@@ -24,7 +24,7 @@ from prepkit.functions.columns import (
 )
 from prepkit.functions.folds import COUNT_SCHEMA, bin_counter, equal_width
 from prepkit.functions.hashing import row_digest
-from prepkit.functions.sizing import is_small, lookup_side
+from prepkit.functions.sizing import lookup_side
 from prepkit.operators.ordering import dense_codes
 from prepkit.operators.quantiles import quantile_columns
 
@@ -179,7 +179,7 @@ def encode_target(df: DataFrame, target: str, out: str = "target_code") -> DataF
     if is_numeric(df.schema[target].dataType):
         return df.withColumn(out, quoted(target).cast("double"))
     codes = label_codes(df, target).select(F.col("label").alias("_label"), F.col("code").cast("double").alias(out))
-    joined = df.join(lookup_side(codes, df), quoted(target) == F.col("_label"), "left").drop("_label")
+    joined = df.join(lookup_side(codes), quoted(target) == F.col("_label"), "left").drop("_label")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
 
 
@@ -336,20 +336,18 @@ def pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """The n rows first in the hash order of ``key`` (all columns by default).
 
-    For a large table the rows are first cut down by a hash threshold that leaves a little more
+    The rows are first cut down by a hash threshold that leaves a little more
     than n of them, so that the final top-n does not merge n rows from every partition. If the
     threshold leaves fewer than n it is dropped: the result is the same either way.
     """
     digest = row_digest(list(key or df.columns), seed)
     tagged = df.withColumn("_digest", digest)
-    if not is_small(df):
-        total = df.count()
-        share = (n + 6 * (n**0.5) + 100) / max(total, 1)
-        if share < 0.5:
-            cut = F.lit(format(int(share * 16**8), "08x"))
-            kept = tagged.filter(F.col("_digest") < cut)
-            if kept.count() >= n:
-                tagged = kept
+    share = (n + 6 * (n**0.5) + 100) / max(df.count(), 1)
+    if share < 0.5:
+        cut = F.lit(format(int(share * 16**8), "08x"))
+        kept = tagged.filter(F.col("_digest") < cut)
+        if kept.count() >= n:
+            tagged = kept
     return tagged.orderBy("_digest", *(key or [])).limit(n).drop("_digest")
 
 

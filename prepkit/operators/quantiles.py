@@ -1,164 +1,147 @@
-"""Exact linear quantiles, by the plan that suits the size of the frame.
+"""Exact linear quantiles by narrowing brackets, one plan for every size of table.
 
-Tiny frame: the built-in exact ``percentile`` in one aggregate.
-
-Small frame (its checked size fits one task): tasks pack each column into one binary cell and every
-column is then solved on its own by NumPy; ``percentile`` boxes every value and is 4x slower here.
-
-Large frame: ``percentile`` would hold every distinct value of a column in one buffer, so three
-narrow passes are made instead. (1) A mergeable sketch brackets every wanted rank between two
-values. (2) One grouped count tells how many values lie under, in and between the brackets.
-(3) Only values inside the brackets (about 2/accuracy of the rows each) are counted per value and
-numbered bracket by bracket. The answer is exact; a bracket that misses its rank is widened.
+Doubles are mapped to whole numbers in the same order. A bracket is a range of them that holds a wanted
+rank; every pass counts the values of each bracket in a few thousand even steps and goes on with the step
+that holds the rank, cut down to the least and largest value in it. A bracket of one value is done; one of
+few values is gathered. The first pass parts values by sign and exponent, so two or three passes do as a
+rule, and seven at most. Tasks fold their Arrow batches to counts, so no task or group ever holds a column.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepkit.functions.columns import aggregate_rows, number, quoted
-from prepkit.functions.folds import COUNT_SCHEMA, bin_counter, bracket_regions, bracket_values, value_blobs
-from prepkit.functions.sizing import is_small, plan_bytes
+from prepkit.functions.columns import number, quoted
+from prepkit.functions.folds import columns_of
 
 ACCURACY = 10_000
-TINY_BYTES = 4 << 20
+#: Steps that the brackets of a column share in a pass, and values that they may hold when they are gathered.
+STEPS = 1 << 13
+GATHERED = 10_000
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+
+
+class Bracket(NamedTuple):
+    """Keys low..high hold ranks ``before``..``before + inside - 1``."""
+
+    low: int
+    high: int
+    before: int
+    inside: int
+
+
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of the doubles (0.0 and -0.0 are one)."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(_HIGH))
+
+
+def value_of(key: int) -> float:
+    k = np.array([key], np.int64)
+    return float((k ^ ((k >> 63) & np.int64(_HIGH))).view(np.float64)[0])
+
+
+def _steps(values: np.ndarray, brackets: list[tuple[int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bracket, steps, counts, least keys, largest keys) of the values; a bracket is (low, high, width of a step)."""
+    key, count = np.unique(keys_of(values), return_counts=True)
+    for b, (low, high, width) in enumerate(brackets):
+        own = slice(int(np.searchsorted(key, low, "left")), int(np.searchsorted(key, high, "right")))
+        k = key[own]
+        if len(k):
+            step = (k.view(np.uint64) - np.uint64(low & (2**64 - 1))) // np.uint64(width)
+            first = np.flatnonzero(np.diff(step, prepend=step[:1] - np.uint64(1)))
+            yield b, step[first].astype(np.int64), np.add.reduceat(count[own], first), k[first], k[np.append(first[1:], len(k)) - 1]
+
+
+def _fold(brackets: dict[int, list[tuple[int, int, int]]]):
+    """Counts of all columns' brackets, merged inside the task."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[np.ndarray]] = {}
+        for batch in batches:
+            for c, v in enumerate(columns_of(batch)):
+                if c in brackets:
+                    for b, *parts in _steps(v[~np.isnan(v)], brackets[c]):
+                        held.setdefault((c, b), []).append(np.vstack(parts))
+                        if len(held[c, b]) == 64:
+                            held[c, b] = [_merged(held[c, b])]
+        for (c, b), parts in held.items():
+            step, n, low, high = _merged(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(step), c, np.int32)), pa.array(np.full(len(step), b, np.int32)), *map(pa.array, (step, n, low, high))],
+                names=["col", "bracket", "step", "n", "low", "high"])
+
+    return fold
+
+
+def _merged(parts: list[np.ndarray]) -> np.ndarray:
+    step, n, low, high = np.hstack(parts)
+    order = np.argsort(step, kind="stable")
+    step, n, low, high = step[order], n[order], low[order], high[order]
+    first = np.flatnonzero(np.diff(step, prepend=step[:1] - 1))
+    return np.vstack([step[first], np.add.reduceat(n, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)])
+
+
+def _pass(values: DataFrame, brackets: dict[int, list[tuple[int, int, int]]]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+    """{(column, bracket): [(count, least key, largest key) of each step that has values, in order]}."""
+    counts = values.mapInArrow(_fold(brackets), "col int, bracket int, step bigint, n bigint, low bigint, high bigint")
+    total = counts.groupBy("col", "bracket", "step").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for r in sorted(total.collect()):  # at most STEPS a column
+        out.setdefault((r["col"], r["bracket"]), []).append((r["n"], r["low"], r["high"]))
+    return out
 
 
-def linear_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], plan: str | None = None
-) -> dict[str, list[float | None]]:
+def linear_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """{column: quantiles}; NULL and NaN are left out, an empty column gives None values."""
     cols, probs = list(cols), [float(p) for p in probs]
-    if not cols:
-        return {}
-    plan = plan or quantile_plan(df)
-    if plan == "tiny":
-        row = df.agg(*[F.percentile(number(df, c), F.array(*map(F.lit, probs))).alias(f"q{i}")
-                       for i, c in enumerate(cols)]).first()
-        return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
-    return _packed(df, cols, probs) if plan == "small" else _refined(df, cols, probs)
-
-
-def quantile_plan(df: DataFrame) -> str:
-    if plan_bytes(df) <= TINY_BYTES and is_small(df):
-        return "tiny"
-    return "small" if is_small(df) else "large"
-
-
-def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, Column]:
-    """{column: ARRAY<DOUBLE> of quantiles} to be used inside ``df.agg`` next to other aggregates."""
-    if quantile_plan(df) == "tiny":
-        return {c: F.percentile(number(df, c), F.array(*map(F.lit, probs))) for c in cols}
-    found = linear_quantiles(df, cols, probs)
-    return {c: F.array(*[F.lit(v).cast("double") for v in found[c]]) for c in cols}
-
-
-def _packed(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.concatenate([np.frombuffer(b, dtype="float64") for b in pdf["data"]])
-        q = np.quantile(v, probs).tolist() if len(v) else [None] * len(probs)
-        return pd.DataFrame({"col": [int(pdf["col"].iloc[0])], "q": [q]})
-
-    blobs = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(
-        value_blobs, "col int, data binary")
     out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    for r in blobs.groupBy("col").applyInPandas(solve, "col int, q array<double>").collect():
-        out[cols[r["col"]]] = list(r["q"])
+    if not cols or not probs:
+        return out
+    values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    signs = _pass(values, {i: [(_LOW, _HIGH, 1 << 52)] for i in range(len(cols))})
+    live = {i: _ranks(sum(s[0] for s in signs[i, 0]), probs) for i in range(len(cols)) if (i, 0) in signs}
+    sizes = {i: sum(s[0] for s in signs[i, 0]) for i in live}
+    at = {i: _narrowed(Bracket(_LOW, _HIGH, 0, sizes[i]), signs[i, 0], ranks) for i, ranks in live.items()}
+    while True:
+        most = {i: max(100, GATHERED // len(set(own.values()))) for i, own in at.items()}
+        asked = {i: sorted({b for b in own.values() if b.low < b.high and b.inside > most[i]}) for i, own in at.items()}
+        asked = {i: b for i, b in asked.items() if b}
+        if not asked:
+            break
+        found = _pass(values, {i: [(b.low, b.high, (b.high - b.low) // max(2, STEPS // len(own)) + 1) for b in own] for i, own in asked.items()})
+        for i, own in asked.items():
+            for k, b in enumerate(own):
+                at[i] |= _narrowed(b, found[i, k], [r for r, x in at[i].items() if x == b])
+    few = {i: sorted({b for b in own.values() if b.low < b.high}) for i, own in at.items()}
+    few = {i: b for i, b in few.items() if b}
+    spans = {i: {r: value_of(b.low) for r, b in own.items() if b.low == b.high} for i, own in at.items()}
+    if few:
+        # steps of width 1 hold one value each; a bracket has at most GATHERED values
+        found = _pass(values, {i: [(b.low, b.high, 1) for b in own] for i, own in few.items()})
+        for i, own in few.items():
+            for k, b in enumerate(own):
+                exact = _narrowed(b, found[i, k], [r for r, x in at[i].items() if x == b])
+                spans[i] |= {r: value_of(x.low) for r, x in exact.items()}
+    for i in live:
+        out[cols[i]] = [_between(spans[i], (sizes[i] - 1) * p) for p in probs]
     return out
 
 
-def _brackets(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, tuple[int, list[list[float]]]]:
-    eps = 2.0 / ACCURACY
-    inner = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-eps, eps)})
-    rows = aggregate_rows(df, cols, {
-        "n": lambda c: F.count(number(df, c)),
-        "lo": lambda c: F.min(number(df, c)),
-        "hi": lambda c: F.max(number(df, c)),
-        "q": lambda c: F.percentile_approx(number(df, c), F.array(*map(F.lit, inner)), F.lit(ACCURACY)),
-    }).collect()
+def _narrowed(bracket: Bracket, steps: list[tuple[int, int, int]], ranks: list[int]) -> dict[int, Bracket]:
+    """The bracket of each rank after a pass."""
+    ends = np.cumsum([s[0] for s in steps]) + bracket.before
     out = {}
-    for r in rows:
-        if not r["n"]:
-            out[r["feature"]] = (0, [])
-            continue
-        at = dict(zip(inner, r["q"]))
-        pairs = []
-        for p in sorted(set(probs)):
-            lo = r["lo"] if p - eps <= 0 else at[max(0.0, p - eps)]
-            hi = r["hi"] if p + eps >= 1 else at[min(1.0, p + eps)]
-            pairs.append([lo, hi])
-        out[r["feature"]] = (r["n"], _merge(pairs))
-    return out
-
-
-def _merge(pairs: list[list[float]]) -> list[list[float]]:
-    merged: list[list[float]] = []
-    for lo, hi in sorted(pairs):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
-    return merged
-
-
-def _refined(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    sketched = _brackets(df, cols, probs)
-    sizes = {c: sketched[c][0] for c in cols}
-    brackets = {c: sketched[c][1] for c in cols}
-    live = [c for c in cols if sizes[c]]
-    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
-    if not live:
-        return out
-    wanted = {c: _ranks(sizes[c], probs) for c in live}
-    values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(live)])
-    while True:
-        counts: dict[str, dict[int, int]] = {c: {} for c in live}
-        places = [bracket_regions(brackets[c]) for c in live]
-        for r in (values.mapInArrow(bin_counter(places), COUNT_SCHEMA).filter("bin >= 0")
-                  .groupBy("col", "bin").agg(F.sum("n").alias("n")).collect()):
-            counts[live[r["col"]]][r["bin"]] = r["n"]
-        missed = [c for c in live if not _covered(wanted[c], counts[c], len(brackets[c]))]
-        if not missed:
-            break
-        for c in missed:  # a sketch out of its error bound: take the whole range of that column
-            brackets[c] = [[brackets[c][0][0], brackets[c][-1][1]]] if len(brackets[c]) > 1 else [[-math.inf, math.inf]]
-    offset = {}
-    for c in live:
-        before = 0
-        for region in range(2 * len(brackets[c]) + 1):
-            offset[c, region] = before
-            before += counts[c].get(region, 0)
-    inside = (values.mapInArrow(bracket_values(places), "col int, region int, value double, n bigint")
-              .groupBy("col", "region", "value").agg(F.sum("n").alias("n")))
-    w = Window.partitionBy("col", "region").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("upto", F.sum("n").over(w))
-    tests = []
-    for c in live:
-        for region in range(1, 2 * len(brackets[c]), 2):
-            start, end = offset[c, region], offset[c, region] + counts[c].get(region, 0)
-            local = [r - start for r in wanted[c] if start <= r < end]
-            hit = [(F.col("upto") - F.col("n") <= F.lit(r)) & (F.lit(r) < F.col("upto")) for r in local]
-            if hit:
-                any_hit = hit[0]
-                for h in hit[1:]:
-                    any_hit = any_hit | h
-                tests.append((F.col("col") == live.index(c)) & (F.col("region") == region) & any_hit)
-    keep = tests[0]
-    for t in tests[1:]:
-        keep = keep | t
-    spans: dict[str, list[tuple[int, int, float]]] = {c: [] for c in live}
-    for r in placed.filter(keep).collect():
-        c = live[r["col"]]
-        base = offset[c, r["region"]]
-        spans[c].append((base + r["upto"] - r["n"], base + r["upto"], r["value"]))
-    for c in live:
-        out[c] = [_interpolate(spans[c], (sizes[c] - 1) * p) for p in probs]
+    for r in ranks:
+        n, low, high = steps[int(np.searchsorted(ends, r, "right"))]
+        out[r] = Bracket(low, high, int(ends[int(np.searchsorted(ends, r, "right"))]) - n, n)
     return out
 
 
@@ -167,21 +150,15 @@ def _ranks(n: int, probs: list[float]) -> list[int]:
     return sorted({f(s) for s in spots for f in (math.floor, math.ceil)})
 
 
-def _covered(ranks: list[int], counts: dict[int, int], n_brackets: int) -> bool:
-    inside, before = [], 0
-    for region in range(2 * n_brackets + 1):
-        if region % 2:
-            inside.append((before, before + counts.get(region, 0)))
-        before += counts.get(region, 0)
-    return all(any(a <= r < b for a, b in inside) for r in ranks)
-
+def _between(values: dict[int, float], spot: float) -> float:
+    lo, hi = values[math.floor(spot)], values[math.ceil(spot)]
+    return lo if lo == hi else lo + (hi - lo) * (spot - math.floor(spot))
 
-def _interpolate(spans: list[tuple[int, int, float]], spot: float) -> float:
-    def at(rank: int) -> float:
-        return next(v for a, b, v in spans if a <= rank < b)
 
-    lo, hi = at(math.floor(spot)), at(math.ceil(spot))
-    return lo if lo == hi else lo + (hi - lo) * (spot - math.floor(spot))
+def quantile_columns(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, Column]:
+    """{column: ARRAY<DOUBLE> of quantiles} to be used inside ``df.agg`` next to other aggregates."""
+    found = linear_quantiles(df, cols, probs)
+    return {c: F.array(*[F.lit(v).cast("double") for v in found[c]]) for c in cols}
 
 
 def range_splitters(df: DataFrame, col: str, parts: int) -> list[float]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prepkit.functions.columns import quoted
 from prepkit.functions.hashing import hash_unit, row_digest
-from prepkit.functions.sizing import bucket_count, is_small, lookup_side
+from prepkit.functions.sizing import bucket_count, lookup_side
 from prepkit.operators.ordering import hash_ranks
 from prepkit.operators.profile import label_codes
 
@@ -20,7 +20,7 @@ def encode_labels(df: DataFrame, target: str, out: str = "label") -> DataFrame:
     """Labels as sorted text -> 0..k-1 (numbers are compared as text, as their names would be)."""
     text = df.withColumn("_text", F.coalesce(quoted(target).cast("string"), F.lit("nan")))
     codes = label_codes(text, "_text").select(F.col("label").alias("_text"), F.col("code").alias(out))
-    return text.join(lookup_side(codes, df), "_text").drop("_text")
+    return text.join(lookup_side(codes), "_text").drop("_text")
 
 
 def decode_labels(df: DataFrame, codes: DataFrame, code: str, out: str) -> DataFrame:
@@ -39,7 +39,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str | None = None
     ranked = hash_ranks(df, groups, key, seed)
     if label:
         sizes = df.groupBy(quoted(label)).agg(F.count("*").alias("_n"))
-        sizes = lookup_side(sizes.withColumnRenamed(label, "_l"), df)
+        sizes = lookup_side(sizes.withColumnRenamed(label, "_l"))
         ranked = ranked.join(sizes, quoted(label).eqNullSafe(F.col("_l"))).drop("_l")
     else:
         ranked = ranked.withColumn("_n", df.agg(F.count("*")).scalar())
@@ -67,7 +67,8 @@ def nearest_neighbours(points: DataFrame, key: str, features: str, k: int = 5,
     """
     block = 4096
     if pivots is None:
-        pivots = 1 if is_small(points) else int(min(2000, max(2, 16 * bucket_count(points))))
+        ranges = bucket_count(points)
+        pivots = 1 if ranges == 1 else int(min(2000, 16 * ranges))
     base = points.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("v"))
     # pivots: the first rows in hash order, a fixed number of vectors
     centres = np.array([r["v"] for r in base.orderBy(row_digest(["id"], "pivot"), "id").limit(pivots).collect()])

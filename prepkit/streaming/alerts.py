@@ -56,7 +56,7 @@ def suppress_repeats(df: DataFrame, signature: Sequence[str], ts: str, window_se
     if n == 1:
         return _fold_sorted(base, keys, ts, window)
     hot = base.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
-    hot = lookup_side(hot, df)  # at most rows / hot_rows signatures
+    hot = lookup_side(hot)  # at most rows / hot_rows signatures
     cold = _fold_sorted(base.join(hot, keys, "left_anti"), keys, ts, window)
     return cold.unionByName(_fold_ranges(base.join(hot, keys, "left_semi"), keys, ts, window, n))
 

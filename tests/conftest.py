@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from prepkit.functions.sizing import BUCKET_BYTES_CONF, SMALL_BYTES_CONF  # noqa: E402
+from prepkit.functions.sizing import RANGE_ROWS_CONF  # noqa: E402
 from prepkit.session import local_session  # noqa: E402
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -20,12 +20,10 @@ def spark():
 
 @pytest.fixture
 def scaled(spark):
-    """Take the plans meant for large tables, with small pieces."""
-    spark.conf.set(SMALL_BYTES_CONF, "0")
-    spark.conf.set(BUCKET_BYTES_CONF, "4000")
+    """Small ranges, as many as a large table has."""
+    spark.conf.set(RANGE_ROWS_CONF, "60")
     yield spark
-    spark.conf.unset(SMALL_BYTES_CONF)
-    spark.conf.unset(BUCKET_BYTES_CONF)
+    spark.conf.unset(RANGE_ROWS_CONF)
 
 
 @pytest.fixture

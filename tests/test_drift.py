@@ -70,16 +70,18 @@ def test_partition_invariance(spark, table, parts):
     assert rows(dr.bin_counts(moved, moved, dr.plan_psi(moved, ["l_quantity"])), "feature", "bin") == want
 
 
-@pytest.mark.parametrize("plan", ["tiny", "small", "large"])
-def test_quantile_plans_are_exact(spark, plan):
+@pytest.mark.parametrize("gathered", [1, 50, 10_000])
+def test_quantiles_are_exact(spark, monkeypatch, gathered):
+    monkeypatch.setattr("prepkit.operators.quantiles.GATHERED", gathered)
     rng = np.random.RandomState(1)
     pdf = pd.DataFrame({"a": rng.normal(size=3000), "b": np.where(rng.rand(3000) < 0.4, 7.0, rng.rand(3000)),
-                        "c": rng.randint(0, 5, 3000).astype(float)})
+                        "c": rng.randint(0, 5, 3000).astype(float), "d": 10.0 ** rng.uniform(-300, 300, 3000) * rng.choice([-1, 1], 3000),
+                        "e": np.where(rng.rand(3000) < 0.1, 1e300, -0.0)})
     pdf.loc[::7, "a"] = np.nan
     df = spark.createDataFrame(pdf).withColumn("empty", F.lit(None).cast("double"))
     probs = [0, 0.01, 0.3333, 0.5, 0.9, 1]
-    got = linear_quantiles(df, ["a", "b", "c", "empty"], probs, plan=plan)
-    for c in "abc":
+    got = linear_quantiles(df, ["a", "b", "c", "d", "e", "empty"], probs)
+    for c in "abcde":
         assert got[c] == pytest.approx(list(pdf[c].quantile(probs)), rel=1e-12)
     assert got["empty"] == [None] * 6
 
@@ -88,7 +90,7 @@ def test_large_plan_equals_small(scaled, table):
     items = table("lineitem")
     base, curr = items.filter("year(l_shipdate) <= 1996"), items.filter("year(l_shipdate) > 1996")
     large = rows(dr.psi_table(base, curr).select("feature", F.round("psi", 12)), "feature")
-    scaled.conf.unset("spark.prepkit.smallBytes")
+    scaled.conf.unset("spark.prepkit.rangeRows")
     assert large == rows(dr.psi_table(base, curr).select("feature", F.round("psi", 12)), "feature")
 
 

@@ -46,7 +46,7 @@ def test_infinite_values_have_no_bin(spark):
 def test_rows_in_the_order_of_a_text(scaled, spark):
     df = spark.range(500).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("k"), F.col("id").cast("double").alias("p"))
     got = rows(sc.predict_chunks(df, "p", ["k"], 7), "chunk")
-    scaled.conf.unset("spark.prepkit.smallBytes")
+    scaled.conf.unset("spark.prepkit.rangeRows")
     assert got == rows(sc.predict_chunks(df, "p", ["k"], 7), "chunk")
     holes = df.withColumn("k", F.expr("nullif(k, '0007')"))
     assert [r[0] for r in rows(od.row_numbers(holes, [], "k", parts=9).filter("k IS NULL").select("_pos"))] == [1]

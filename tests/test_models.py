@@ -31,7 +31,7 @@ def test_curves_with_ties(scaled, spark, levels):
     for _ in range(2):
         r = mt.binary_metrics(df, "y", "s").first()
         assert (r["roc_auc"], r["pr_auc"]) == pytest.approx(brute(y, s))
-        scaled.conf.unset("spark.prepkit.smallBytes")
+        scaled.conf.unset("spark.prepkit.rangeRows")
 
 
 def test_one_class_has_no_area(spark):
@@ -65,7 +65,7 @@ def test_split_and_folds_do_not_depend_on_partitions(spark, table, parts):
 def test_large_split_equals_small(scaled, table):
     c = table("customer")
     large = rows(sp.stratified_split(c, ["c_custkey"], "c_mktsegment").select("c_custkey", "is_test"), "c_custkey")
-    scaled.conf.unset("spark.prepkit.smallBytes")
+    scaled.conf.unset("spark.prepkit.rangeRows")
     assert rows(sp.stratified_split(c, ["c_custkey"], "c_mktsegment").select("c_custkey", "is_test"), "c_custkey") == large
 
 

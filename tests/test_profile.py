@@ -69,7 +69,7 @@ def test_label_codes_large_plan(scaled, spark, monkeypatch):
 def test_sample_is_stable(scaled, spark):
     df = spark.range(5000).withColumn("v", F.col("id") * 2)
     want = rows(pf.sample_rows(df, 50), "id")
-    scaled.conf.unset("spark.prepkit.smallBytes")
+    scaled.conf.unset("spark.prepkit.rangeRows")
     assert rows(pf.sample_rows(df.repartition(7), 50), "id") == want and len(want) == 50
     assert pf.sample_rows(df, 10_000).count() == 5000
 
