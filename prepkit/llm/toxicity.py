@@ -136,9 +136,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
         return pa.RecordBatch.from_arrays([batch.column("_label").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(tops, pa.list_(pa.float64()))], names=["label", "n", "tops"])
 
     schema = StructType([StructField("label", LongType()), StructField("n", LongType()), StructField("tops", ArrayType(DoubleType()))])
-    seen = arrow_map(sample, best, schema).orderBy("label", "n", "tops").toArrow()  # a few numbers for each sampled row
+    seen = arrow_map(sample, best, schema).toArrow()  # a few numbers for each sampled row
     sample.unpersist()
-    y, n, tops = np.minimum(seen["label"].to_numpy(), 1), np.maximum(1, seen["n"].to_numpy()), seen["tops"].to_pylist()
+    ordered = sorted(zip(*(seen[c].to_pylist() for c in ("label", "n", "tops")), strict=True))  # so that sums repeat
+    y, n, tops = np.array([min(r[0], 1) for r in ordered]), np.array([max(1, r[1]) for r in ordered]), [r[2] for r in ordered]
     # maximum likelihood of K from the clean texts' best scores
     log_k = float(np.log((y == 0).sum()) - np.log(sum(m * np.exp(-max(x, default=0.0)) for m, x, own in zip(n, tops, y == 0, strict=True) if own)))
     least = -np.log(E_MOST)
