@@ -65,4 +65,4 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc, op3_sentencepiece_sampling, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
-ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op8_exact_topk": topk.SQL}
+ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_secret_scans": secretscan.SQL, "op8_exact_topk": topk.SQL}

@@ -114,9 +114,43 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     merged = grouped.groupBy("_id", "_th", "_group").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     cuts = written(merged.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts")), "cuts").withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
     own = df.select("*", *text_key(id_col, text_col))
-    joined = own.join(cuts, (F.col("_fth") == F.col("_th")) & F.col("_fid").eqNullSafe(F.col("_id")), "left")
+    joined = own.join(cuts.hint("merge"), (F.col("_fth") == F.col("_th")) & F.col("_fid").eqNullSafe(F.col("_id")), "left")
     text, at = F.col(text_col), F.col("_cuts")
     begin = lambda i: F.when(i > 1, F.element_at(at, i - 1).end).otherwise(0)
     stop = lambda i: F.when(i <= F.size(at), F.element_at(at, i).start).otherwise(F.length(text).cast("long"))
     parts = F.transform(F.sequence(F.lit(1), F.size(at) + 1), lambda i: F.substring(text, (begin(i) + 1).cast("int"), (stop(i) - begin(i)).cast("int")))
     return joined.withColumn(text_col, F.when(at.isNull(), text).otherwise(F.array_join(parts, mark))).drop("_cuts", "_fid", "_fth", "_id", "_th")
+
+
+def _sql_hits(kind: str, place: int, pattern: str, group: int) -> str:
+    p = pattern.replace("'", "''")
+    return (f"SELECT doc_id, source, '{kind}' AS kind, {place} AS place, string_split_regex(text, '{p}') AS g, "
+            f"regexp_extract_all(text, '{p}', 0) AS f, regexp_extract_all(text, '{p}', {group}) AS v FROM documents WHERE regexp_matches(text, '{p}')")
+
+
+_SQL_HITS = " UNION ALL ".join(_sql_hits(*x) for x in (("assign", 1, ASSIGN, 2), ("access", 2, ACCESS, 0), ("hex", 3, HEX, 0), ("owned", 4, OWNED, 0)))
+
+#: DuckDB SQL of the query over documents.
+SQL = f"""
+WITH hits AS ({_SQL_HITS}),
+one AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM hits),
+placed AS (
+  SELECT doc_id, source, kind, place, v[i] AS value, (list_sum(list_transform(g[1:i], lambda x: len(x)))
+    + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: len(x))), 0))::BIGINT AS start, len(f[i]) AS size FROM one),
+good AS (
+  SELECT *, start + size AS stop FROM placed WHERE CASE kind WHEN 'assign' THEN len(value) >= {LEAST_ASSIGN}
+    WHEN 'owned' THEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {LEAST_DIFFERENT} ELSE true END),
+free AS (
+  SELECT * FROM good o WHERE place < 4 OR NOT EXISTS (
+    SELECT 1 FROM good b WHERE b.doc_id = o.doc_id AND b.place < 4 AND b.start < o.stop AND b.stop > o.start)),
+owners AS (SELECT value, count(DISTINCT source) < {COPIED_OWNERS} AS live FROM free GROUP BY value),
+judged AS (SELECT f.*, live FROM free f JOIN owners USING (value) WHERE place < 4 OR live),
+found AS (
+  SELECT doc_id, count(*) FILTER (place = 1) AS n_assign, count(*) FILTER (place = 2) AS n_access, count(*) FILTER (place = 3) AS n_hex,
+    count(*) FILTER (place = 4) AS n_owned, count(*) FILTER (place < 4 AND NOT live) AS n_copied, count(*) FILTER (live) AS n_live,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) FILTER (place < 4) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied, coalesce(n_live, 0) AS n_live
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
