@@ -34,7 +34,7 @@ def normalize_missing(spark, d):
 
 
 def downcast_plan(spark, d):
-    return rd.downcast_plan(table(spark, d, "lineitem").withColumn("big", F.col("l_orderkey") * 1000000)).filter("old_type <> 'double'")
+    return rd.downcast_plan(table(spark, d, "lineitem").withColumns({"big": F.col("l_orderkey") * 1000000, "wide": F.col("l_extendedprice") * 1e40}))
 
 
 def auto_parse_dates(spark, d):
@@ -216,7 +216,9 @@ ORACLES = {
             ("l_orderkey", "bigint", "l_orderkey"), ("l_partkey", "bigint", "l_partkey"), ("l_suppkey", "bigint", "l_suppkey"),
             ("l_linenumber", "int", "l_linenumber"), ("big", "bigint", "l_orderkey * 1000000"))) +
         ") SELECT feature, old_type, CASE WHEN lo >= -128 AND hi < 128 THEN 'tinyint' WHEN lo >= -32768 AND hi < 32768 THEN 'smallint' "
-        "WHEN lo >= -2147483648 AND hi < 2147483648 THEN 'int' ELSE 'bigint' END AS new_type FROM t",
+        "WHEN lo >= -2147483648 AND hi < 2147483648 THEN 'int' ELSE 'bigint' END AS new_type FROM t UNION ALL " + " UNION ALL ".join(
+        f"SELECT '{c}', 'double', CASE WHEN bool_and(abs({e}) < 3.4e38 AND abs(try_cast({e} AS FLOAT)::DOUBLE - {e}) <= abs({e}) * 1e-5 + 1e-8) THEN 'float' ELSE 'double' END FROM lineitem"
+        for c, e in (("l_quantity", "l_quantity"), ("l_extendedprice", "l_extendedprice"), ("l_discount", "l_discount"), ("l_tax", "l_tax"), ("wide", "(l_extendedprice * 1e40)"))),
     "auto_parse_dates": "SELECT o_orderkey, o_orderdate::DATE::TIMESTAMP AS iso, o_orderdate::DATE::TIMESTAMP AS dmy, o_orderpriority FROM orders",
     "clean_text": "WITH t AS (SELECT doc_id, chr(160) || ' ' || replace(text, '. ', '.' || chr(160) || ' ' || chr(9)) || ' ' AS text, lang FROM documents) "
                   "SELECT doc_id, md5(trim(regexp_replace(text, '[\\s\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS text, "

@@ -208,7 +208,7 @@ def schema_diff(spark, d):
 
 
 def checksum(spark, d):
-    return st.content_checksum(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+    return st.content_checksum(table(spark, d, "customer"))
 
 
 QUERIES = {
@@ -323,5 +323,5 @@ ORACLES = {
     "schema_diff": "WITH n AS (SELECT count(*) AS n_rows FROM orders) SELECT e.column, e.expected, e.actual, n_rows FROM n, (VALUES "
                    "('o_custkey', 'bigint', NULL), ('o_orderstatus', 'string', NULL), ('o_totalprice', 'double', NULL), ('o_orderdate', 'timestamp_ntz', NULL), "
                    "('o_orderpriority', 'string', NULL), ('c_custkey', 'int', 'bigint')) e(\"column\", expected, actual)",
-    "content_checksum": "SELECT count(*) AS rows, sum(('0x' || substr(md5(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_mktsegment), 1, 15))::BIGINT)::VARCHAR AS hash_sum FROM customer",
+    "content_checksum": "SELECT count(*) AS rows, sum(('0x' || substr(md5(c_custkey || '|' || c_name || '|' || c_nationkey || '|' || c_acctbal || '|' || c_mktsegment), 1, 15))::BIGINT)::VARCHAR AS hash_sum FROM customer",
 }

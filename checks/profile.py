@@ -76,7 +76,7 @@ def recommend(spark, d):
     df = table(spark, d, "customer").withColumn("k", F.lit(1)).withColumn(
         "c_mktsegment", F.when(F.col("c_custkey") > 20, "A").otherwise(F.col("c_mktsegment")))
     found = recommendations(pf.constant_columns(df), pf.high_cardinality(df), "classification", pf.class_stats(df, "c_mktsegment"))
-    return found.filter("rule NOT IN ('models', 'drift')")
+    return found
 
 
 def describe_numeric(spark, d):
@@ -131,8 +131,7 @@ QUERIES = {
     "infer_problem_type": infer_problem_type,
     "encode_target": encode_target,
     "numeric_signals": numeric_signals,
-    "variance_signals": lambda s, d: _r(pf.variance_signals(table(s, d, "lineitem").select(
-        "l_quantity", "l_discount", "l_tax", "l_linenumber")), "score"),
+    "variance_signals": lambda s, d: _r(pf.variance_signals(table(s, d, "lineitem")), "score", places=3),
     "class_stats": lambda s, d: _r(pf.class_stats(table(s, d, "customer").withColumn(
         "c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')")), "c_mktsegment"), "fraction"),
     "recommendations": recommend,
@@ -215,7 +214,7 @@ ORACLES = {
                      "CASE WHEN p IS NULL THEN -1.0::DOUBLE ELSE (dense_rank() OVER (PARTITION BY p IS NULL ORDER BY p) - 1)::DOUBLE END AS target_code FROM t",
     "numeric_signals": f"WITH {_HOLES} " + _each([c for c in NUM if c != "l_extendedprice"],
                                                  "SELECT '{c}' AS feature, round(abs(corr({c}, l_extendedprice)), 6) AS score FROM {s}"),
-    "variance_signals": _each(["l_quantity", "l_discount", "l_tax", "l_linenumber"], "SELECT '{c}' AS feature, round(var_pop({c}), 6) AS score FROM {s}", "lineitem"),
+    "variance_signals": _each(NUM, "SELECT '{c}' AS feature, round(var_pop({c}), 3) AS score FROM {s}", "lineitem"),
     "class_stats": "WITH t AS (SELECT nullif(c_mktsegment, 'BUILDING') AS label FROM customer) SELECT label, count(*) AS n, "
                    "round(count(*) / (SELECT count(*) FROM t), 6) AS fraction, (SELECT count(DISTINCT label) FROM t) AS n_classes FROM t GROUP BY label "
                    "ORDER BY n DESC, label LIMIT 10",
@@ -223,9 +222,11 @@ ORACLES = {
                        "f AS (SELECT max(n) / sum(n) AS top FROM (SELECT count(*) AS n FROM t GROUP BY seg)), "
                        "c AS (" + _each(["c_custkey", "c_name", "c_nationkey", "c_acctbal", "seg", "k"],
                                         "SELECT '{c}' AS feature, count(DISTINCT {c}) AS nd, count(*) AS n FROM {s}", "t") + ") "
-                       "SELECT 'constant' AS rule, 'Drop constant columns: ' || string_agg(feature, ', ' ORDER BY feature) AS message FROM c WHERE nd = 1 HAVING count(*) > 0 UNION ALL "
-                       "SELECT 'high_cardinality', 'Use target encoding or hashing for: ' || string_agg(feature, ', ' ORDER BY feature) FROM c WHERE nd / n >= 0.5 HAVING count(*) > 0 UNION ALL "
-                       "SELECT 'imbalance', 'Strong class imbalance: stratify, weight or oversample, judge by PR area.' FROM f WHERE top > 0.8",
+                       "SELECT 'constant' AS rule, 'Columns with one value, to be dropped: ' || string_agg(feature, ', ' ORDER BY feature) AS message FROM c WHERE nd = 1 HAVING count(*) > 0 UNION ALL "
+                       "SELECT 'high_cardinality', 'Columns of mostly distinct values, to be encoded by target or hash: ' || string_agg(feature, ', ' ORDER BY feature) FROM c WHERE nd / n >= 0.5 HAVING count(*) > 0 UNION ALL "
+                       "SELECT 'imbalance', printf('The largest class has %.1f%% of the rows: split by class, weight classes, judge by precision and recall.', top * 100) FROM f WHERE top > 0.8 UNION ALL "
+                       "SELECT 'models', 'Compare boosted trees with a linear model, and calibrate before a threshold is set.' UNION ALL "
+                       "SELECT 'drift', 'Track PSI of the features against the training table.'",
     "describe_numeric": f"WITH {_HOLES} " + _each(NUM, "SELECT '{c}' AS feature, " + _STATS.replace("{extra}", "") + " FROM {s}"),
     "describe_all": f"WITH {_HOLES} " + _each(NUM, "SELECT '{c}' AS feature, " + _STATS.replace(
         "{extra}", ", NULL::DOUBLE AS \"unique\", NULL::VARCHAR AS top, NULL::DOUBLE AS freq") + " FROM {s}") + " UNION ALL " + _each(TEXT, _TOPS),

@@ -47,23 +47,12 @@ def number(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    floats = [f.name for f in df.schema if is_floating(f.dataType)]
-    return df.withColumns({c: present(df, c) for c in floats}) if floats else df
-
-
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}; available: {df.columns[:20]}")
 
 
-def unpivot_numbers(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """One row per (row, column) as (ids..., feature, value DOUBLE)."""
-    entries = [F.struct(F.lit(c).alias("feature"), number(df, c).alias("value")) for c in cols]
-    return df.select(*[quoted(i) for i in ids], F.inline(F.array(*entries)))
-
-
 def _typed_entry(df: DataFrame, name: str) -> Column:
     """(feature, i, d, s): the value sits in the slot of its own kind, so no text casts."""
     dtype = df.schema[name].dataType

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 MISSING_TOKENS = ("", "na", "n/a", "none", "null", "nan", "-", "--")
 
 # Space characters other than the ASCII ones.
-UNICODE_SPACES = r"[   -   　]"
+UNICODE_SPACES = r"[\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]"
 
 # Java's \s is ASCII only; (?U) makes it Unicode. A run is anything but one ordinary space.
 SPACE_RUN = r"(?U)[^\S ]\s*| \s+"

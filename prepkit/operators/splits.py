@@ -162,7 +162,8 @@ def oversample_minority(df: DataFrame, key: str, label: str, features: str, k: i
     """
     sizes = {r["y"]: r["n"] for r in df.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).collect()}
     top = max(sizes.values())
-    out = df.select(F.col(key).cast("bigint").alias(key), F.col(label), F.col(features).cast("array<double>").alias(features))
+    kind = df.schema[key].dataType
+    out = df.select(F.col(key), F.col(label), F.col(features).cast("array<double>").alias(features))
     for y, n in sorted(sizes.items(), key=lambda x: str(x[0])):
         if n == top:
             continue
@@ -180,7 +181,7 @@ def oversample_minority(df: DataFrame, key: str, label: str, features: str, k: i
                              hash_unit([key, "_i"], f"{seed}u").alias("_u"))
         other = members.select(F.col(key).alias("_b_id"), F.col(features).alias("_b"))
         made = drawn.join(other, "_b_id").select(
-            F.lit(None).cast("bigint").alias(key), F.col(label),
+            F.lit(None).cast(kind).alias(key), F.col(label),
             F.zip_with("_a", "_b", lambda a, b: a + (b - a) * F.col("_u")).alias(features))
         out = out.unionByName(made)
     return out

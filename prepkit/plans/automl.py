@@ -270,10 +270,12 @@ def train_baseline(df: DataFrame, target: str, key: Sequence[str], seed: int = 4
 
 
 def search(data: DataFrame, key: str, classes: int, trials: int = 30, seed: int = 42, folds: int = 5,
-           rounds: tuple[int, int] = (300, 900), parallelism: int = 4, oversample: bool = True) -> DataFrame:
+           rounds: tuple[int, int] = (300, 900), parallelism: int = 4, oversample: bool = True,
+           raw: Sequence[str] | None = None) -> DataFrame:
     """(trial, family, score, error): mean cross-validated weighted f1 / R2 of each draw.
 
-    ``data`` has (key, label, features). Folds and their oversampled training sets do not depend on
+    ``data`` has (key, label, features), or with ``raw`` the raw feature columns: then the preprocessor is
+    fitted on each fold's training rows alone. Folds and their oversampled training sets do not depend on
     the draw, so they are made once and written out; the fits of a fold then run side by side.
     """
     spark = data.sparkSession
@@ -286,7 +288,11 @@ def search(data: DataFrame, key: str, classes: int, trials: int = 30, seed: int
     errors: dict[tuple[int, str], str] = {}
     try:
         for f in range(folds):
-            train, held = folded.filter(F.col("fold") != f).select(key, "label", "features"), folded.filter(F.col("fold") == f)
+            train, held = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+            if raw is not None:
+                pre = build_preprocessor(train, raw).fit(train)
+                train, held = pre.transform(train), pre.transform(held)
+            train = train.select(key, "label", "features")
             if is_cls and oversample:
                 train = with_oversampling(train, key)
             train = train.persist()
@@ -296,7 +302,7 @@ def search(data: DataFrame, key: str, classes: int, trials: int = 30, seed: int
                 try:
                     return trial, name, judge.evaluate(est.fit(train).transform(held)), None
                 except Exception as e:  # a failed draw is reported and skipped
-                    return trial, name, None, str(e)[:200]
+                    return trial, name, None, str(e)
 
             with ThreadPool(parallelism) as pool:
                 for trial, name, score, err in pool.map(run, drawn):
@@ -402,10 +408,10 @@ def train_fusion(df: DataFrame, target: str, key: str, seed: int = 42, trials: i
     is_cls = infer_problem_type(df, target, "fusion") == "classification"
     data, labels = _labelled(df, target, is_cls)
     classes = len(labels) if labels else 0
-    pre = build_preprocessor(df, features).fit(df)
-    ready = pre.transform(data).select(F.col(key).cast("bigint").alias(key), "label", "features").persist()
+    pre = build_preprocessor(df, features).fit(df)  # for the members, which learn from all rows
+    ready = pre.transform(data).select(key, "label", "features").persist()
     try:
-        tried = search(ready, key, classes, trials, seed, folds, rounds, parallelism)
+        tried = search(data.select(key, "label", *features), key, classes, trials, seed, folds, rounds, parallelism, raw=features)
         board = [(r["family"], r["mean_score"]) for r in leaderboard(tried).collect()]
         if not board:
             raise RuntimeError("no candidate could be evaluated")

@@ -227,7 +227,9 @@ def fit_forecast(series: DataFrame, params: ForecastParams = ForecastParams(), k
         if p.freq is None:
             at = _future_by_freq(series, facts, p.periods, keys)
     extra: list[str] = []
-    if p.country_holidays and holidays is not None:
+    if p.country_holidays and holidays is None:
+        raise ValueError("country_holidays needs a calendar of holidays")
+    if p.country_holidays:
         known = holiday_flag(known, "ds", holidays, p.country_holidays, "_holiday")
         at = holiday_flag(at, "ds", holidays, p.country_holidays, "_holiday")
         extra.append("_holiday")
@@ -235,6 +237,8 @@ def fit_forecast(series: DataFrame, params: ForecastParams = ForecastParams(), k
         history = series.select(*keys, "ds", *p.regressors)
         values = history if future_regressors is None else history.unionByName(future_regressors.select(*keys, "ds", *p.regressors))
         at = at.join(values.dropDuplicates([*keys, "ds"]), [*keys, "ds"], "left")
+        if not at.filter(" OR ".join(f"`{r}` IS NULL" for r in p.regressors)).isEmpty():
+            raise ValueError(f"regressors without a value at dates to forecast: {list(p.regressors)}")
         extra += list(p.regressors)
     width = SEASONAL + len(extra)
     scale_by_key = _tune(series, p, keys, holidays) if p.tune_changepoint else None

@@ -21,17 +21,18 @@ def recommendations(constant: DataFrame, high_card: DataFrame, problem: str, cla
                 .select(F.lit(rule).alias("rule"),
                         F.concat(F.lit(text), F.concat_ws(", ", "n")).alias("message")))
 
-    out = named(constant, "constant", "Drop constant columns: ").unionByName(
-        named(high_card, "high_cardinality", "Use target encoding or hashing for: "))
+    out = named(constant, "constant", "Columns with one value, to be dropped: ").unionByName(
+        named(high_card, "high_cardinality", "Columns of mostly distinct values, to be encoded by target or hash: "))
     fixed = []
     if problem == "classification" and classes is not None:
         out = out.unionByName(classes.agg(F.max("fraction").alias("m")).filter(F.col("m") > IMBALANCE).select(
             F.lit("imbalance").alias("rule"),
-            F.lit("Strong class imbalance: stratify, weight or oversample, judge by PR area.").alias("message")))
-        fixed.append(("models", "Try boosted trees and calibrate probabilities before using thresholds."))
+            F.format_string("The largest class has %.1f%% of the rows: split by class, weight classes, judge by precision and recall.",
+                            F.col("m") * 100).alias("message")))
+        fixed.append(("models", "Compare boosted trees with a linear model, and calibrate before a threshold is set."))
     if problem == "regression":
-        fixed.append(("models", "Check for non-linearity; try boosted trees, and elastic net as a linear baseline."))
-    fixed.append(("drift", "Monitor drift (PSI) of key features against the training reference."))
+        fixed.append(("models", "Compare boosted trees with a regularised linear model to see whether effects are linear."))
+    fixed.append(("drift", "Track PSI of the features against the training table."))
     return out.unionByName(local_rows(constant.sparkSession, fixed, "rule string, message string"))
 
 

@@ -43,9 +43,10 @@ class Files:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        if self.exists(path):
-            self.remove(path)
-        self.rename(part, path)
+        fs = self._jvm.org.apache.hadoop.fs
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = self._jvm.java.lang.Enum.valueOf(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
+        fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(part), self._path(path), options)
 
     def read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))

@@ -214,7 +214,9 @@ class FeatureStore(_Versions):
         return df.select(*columns) if columns else df
 
     def head(self, name: str, n: int = 5, order: Sequence[str] | None = None) -> DataFrame:
-        return head(self.read_latest(name), n, order)
+        """The first rows along ``order``, or any n rows without one."""
+        df = self.read_latest(name)
+        return head(df, n, order) if order else df.limit(n)
 
     def sample(self, name: str, n: int = 5, seed: int = 42) -> DataFrame:
         return sample_rows(self.read_latest(name), n, seed)

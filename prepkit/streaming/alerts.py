@@ -66,9 +66,15 @@ def _fold_sorted(base: DataFrame, keys: list[str], ts: str, window: int) -> Data
         last_key, last = None, 0
         for pdf in batches:
             keep = np.zeros(len(pdf), dtype=bool)
-            for i, (k, t) in enumerate(zip(pdf["_k"].tolist(), pdf["_t"].tolist())):
-                if k != last_key or t - last >= window:
-                    keep[i], last_key, last = True, k, t
+            times, names = pdf["_t"].to_numpy(), pdf["_k"].to_numpy()
+            starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(pdf) else []
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):  # jumps from kept event to kept event in a signature's run
+                run = times[a:b]
+                first = int(np.searchsorted(run, last + window, side="left")) if names[a] == last_key else 0
+                kept = _chain(run, first, window)
+                if kept:
+                    keep[a + np.array(kept)] = True
+                    last_key, last = names[a], int(run[kept[-1]])
             yield pdf.loc[keep, [*keys, ts]]
 
     fields = ", ".join(f"`{k}` {t}" for k, t in base.select(*keys, ts).dtypes)
