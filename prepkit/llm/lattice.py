@@ -28,7 +28,7 @@ from prepkit.llm.common import texts_of
 
 SPACE = "▁"
 #: Words whose lattices a worker keeps.
-KEPT_WORDS = 180_000
+KEPT_WORDS = 300_000
 #: Log-probability by which bytes of unknown characters lie below the rarest piece.
 BYTE_PENALTY = 10.0
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -62,6 +62,7 @@ class Vocabulary:
         self.unknown = sp.unk_id()
         pieces = {i: sp.id_to_piece(i) for i in plain}
         self.inner_space = any(SPACE in p.lstrip(SPACE) for p in pieces.values())
+        self.inner_break = any("\n" in p and p != "\n" for p in pieces.values())
         self.text = [b""] * n  # what an id decodes to, with spaces as SPACE
         for i, p in pieces.items():
             self.text[i] = p.encode()
@@ -95,12 +96,23 @@ class Vocabulary:
 
     def units(self, normal: str) -> list[str]:
         """Parts of a normalised text that no piece crosses."""
-        if self.inner_space:
+        if self.inner_space or not normal:
             return [normal] if normal else []
         if SPACE + SPACE in normal or normal[-1:] == SPACE:
             return _UNITS.findall(normal)
-        head, *rest = normal.split(SPACE)
-        return [head, *map(SPACE.__add__, rest)] if head else [SPACE + r for r in rest]
+        if self.inner_break:
+            return self._line(normal)
+        first, *lines = normal.split("\n")
+        out = self._line(first)
+        for line in lines:
+            out.append("\n")
+            out += self._line(line)
+        return out
+
+    @staticmethod
+    def _line(text: str) -> list[str]:
+        head, *rest = text.split(SPACE)
+        return [head, *map(SPACE.__add__, rest)] if head else list(map(SPACE.__add__, rest))
 
     def edges(self, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, id) of all edges over the bytes; end[i]: where the unit of byte i ends."""
@@ -182,11 +194,12 @@ class Lattices:
         order = np.argsort((left << 40) | (a << 8) | (255 - np.minimum(b - a, 255)))
         a, b, piece, left = a[order], b[order], piece[order], left[order]
         score = self.alpha * self.v.score[piece]
-        beta = np.full(len(data) + 1, -np.inf)
+        last = b - a == left  # the edge ends its unit
+        beta = np.zeros(len(data) + 1)
         weight = np.zeros(len(a))
         cuts = np.flatnonzero(np.diff(left, prepend=-1))
         for s, e in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
-            w = score[s:e] + np.where(b[s:e] == end[a[s:e]], 0.0, beta[np.minimum(b[s:e], len(data) - 1)])
+            w = score[s:e] + np.where(last[s:e], 0.0, beta[b[s:e]])
             heads = np.flatnonzero(np.diff(a[s:e], prepend=-1))
             top = np.maximum.reduceat(w, heads)
             each = np.diff(np.append(heads, e - s))
@@ -200,7 +213,7 @@ class Lattices:
         total = np.cumsum(np.exp(weight))
         cum = total - np.repeat(total[heads] - np.exp(weight[heads]), each)
         self._put(self.nodes, start=start, degree=degree)
-        self._put(self.n_edges, to=np.where(b == end[a], 0, b + self.nodes), id=piece, head=np.repeat(heads + self.n_edges, each), logp=weight, cum=cum)
+        self._put(self.n_edges, to=np.where(last, 0, b + self.nodes), id=piece, head=np.repeat(heads + self.n_edges, each), logp=weight, cum=cum)
         self.first.update(zip(new, (unit_end - sizes + self.nodes).tolist(), strict=True))
         self.nodes, self.n_edges = self.nodes + len(data), self.n_edges + len(a)
 
@@ -257,14 +270,15 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
 
 
 def _seeds(key: int, sample: int, n: int, kind: int) -> np.ndarray:
+    """Counters, of which the draws are hashes."""
     top = mixed(np.array([(key & (2**64 - 1)) ^ (sample << 8) ^ kind], np.uint64))
-    return mixed(top + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return top + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
 
 
 def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k distinct segmentations (ids, log-probability, perturbed score, log of the inclusion
+    """For each normalised text up to k distinct segmentations (ids, log-probability, perturbed score, log of the inclusion
     probability), by descending perturbed score."""
-    split = [lat.v.units(lat.v.library.normalize(t)) if t else [] for t in texts]
+    split = [lat.v.units(t) for t in texts]
     lat.learn(set().union(*split))
     first = [np.fromiter(map(lat.first.__getitem__, s), np.int64, len(s)) for s in split]
     paths: list[list[Path]] = [[] for _ in texts]
@@ -371,12 +385,11 @@ def sample_segmentations(
     def run(batches):
         lat = lattices(path, alpha)
         for batch in batches:
-            texts, keys, owner, rows = texts_of(batch, "_text"), batch.column("_key").to_pylist(), [], []
+            texts, keys, owner, rows = [lat.v.library.normalize(t) if t else "" for t in texts_of(batch, "_text")], batch.column("_key").to_pylist(), [], []
             for i, samples in enumerate(sample_texts(lat, texts, keys, k)):
-                normal = lat.v.library.normalize(texts[i]) if texts[i] else ""
                 for r, (ids, logp, perturbed, inclusion) in enumerate(samples or [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]):
                     owner.append(i)
-                    rows.append((r + 1, ids, logp, perturbed, inclusion, decoded(lat.v, ids) == normal))
+                    rows.append((r + 1, ids, logp, perturbed, inclusion, decoded(lat.v, ids) == texts[i]))
             if rows:
                 kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(

@@ -144,12 +144,12 @@ def test_samples_are_the_lattices(lat, text):
     paths = _all_segmentations(lat.v, normal)
     weight = np.array([0.5 * sum(lat.v.score[i] for i in p) for p in paths])
     share = {tuple(p): w for p, w in zip(paths, np.exp(weight) / np.exp(weight).sum(), strict=True)}
-    every = lattice.sample_texts(lat, [text], [7], 10_000)[0]
+    every = lattice.sample_texts(lat, [normal], [7], 10_000)[0]
     assert sorted(tuple(x[0].tolist()) for x in every) == sorted(share)  # all of them, none twice
     assert all(math.exp(x[1]) == pytest.approx(share[tuple(x[0].tolist())], rel=1e-6) and x[3] == 0 for x in every)
     assert all(a[2] >= b[2] for a, b in zip(every, every[1:], strict=False))
     n = 3000
-    drawn = lattice.sample_texts(lat, [text] * n, list(range(n)), 2)
+    drawn = lattice.sample_texts(lat, [normal] * n, list(range(n)), 2)
     firsts = collections.Counter(tuple(x[0][0].tolist()) for x in drawn)
     estimate = collections.Counter()
     for x in drawn:
