@@ -11,24 +11,29 @@ from prepkit.llm.common import written
 def _starred(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (u, v) with u > v: neighbours are tied to the least one instead of to u."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    both = written(both, "sides")
     least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     tied = both.join(least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return written(out.where("u <> v").distinct(), "star")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node has one parent at most, and no parent has one."""
+    sides = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    nodes = sides.groupBy("n").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return nodes.where("child > 1 OR (child = 1 AND parent = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the undirected edges (a, b): label is the least node of its component."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        now = written(_starred(written(_starred(now, True), "large"), False), "small")
-        found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if found == state or found[0] == 0:
+        now = _starred(_starred(now, True), False)
+        if _is_forest_of_stars(now):
             break
-        state = found
-    return written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "components")
+    own = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    return written(own.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "components")
