@@ -4,11 +4,11 @@
    tokens last), a parity bitmap and a few minimum hashes.
 2. Groups of similar nodes: nodes that share a minimum hash are compared with one pivot of theirs, the one with
    the largest share of frequent tokens (in a group of copies that is nearest to their origin), and in a second
-   round with another. Links found are exact, and components are the groups.
+   round with another in each bucket. Links found are exact, and components are the groups.
 3. The matrix holds the union of each group's prefix tokens, a row a token and group. A query's overlap with a
    group is at most its prefix tokens in the group's union plus its tokens after the prefix; that reaches the least
    overlap of a link only if the union holds a prefix token. Groups that qualify are opened: their nodes that
-   share the token, fit in size and pass the bitmap's bound are compared exactly.
+   share the token, fit in size, and pass the bounds by the tokens before it and by the bitmap are compared exactly.
 
 No link between nodes of one group is needed for components, so that large groups of copies are never paired
 within. The global order only has to be the same everywhere; which tokens count as frequent changes the work, not
@@ -147,6 +147,12 @@ def _folded(bits: Column, size: Column) -> Column:
     return F.when(F.size(bits) > size, F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(bits)
 
 
+def _differing(a: str, b: str) -> Column:
+    """Bits in which two bitmaps differ, the longer one folded to the shorter."""
+    size = F.least(F.size(a), F.size(b))
+    return F.aggregate(F.zip_with(_folded(F.col(a), size), _folded(F.col(b), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 class Verifier:
     """Exact comparison of pairs (a, b) of nodes; token sets are made again from the texts of the nodes asked for."""
 
@@ -158,10 +164,8 @@ class Verifier:
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs (with na, nb) whose sizes and bitmaps allow a link."""
         sides = [self.sketches.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"]
-        size = F.least(F.size("bits_a"), F.size("bits_b"))
         met = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where("5 * na >= 4 * nb AND 5 * nb >= 4 * na")
-        differing = F.aggregate(F.zip_with(_folded(F.col("bits_a"), size), _folded(F.col("bits_b"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return written(met.where(9 * differing <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb"), "near")
+        return written(met.where(9 * _differing("bits_a", "bits_b") <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb"), "near")
 
     def tokens(self, near: DataFrame) -> DataFrame:
         nodes = written(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "asked")
@@ -204,19 +208,23 @@ def pivot_pairs(banded: DataFrame, rank: list[Column], groups: DataFrame | None)
     return _labelled(_labelled(written(pairs, "pairs"), groups, "a", "ga"), groups, "b", "gb").where("ga <> gb").select("a", "b")
 
 
-def opened_pairs(features: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b) of different groups where the matrix has a prefix token of one in the other's group and sizes fit."""
+def opened_pairs(features: DataFrame, groups: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b) of different groups where the matrix has a prefix token of one in the other's group and all bounds hold."""
     own = _labelled(features.where("prefix IS NOT NULL").select("node", "n", "prefix"), groups, "node", "g")
-    at = own.select("node", "g", F.posexplode("prefix").alias("pos", "token"), (F.col("n") * 2).alias("n2"), (F.col("n") - F.floor((8 * F.col("n") + 8) / 9) + 1).alias("il"))
-    posts = at.select("token", "node", "g", (F.col("n2") + (F.col("pos") < F.col("il")).cast("long")).alias("ni")).repartition("token")
+    at = own.select("node", "g", "n", F.posexplode("prefix").alias("pos", "token"))
+    posts = at.select("token", "node", "g", (F.shiftleft("n", 24) + F.col("pos")).alias("np")).repartition("token")
     matrix = posts.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
     crossed = matrix.groupBy("token").agg(F.max(F.struct("c", "g")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", F.col("top.g").alias("top"))
-    rows = written(posts.join(crossed, "token").select("token", "node", "g", (F.col("ni") / 2).cast("long").alias("n"), (F.col("ni") % 2 == 1).alias("indexed"), "top").distinct(), "crossed")
-    a = rows.where("g <> top").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("indexed").alias("ia"))
-    b = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("indexed").alias("ib"), (F.col("g") == F.col("top")).alias("big"))
+    found = posts.join(crossed, "token").select("token", "node", "g", F.shiftright("np", 24).alias("n"), (F.col("np") % (1 << 24)).alias("pos"), "top").distinct()
+    rows = written(found.join(sketches.select("node", "bits"), "node"), "crossed")
+    a = rows.where("g <> top").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("pos").alias("pa"), F.col("bits").alias("bits_a"))
+    b = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("pos").alias("pb"), F.col("bits").alias("bits_b"), (F.col("g") == F.col("top")).alias("big"))
     fits = F.expr("ga <> gb AND (big OR a < b) AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na")
-    smaller = F.expr("CASE WHEN na < nb OR (na = nb AND a < b) THEN ia ELSE ib END")
-    return a.join(b, "token").where(fits & smaller).select("a", "b").distinct()
+    smaller = F.expr("CASE WHEN na < nb OR (na = nb AND a < b) THEN pa < na - (8 * na + 8) div 9 + 1 ELSE pb < nb - (8 * nb + 8) div 9 + 1 END")
+    # what stands before their first common token is in one of the two alone: too much of that, and they can't link
+    before = F.expr("9 * (pa + pb) <= na + nb")
+    alike = 9 * _differing("bits_a", "bits_b") <= F.col("na") + F.col("nb")
+    return a.join(b, "token").where(fits & smaller & before & alike).select("a", "b").distinct()
 
 
 def _joined(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -227,10 +235,11 @@ def _joined(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     banded = written(banded, "bands")
     links = check.links(pivot_pairs(banded, [F.col("hot")], None))
     groups = components(links)
-    more = check.links(pivot_pairs(banded, [F.xxhash64("node")], groups))
+    # another pivot in every bucket, so that a node meets several of its group
+    more = check.links(pivot_pairs(banded, [F.xxhash64("node", "band")], groups))
     links = links.unionByName(more)
     groups = components(links)
-    links = links.unionByName(check.links(opened_pairs(features, groups)))
+    links = links.unionByName(check.links(opened_pairs(features, groups, check.sketches)))
     rows = features.select("_id", "_th", F.col("n").alias("n_shingles"), "node")
     return written(_labelled(rows, components(links), "node", "_label").drop("node"), "labelled")
 
@@ -258,7 +267,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     first = labelled.where("_label IS NOT NULL").groupBy("_label").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._th", F.col("k._id").alias("_kid"))
     keep = written(first.unionByName(labelled.where("n_shingles = 0").select("_th", F.col("_id").alias("_kid"))).distinct(), "kept")
     own = df.select("*", *text_key(id_col, text_col))
-    left = own.join(keep.withColumnRenamed("_th", "_kth"), (F.col("_th") == F.col("_kth")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
+    left = own.join(keep.withColumnRenamed("_th", "_kth").hint("merge"), (F.col("_th") == F.col("_kth")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
     return left.dropDuplicates(["_id", "_th"]).drop("_id", "_th")
 
 
