@@ -33,6 +33,8 @@ BANDS = 8
 FREQUENT_SETS, FREQUENT_TOKENS = 8, 500_000
 #: Rows of two numbers up to which a side is sent to all tasks.
 BROADCAST_ROWS = 1_000_000
+#: 64-bit words of a bitmap that go along with every row of the matrix that is opened (a power of 2).
+CARRIED_WORDS = 8
 #: Sets whose tokens a task counts at a time.
 COUNTED_TOKENS = 4_000_000
 _SEEDS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -153,6 +155,13 @@ def _differing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(_folded(F.col(a), size), _folded(F.col(b), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def _short(bits: str) -> Column:
+    """The bitmap folded to CARRIED_WORDS words at most; it still differs in no more bits than the sets in tokens."""
+    size = F.size(bits)
+    word = lambda j: F.aggregate(F.sequence(j, size, F.lit(CARRIED_WORDS)), F.lit(0).cast("long"), lambda x, i: x.bitwiseXOR(F.element_at(bits, i)))
+    return F.when(size <= CARRIED_WORDS, F.col(bits)).otherwise(F.transform(F.sequence(F.lit(1), F.lit(CARRIED_WORDS)), word))
+
+
 class Verifier:
     """Exact comparison of pairs (a, b) of nodes; token sets are made again from the texts of the nodes asked for."""
 
@@ -216,7 +225,7 @@ def opened_pairs(features: DataFrame, groups: DataFrame, sketches: DataFrame) ->
     matrix = posts.groupBy("token", "g").agg(F.count(F.lit(1)).alias("c"))
     crossed = matrix.groupBy("token").agg(F.max(F.struct("c", "g")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", F.col("top.g").alias("top"))
     found = posts.join(crossed, "token").select("token", "node", "g", F.shiftright("np", 24).alias("n"), (F.col("np") % (1 << 24)).alias("pos"), "top").distinct()
-    rows = written(found.join(sketches.select("node", "bits"), "node"), "crossed")
+    rows = written(found.join(sketches.select("node", _short("bits").alias("bits")), "node"), "crossed")
     a = rows.where("g <> top").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("pos").alias("pa"), F.col("bits").alias("bits_a"))
     b = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("pos").alias("pb"), F.col("bits").alias("bits_b"), (F.col("g") == F.col("top")).alias("big"))
     fits = F.expr("ga <> gb AND (big OR a < b) AND 5 * na >= 4 * nb AND 5 * nb >= 4 * na")

@@ -95,6 +95,19 @@ def test_bounds():
             assert set(small[: jaccard.index_length(len(small))].tolist()) & set(large[: jaccard.probe_length(len(large))].tolist())
 
 
+def test_folded_bitmaps(spark):
+    import numpy as np
+
+    sets = [np.arange(k, k + 5000, dtype=np.int64) * 7919 for k in (0, 40, 4000)]
+    df = spark.createDataFrame([(i, [int(v) for v in jaccard.parity_bitmap(s)]) for i, s in enumerate(sets)], "i int, bits array<long>")
+    short = {r.i: np.array(r.b, np.int64) for r in df.select("i", jaccard._short("bits").alias("b")).collect()}
+    for i, s in enumerate(sets):
+        whole = jaccard.parity_bitmap(s)
+        while len(whole) > jaccard.CARRIED_WORDS:
+            whole = whole[: len(whole) // 2] ^ whole[len(whole) // 2 :]
+        assert (short[i] == whole).all()
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, 5000 + k) for k in range(200)]
