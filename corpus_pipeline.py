@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import fresh_path, table, tuned
 from prepkit.llm.jaccard import one_of_each
-from prepkit.llm.linededup import drop_repeated_chunks
+from prepkit.llm.linededup import drop_repeated_runs
 from prepkit.llm.packing import best_fit_pack
 from prepkit.llm.quality import quality_rules
 from prepkit.llm.secretscan import redact
@@ -28,9 +28,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the line chunks that another document or place has had before."""
+    """All documents, without the runs of lines that another document or place has had before."""
     tuned(spark)
-    return _counted(drop_repeated_chunks(docs), docs)
+    return _counted(drop_repeated_runs(docs), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,14 +4,17 @@ Line hashes are rolled over a window of lines; a chunk ends where the rolled val
 length. Boundaries depend on the lines near them alone, so that lines put in before a repeated passage
 shift nothing. Chunks of ``least`` lines and more whose hash occurs again are compared byte by byte, and
 of equal ones the first (by id, then place) stays. DataFrame functions only.
+
+Such chunks go only if both ends fall alike in two documents. :func:`drop_repeated_runs`, which the pipeline
+takes, has no boundaries: it looks at every position, and short passages go with their edge lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prepkit.llm.common import text_key, written
+from prepkit.llm.common import WORD, text_key, written
 
 #: Repeated hashes (8 bytes each) up to which the filter of the second scan is sent to all tasks.
 BROADCAST_ROWS = 1_000_000
@@ -86,6 +89,62 @@ def drop_repeated_chunks(
     return out.drop("_lines", "_ends", "_chunks", "gone")
 
 
+def _runs(lines: Column, at: Column, long_words: int) -> Column:
+    """Array of (start, stop), line numbers from 1: each two neighbours of the lines ``at``, and each long line."""
+    pairs = F.transform(at, lambda x, i: F.struct(x.alias("start"), F.get(at, i + 1).alias("stop")))
+    long = F.filter(at, lambda x: F.regexp_count(F.element_at(lines, x), F.lit(WORD)) >= long_words)
+    return F.concat(F.filter(pairs, lambda p: p.stop.isNotNull()), F.transform(long, lambda x: F.struct(x.alias("start"), x.alias("stop"))))
+
+
+def repeated_runs(df: DataFrame, id_col: str, text_col: str, long_words: int) -> DataFrame:
+    """Rows (_id, _th, cuts): the ranges (start, stop) of lines that each document loses, apart and ascending."""
+    keyed = df.select(*text_key(id_col, text_col), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
+    filled = keyed.withColumn("_at", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.element_at("_lines", i).rlike(r"[^\s]")))
+    cut = filled.withColumn("_runs", _runs(F.col("_lines"), F.col("_at"), long_words))
+    body = lambda r: F.array_join(F.slice("_lines", r.start, r.stop - r.start + 1), "\n")
+    hashes = cut.select(F.explode(F.transform("_runs", lambda r: F.xxhash64(body(r)))).alias("h"))
+    hashes = written(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "hashes")
+    near = F.broadcast(hashes) if hashes.count() <= BROADCAST_ROWS else hashes
+    runs = cut.select("_id", "_th", F.inline(F.transform("_runs", lambda r: F.struct(r.start.alias("start"), r.stop.alias("stop"), body(r).alias("body")))))
+    found = written(runs.withColumn("h", F.xxhash64("body")).join(near, "h", "left_semi"), "runs")
+    place = F.struct("_id", "_th", "start", "stop")
+    first = written(found.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    again = found.join(first, ["h", "body"]).where(place != F.col("first"))
+    # equal lines in a row overlap the first run of them, which stays whole
+    over = (F.col("_th") == F.col("first._th")) & F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("start") <= F.col("first.stop"))
+    gone = again.select("_id", "_th", F.when(over, F.col("first.stop") + 1).otherwise(F.col("start")).alias("start"), "stop").distinct()
+    line = Window.partitionBy("_id", "_th").orderBy("start", "stop")
+    new = F.col("start") > F.coalesce(F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
+    merged = gone.withColumn("_new", new.cast("int")).withColumn("_group", F.sum("_new").over(line))
+    merged = merged.groupBy("_id", "_th", "_group").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return written(merged.groupBy("_id", "_th").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cuts")), "cuts")
+
+
+def drop_repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = 50) -> DataFrame:
+    """df without the runs of two lines and more, and the lines of ``long_words`` words and more, that stand before.
+
+    Every two neighbouring lines are looked up, so that a run goes wherever it starts, to its full extent; of
+    equal ones the first (by id, then place) is kept unless its lines belong to another run that stands before.
+    Adds n_lines and lines_removed. Lines of white space alone count as no lines: they go inside a run, and stay
+    elsewhere. A text all of whose lines go is empty, a null text stays null with 0 lines. Rows that repeat in id
+    and text have the same result, as copies of one document. Columns of df named like a result are replaced by it.
+    """
+    cuts = repeated_runs(df, id_col, text_col, long_words).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), F.col("cuts").alias("_cuts"))
+    own = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in ("n_lines", "lines_removed")), *text_key(id_col, text_col))
+    whole = own.join(cuts.hint("merge"), (F.col("_gth") == F.col("_th")) & F.col("_gid").eqNullSafe(F.col("_id")), "left").drop("_gid", "_gth", "_id", "_th")
+    lined = whole.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+    at, size = F.col("_cuts"), F.size("_lines")
+    begin = lambda i: F.when(i > 1, F.element_at(at, i - 1).stop).otherwise(0)
+    stop = lambda i: F.when(i <= F.size(at), F.element_at(at, i).start - 1).otherwise(size)
+    left = F.transform(F.sequence(F.lit(1), F.size(at) + 1), lambda i: F.slice("_lines", begin(i) + 1, stop(i) - begin(i)))
+    out = lined.withColumns({
+        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(size).cast("long"),
+        "lines_removed": F.when(at.isNull(), F.lit(0)).otherwise(F.aggregate(at, F.lit(0), lambda n, c: n + c.stop - c.start + 1)).cast("long"),
+        text_col: F.when(at.isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(left), "\n")),
+    })
+    return out.drop("_lines", "_cuts")
+
+
 #: DuckDB SQL of the query: documents, mean 3, at least 2 lines.
 SQL = r"""
 WITH lines AS (

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from prepkit.llm import linededup, secretscan, warc
 from prepkit.llm.common import fresh_path
 from tests.conftest import rows
@@ -60,6 +61,41 @@ def test_boundaries_resist_shifts(docs):
     assert linededup.drop_repeated_chunks(df).where("doc_id = 2").first().lines_removed >= 15
 
 
+def _python_runs(docs, long_words=50):
+    seen, out = {}, {}
+    for i, text in sorted(docs.items()):
+        lines, gone = (text or "").split("\n"), set()
+        at = [k for k, line in enumerate(lines) if re.search(r"[^ \t-\r]", line)]
+        for a, b in sorted([*zip(at, at[1:]), *((k, k) for k in at if len(lines[k].split()) >= long_words)]):
+            doc, last = seen.setdefault("\n".join(lines[a : b + 1]), (i, b))
+            if (doc, last) != (i, b):
+                gone |= set(range(last + 1 if doc == i and a <= last else a, b + 1))
+        out[i] = (None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+    return out
+
+
+def test_repeated_runs(docs):
+    rng = random.Random(3)
+    many = [*LINES, "\t", " ".join(["word"] * 50), " ".join(["word"] * 49)]
+    texts = {i: "\n".join(rng.choice(many) if rng.random() < 0.3 else f"own {rng.random()}" for _ in range(rng.randint(1, 20))) for i in range(80)}
+    texts |= {80: None, 81: "", 82: "single", 83: "\n".join(LINES), 84: "\n\n\n\n", 85: "\n".join(LINES * 300), 86: "same\nsame\nsame\nsame"}
+    df = docs([(i, t, "s") for i, t in texts.items()]).withColumn("n_lines", F.lit("clash"))
+    got = {r.doc_id: (r.text, r.lines_removed) for r in linededup.drop_repeated_runs(df).collect()}
+    assert got == _python_runs(texts)
+    assert got[86] == ("same\nsame", 2) and sum(lost for _, lost in got.values()) > 100
+    twice = docs([(1, texts[83], "s"), (1, texts[83], "s"), (2, texts[83], "s"), (None, texts[83], "s")])
+    assert sorted(r.lines_removed for r in linededup.drop_repeated_runs(twice).where("doc_id > 0").collect()) == [15, 15, 15]
+    assert linededup.drop_repeated_runs(df.where("false")).count() == 0
+
+
+def test_short_passages_go_completely(docs):
+    passages = [[f"passage {p}, line {k}" for k in range(n)] for n in (2, 3, 4, 5) for p in [n, 10 + n, 20 + n]] + [[" ".join(["long"] * 50)]]
+    own = lambda d: [f"own {d} {k}" for k in range(3)]
+    data = [(d * 100 + p, "\n".join([*own((d, p, 0)), *lines, *own((d, p, 1))]), "s") for p, lines in enumerate(passages) for d in range(3)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.lines(docs(data).sparkSession, docs(data), "").collect()}
+    assert all(left[i] == (text if i < 100 else "\n".join(own((i // 100, i % 100, 0)) + own((i // 100, i % 100, 1)))) for i, text, _ in data)
+
+
 # The base patterns as the task gives them.
 BASE = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
 
