@@ -87,6 +87,7 @@ def top_inner_products(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     A query's candidates are all rows with another id. Vectors are integers (floor of 256 x); ties go to smaller
     ids. Vectors that are null or hold nulls or numbers that aren't finite take no part, as rows without an id;
     shorter vectors count as padded with zeros; rows that repeat are candidates each; an empty table has no rows.
+    Where an id divisible by ``every`` has several rows, each of them asks, and the k best of all are its results.
     """
     spark = df.sparkSession
     vectors = written(integer_vectors(df, id_col, vector_col).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)), "vectors")
@@ -100,20 +101,22 @@ def top_inner_products(df: DataFrame, id_col: str = "vec_id", vector_col: str =
     cuts = vectors.repartitionByRange(n_blocks, F.desc("norm2"), "id").withColumn("block", F.spark_partition_id())
     blocks = written(cuts.groupBy("block", "norm2", "id", "v").agg(F.count(F.lit(1)).alias("copies")), "blocks")
     longest = blocks.groupBy("block").agg(F.max("norm2").alias("most"))
-    queries = written(vectors.where(F.col("id") % every == 0).dropDuplicates(["id"]).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("norm2").alias("q2"),
-                      F.pmod(F.xxhash64("id"), F.lit(n_groups)).alias("part")), "queries")
+    # equal rows of an id ask once, and their results count as often as there are rows, of which k fill all places
+    asking = vectors.where(F.col("id") % every == 0).groupBy("id", "v", "norm2").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("times"))
+    queries = written(asking.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("norm2").alias("q2"), "times",
+                      F.pmod(F.xxhash64("id", "v"), F.lit(n_groups)).alias("part")), "queries")
 
     def opened(pairs: DataFrame) -> DataFrame:
         """Every (query group, block) is one task's group: at most some thousand candidates and hundreds of queries."""
-        asked = pairs.select("part", "block", "query_id", "q", "least", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<long>").alias("v"), F.lit(1).cast("long").alias("copies"))
+        asked = pairs.select("part", "block", "query_id", "q", "least", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<long>").alias("v"), F.col("times").alias("copies"))
         met = pairs.select("part", "block").distinct().join(blocks, "block").select("part", "block", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<long>").alias("q"), F.lit(0).cast("long").alias("least"), "id", "v", "copies")
 
         def work(group: pa.Table) -> pa.Table:
             ask = group.filter(pa.compute.is_valid(group["query_id"]))
             have = group.filter(pa.compute.is_valid(group["id"]))
-            copies = have["copies"].to_numpy()
+            times, copies = ask["copies"].to_numpy(), have["copies"].to_numpy()
             rows = best_of_block(
-                ask["query_id"].to_numpy(), _matrix(ask["q"].combine_chunks(), width), ask["least"].to_numpy(),
+                np.repeat(ask["query_id"].to_numpy(), times), np.repeat(_matrix(ask["q"].combine_chunks(), width), times, axis=0), np.repeat(ask["least"].to_numpy(), times),
                 np.repeat(have["id"].to_numpy(), copies), np.repeat(_matrix(have["v"].combine_chunks(), width), copies, axis=0), rotation.value, k)
             return pa.table([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ([], [], []))], names=["query_id", "vec_id", "score"])
 

@@ -207,3 +207,17 @@ def test_top_inner_products(spark, monkeypatch, block):
     few = df.where("vec_id IN (0, 1, 302)")
     assert len(rows(topk.top_inner_products(few, every=10))) == 1
     assert topk.top_inner_products(df.where("false")).count() == 0
+
+
+def test_queries_of_one_id(spark):
+    rng = random.Random(6)
+    data = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(40)]
+    data += [(10, [-x for x in data[10][1]]), (20, data[20][1]), (20, data[20][1]), (30, [rng.gauss(0, 1) for _ in range(6)])]
+    v = [(i, [math.floor(256 * c) for c in x]) for i, x in data]
+    want = []
+    for q in (0, 10, 20, 30):  # as the SQL: every row of the id with every row of another
+        scored = sorted((-sum(a * b for a, b in zip(x, c, strict=True)), i) for own, x in v if own == q for i, c in v if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])]
+    for parts in (1, 7):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(parts)
+        assert rows(topk.top_inner_products(df, every=10), "query_id", "rank") == want
