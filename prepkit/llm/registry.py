@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from prepkit.llm import jaccard, linededup, secretscan, topk, warc
+from prepkit.llm import jaccard, linededup, secretscan, topk, trie, warc
 from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
 from prepkit.llm.lattice import sample_segmentations
@@ -12,6 +12,7 @@ from prepkit.llm.packing import best_fit_pack
 from prepkit.llm.quality import quality_rules
 from prepkit.llm.tokencount import token_counts
 from prepkit.llm.toxicity import toxicity
+from prepkit.llm.whitening import whiten
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -64,5 +65,15 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {q.__name__: q for q in (op1_line_dedup, op2_warc, op3_sentencepiece_sampling, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules)}
-ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_secret_scans": secretscan.SQL, "op8_exact_topk": topk.SQL}
+def op11_embedding_whitening(spark, sf_dir):
+    return whiten(table(tuned(spark), sf_dir, "embeddings"))
+
+
+def op13_conversation_trie(spark, sf_dir):
+    return trie.conversation_trie(table(tuned(spark), sf_dir, "conversations"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op1_line_dedup, op2_warc, op3_sentencepiece_sampling, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules,
+    op11_embedding_whitening, op13_conversation_trie)}
+ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_secret_scans": secretscan.SQL, "op8_exact_topk": topk.SQL, "op13_conversation_trie": trie.SQL}
