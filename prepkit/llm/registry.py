@@ -9,6 +9,7 @@ from prepkit.llm.bpe import vocabulary_path
 from prepkit.llm.common import table, tuned
 from prepkit.llm.lattice import sample_segmentations
 from prepkit.llm.packing import best_fit_pack
+from prepkit.llm.pitmanyor import pitman_yor_scores
 from prepkit.llm.quality import quality_rules
 from prepkit.llm.tokencount import token_counts
 from prepkit.llm.toxicity import toxicity
@@ -69,11 +70,15 @@ def op11_embedding_whitening(spark, sf_dir):
     return whiten(table(tuned(spark), sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark, sf_dir):
+    return pitman_yor_scores(table(tuned(spark), sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark, sf_dir):
     return trie.conversation_trie(table(tuned(spark), sf_dir, "conversations"))
 
 
 QUERIES = {q.__name__: q for q in (
     op1_line_dedup, op2_warc, op3_sentencepiece_sampling, op4_best_fit_packing, op5_ngram_jaccard, op6_secret_scans, op7_toxicity, op8_exact_topk, op9_token_counts, op10_quality_rules,
-    op11_embedding_whitening, op13_conversation_trie)}
+    op11_embedding_whitening, op12_lm_scoring, op13_conversation_trie)}
 ORACLES = {"op1_line_dedup": linededup.SQL, "op2_warc": warc.SQL, "op5_ngram_jaccard": jaccard.SQL, "op6_secret_scans": secretscan.SQL, "op8_exact_topk": topk.SQL, "op13_conversation_trie": trie.SQL}
