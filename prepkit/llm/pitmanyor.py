@@ -34,12 +34,12 @@ from prepkit.llm.common import fresh_path, written
 # The base score's added count, and how documents are held out.
 ADDED, FOLDS = 0.1, 10
 #: Tokens of a block, bytes of text a shard has (about), buckets of the shards' table at most.
-BLOCK_TOKENS, SHARD_BYTES, BUCKETS = 4_000_000, 16 << 20, 2_000
-#: Documents that frequent tokens are looked for in, and how many of them there can be.
+BLOCK_TOKENS, SHARD_BYTES, BUCKETS = 2_000_000, 16 << 20, 2_000
+#: Documents (about) that frequent tokens are looked for in, and how many of these there can be.
 SAMPLE_DOCS, FREQUENT = 4_000, 16_384
 #: Rounds, and in each round sweeps; draws that the last round keeps; strengths of contexts and parent.
 ROUNDS, SWEEPS, DRAWS, STRENGTH, PARENT_STRENGTH = 2, 2, 2, 1.0, 1.0
-#: Customers of a dish up to which the full conditional is tabulated; more are seated in steps of 1/64 of those seated.
+#: Customers of a dish up to which Stirling numbers are tabulated; for more they are continued from the last ones.
 TABULATED = 1024
 BOS, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC6A4A7935BD1E995)
 
@@ -124,6 +124,7 @@ def messages(tokens: np.ndarray, sizes: np.ndarray, learn: np.ndarray, frequent:
                                             small(docs[own[pair[a] : pair[b - 1] + counts[b - 1]]]))
 
     words, place = np.unique(tokens, return_inverse=True)
+    place = place.astype(np.int32)
     known = np.isin(words, frequent)[place]
     own = np.flatnonzero(known)
     if len(own):
@@ -132,7 +133,7 @@ def messages(tokens: np.ndarray, sizes: np.ndarray, learn: np.ndarray, frequent:
         yield from parts(tokens[own][order], context[own][order], own[order], shard[order])
     own = np.flatnonzero(~known)
     if len(own):
-        shard = (mixed(words) % np.uint64(shards)).astype(np.int64)
+        shard = (mixed(words) % np.uint64(shards)).astype(np.int32 if shards < 2**31 else np.int64)
         by = np.lexsort((words, shard))
         rank = np.empty(len(by), np.uint64)
         rank[by] = np.arange(len(by), dtype=np.uint64)
@@ -188,18 +189,36 @@ def sample_tables(customers: np.ndarray, base: np.ndarray, others: np.ndarray, d
             new = np.log(strength + discount * (others[rows, None] + t - 1.0)) + np.log(base[rows, None])
             score = np.cumsum(new, axis=1) + weights[n, 1 : n + 1] - np.log(-np.log(rng.random((len(rows), n)) + 1e-300) + 1e-300)
             tables[rows] = 1 + score.argmax(axis=1)
-    long = np.flatnonzero(customers > TABULATED)
-    if len(long):
-        left, at, t = customers[long] - 1, np.ones(len(long)), np.ones(len(long), np.int64)
-        while left.any():
-            step = np.minimum(left, np.maximum(1, (at // 64).astype(np.int64)))
-            new = (strength + discount * (others[long] + t)) * base[long]
-            t += np.minimum(rng.binomial(step, np.clip(new / (new + np.maximum(at - discount * t, 1e-9)), 0, 1)), step)
-            at, left = at + step, left - step
-        tables[long] = t
+    for i in np.flatnonzero(customers > TABULATED):
+        score = _long_scores(int(customers[i]), float(base[i]), float(others[i]), discount, strength)
+        tables[i] = 1 + (score - np.log(-np.log(rng.random(len(score)) + 1e-300) + 1e-300)).argmax()
     return tables
 
 
+@lru_cache(maxsize=4)
+def _curve(discount: float) -> np.ndarray:
+    """Logarithms of R(TABULATED, t), and their first and second differences, for t from 1; see ``_long_scores``."""
+    t = np.arange(1, TABULATED + 1)
+    weights = log_stirling(discount)[TABULATED, 1:]
+    h = weights - weights[0] + np.cumsum(np.log(np.maximum(t - 1, 1))) + (t - 1) * np.log(discount)
+    return np.array([h, np.gradient(h), np.gradient(np.gradient(h))])
+
+
+def _long_scores(n: int, base: float, others: float, discount: float, strength: float) -> np.ndarray:
+    """Log weights of 1, 2, .. tables of n customers beyond TABULATED, to where they are negligible.
+
+    R(n, t) = S(n, t) (t - 1)! a^(t - 1) / S(n, 1) is a mean of R(n - 1, t) and R(n - 1, t - 1): each of t - 1 is left out
+    at a rate of a / n. Hence R(n, t) is the mean of R(TABULATED, 1 + X) for X of a binomial law, taken here to second order.
+    """
+    most = (strength + discount * others) * base / (discount * max(1 - base, 1e-6)) + 1
+    stay = ((TABULATED - discount) / (n - discount)) ** discount
+    top = int(min(n, most + 12 * most**0.5 + 60, 1 + (TABULATED - 2) / stay))
+    t = np.arange(1, top + 1)
+    h, h1, h2 = (np.interp((t - 1) * stay, np.arange(TABULATED), c) for c in _curve(discount))
+    new = np.log(strength + discount * (others + t - 1)) + np.log(base) - np.log(np.where(t > 1, discount * (t - 1), 1))
+    return np.cumsum(new) + h + (h2 + h1 * h1) * (t - 1) * stay * (1 - stay) / 2
+
+
 class Model(NamedTuple):
     """What all shards share in a round: bounded by the list of frequent tokens."""
 
@@ -363,23 +382,23 @@ def _bucketed(df: DataFrame, label: str, by: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def _frequent_tokens(df: DataFrame, id_col: str, text_col: str, shards: int) -> np.ndarray:
-    """Sorted hashes of tokens with more than a quarter of a shard's share in a bounded sample of documents.
+def _frequent_tokens(df: DataFrame, id_col: str, text_col: str, shards: int, rows: int) -> np.ndarray:
+    """Sorted hashes of tokens with more than a quarter of a shard's share in about SAMPLE_DOCS documents.
 
-    The list decides which tokens are dealt by pair, never what is counted.
+    The list decides which tokens are dealt by pair, never what is counted; by the share it is shorter than FREQUENT.
     """
     if shards == 1:
         return np.zeros(0, np.uint64)
-    sample = df.orderBy(F.xxhash64(f"`{id_col}`", F.octet_length(f"`{text_col}`"))).limit(SAMPLE_DOCS)
+    sample = df.where(F.pmod(F.xxhash64(f"`{id_col}`", F.octet_length(f"`{text_col}`")), F.lit(-(-rows // SAMPLE_DOCS))) == 0).select(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, n = np.unique(token_hashes(batch.column(text_col))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["w", "n"])
 
-    found = sample.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    found = written(sample.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "sample")
     total = found.agg(F.sum("n")).first()[0] or 0
-    own = found.where(F.col("n") > total / min(4 * shards, FREQUENT)).collect()  # fewer than FREQUENT by that share
+    own = found.where(F.col("n") > total / min(4 * shards, FREQUENT)).collect()
     return np.sort(np.array([r["w"] for r in own], np.int64).view(np.uint64))
 
 
@@ -406,7 +425,7 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not n_rows:
         return spark.createDataFrame([], schema)
     shards = max(1, -(-(n_bytes + n_rows) // SHARD_BYTES))
-    frequent = _frequent_tokens(own, "id", "text", shards)
+    frequent = _frequent_tokens(own, "id", "text", shards, n_rows)
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % FOLDS == 0, F.lit(True))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
