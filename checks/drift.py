@@ -2,7 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import table
+from checks import scratch, table
+from prepkit.functions.sketch import read_sketches, sketch_columns
 from prepkit.operators import drift as dr
 from prepkit.operators.drift import PsiConfig
 from prepkit.streaming.alerts import suppress_repeats
@@ -16,6 +17,11 @@ def _sides(spark, d):
     return items.filter(F.year("l_shipdate") <= 1995), items.filter(F.year("l_shipdate") > 1995)
 
 
+def written(df, path):
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _r(df, *cols, places=6):
     return df.withColumns({c: F.round(c, places) for c in cols})
 
@@ -54,6 +60,24 @@ def psi_table(spark, d):
     return _r(out.select("feature", "psi", "n_base", "n_curr", F.col("bins_count").cast("bigint").alias("bins_count"), "severity"), "psi")
 
 
+def drift_sketch(spark, d):
+    """Drift against a sketched base: exact counts, and whether its ranks and its PSI are within the stated errors."""
+    base, curr = _sides(spark, d)
+    reference = written(sketch_columns(base, COLS), scratch(spark))
+    known = read_sketches(reference)
+    plan = dr.sketch_plan(known, COLS)
+    up_to = {c: [(e, float(r)) for e, r in zip(es[1:-1], known[c].ranks(es[1:-1]))] for c, es in plan.edges.items()}
+    within = {c: F.lit(True) for c in COLS}
+    for c, pairs in up_to.items():
+        for edge, rank in pairs:
+            within[c] = within[c] & (F.abs(F.count(F.when(F.col(c) <= edge, 1)) - F.lit(rank)) <= F.lit(known[c].error()))
+    ranks = base.agg(F.array(*[F.struct(F.lit(c).alias("feature"), w.alias("ranks_within")) for c, w in within.items()]).alias("x")).select(F.inline("x"))
+    exact = dr.psi_table(base, curr, plan=plan).select("feature", F.col("psi").alias("exact"))
+    out = dr.sketch_psi_table(reference, curr, include=COLS).join(exact, "feature").join(ranks, "feature").join(reference.select("feature", "low", "high"), "feature")
+    psi_within = F.col("exact").between(F.col("psi_low") - 1e-12, F.col("psi_high") + 1e-12)
+    return out.select("feature", "n_base", "n_curr", "low", "high", "ranks_within", psi_within.alias("psi_within"), (F.col("rank_error") <= F.col("n_base") / 100).alias("precise"))
+
+
 def drift_severity(spark, d):
     e = table(spark, d, "events")
     out = dr.psi_table(e.filter("event_type <> 'purchase'"), e.filter("value > 10"), include=["value", "user_id"])
@@ -98,6 +122,7 @@ QUERIES = {
     "psi_uniform": psi_of(PsiConfig(strategy="uniform")),
     "psi_clipped": psi_of(PsiConfig(clip_low=0.01, clip_high=0.99)),
     "drift_severity": drift_severity,
+    "drift_sketch": drift_sketch,
     "drift_first_numeric": drift_first_numeric,
     "drift_windows": windows,
     "suppress_repeats": repeats,
@@ -170,6 +195,9 @@ ORACLES = {
     "psi_uniform": _psi_total(_LONG, "uniform"),
     "psi_clipped": _psi_total(_LONG, "quantile", (0.01, 0.99)),
     "drift_severity": f"WITH {_psi_ctes(_EVENTS)}, t AS (SELECT feature, sum(psi_contrib) AS psi FROM bins GROUP BY feature) {_BY_SEVERITY}",
+    "drift_sketch": f"""WITH long AS ({_LONG}), r AS (SELECT feature, min(v) AS low, max(v) AS high, count(*) FILTER (is_base) AS n_base FROM long WHERE is_base GROUP BY feature)
+        SELECT r.feature, any_value(n_base)::BIGINT AS n_base, count(*) FILTER (NOT is_base AND v BETWEEN low AND high)::BIGINT AS n_curr, any_value(low) AS low,
+          any_value(high) AS high, true AS ranks_within, true AS psi_within, true AS precise FROM r JOIN long USING (feature) GROUP BY r.feature""",
     "drift_first_numeric": f"WITH {_psi_ctes(_ORDERS)}, t AS (SELECT feature, sum(psi_contrib) AS psi FROM bins GROUP BY feature) {_BY_SEVERITY}",
     "drift_windows": f"""WITH eds AS (SELECT list_sort(list_distinct(quantile_cont(value, {_PROBS}))) AS e FROM events WHERE event_type = 'purchase'),
         slots AS (SELECT unnest(range(1, len(e))) AS bin FROM eds),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from prepkit.functions.columns import aggregate_rows, local_rows, number, numeric_columns, quoted
 from prepkit.functions.folds import COUNT_SCHEMA, bin_counter, right_closed
+from prepkit.functions.sketch import Sketch, read_sketches
 from prepkit.operators.quantiles import linear_quantiles
 
 WARN_AT = 0.10
@@ -216,8 +217,12 @@ def psi_table(base: DataFrame, curr: DataFrame, include: Sequence[str] | None =
         return local_rows(spark, [], "feature string, psi double, n_base bigint, n_curr bigint, bins_count int, "
                                      "dropped_base bigint, dropped_curr bigint, note string, severity string")
     plan = plan or plan_psi(base, cols, cfg, curr)
-    constant = _constant_current(curr, plan)
-    counts = bin_counts(base, curr, plan)
+    return _ranked(_psi_rows(bin_counts(base, curr, plan), plan, _constant_current(curr, plan)))
+
+
+def _psi_rows(counts: DataFrame, plan: PsiPlan, constant: set[str]) -> DataFrame:
+    """A row for each column of the plan from its counts by bin."""
+    cols, spark = list(plan.edges), counts.sparkSession
     met = F.col("bin").isNotNull()
     sizes = counts.groupBy("feature").agg(
         F.sum(F.when(met, F.col("n_base")).otherwise(0)).alias("v_base"),
@@ -233,8 +238,8 @@ def psi_table(base: DataFrame, curr: DataFrame, include: Sequence[str] | None =
             .when(F.col("base_constant") & F.col("curr_constant"), "both_constant")
             .when(F.col("base_constant"), "base_constant"))
     full = F.col("note").isin("empty", "both_constant")
-    out = (known.join(sizes, "feature", "left").join(parts, "feature", "left").withColumn("note", note)
-           .select(
+    return (known.join(sizes, "feature", "left").join(parts, "feature", "left").withColumn("note", note)
+            .select(
                "feature",
                F.when(F.col("note") == "empty", F.lit(math.nan)).when(F.col("note").isNotNull(), F.lit(0.0))
                .otherwise(F.col("psi")).alias("psi"),
@@ -247,11 +252,78 @@ def psi_table(base: DataFrame, curr: DataFrame, include: Sequence[str] | None =
                F.coalesce("dropped_base", F.lit(0)).alias("dropped_base"),
                F.coalesce("dropped_curr", F.lit(0)).alias("dropped_curr"),
                "note"))
+
+
+def _ranked(out: DataFrame) -> DataFrame:
     undefined = F.isnan("psi")
     return (out.withColumn("severity", F.when(undefined, F.lit("ok")).otherwise(severity(F.col("psi"))))
             .orderBy(undefined.asc(), F.desc("psi"), "feature"))
 
 
+def sketch_plan(reference: dict[str, Sketch], cols: Sequence[str], cfg: PsiConfig = PsiConfig()) -> PsiPlan:
+    """Clip bounds and bin edges from sketches of the base alone."""
+    clips, edges = {}, {}
+    for c in cols:
+        s = reference[c]
+        lo, hi = (None if q is None else s.quantiles([q])[0] for q in (cfg.clip_low, cfg.clip_high))
+        clips[c] = (lo, hi)
+        ends = s.quantiles([i / cfg.bins for i in range(cfg.bins + 1)]) if cfg.strategy == "quantile" else s.quantiles([0, 1])
+        if s.n:
+            ends = [min(max(e, -math.inf if lo is None else lo), math.inf if hi is None else hi) for e in ends]
+        edges[c] = quantile_edges(ends, cfg.bins) if cfg.strategy == "quantile" else uniform_edges(ends[0], ends[-1], cfg.bins)
+    return PsiPlan(cfg, edges, clips)
+
+
+def _sketched_counts(reference: dict[str, Sketch], plan: PsiPlan) -> list[tuple[str, int | None, int, int]]:
+    """(feature, bin, rows of the base by its sketch, 0), with missing values as no bin and a constant base outside."""
+    rows: list[tuple[str, int | None, int, int]] = []
+    for c, edges in plan.edges.items():
+        s = reference[c]
+        rows.append((c, None, s.missing, 0))
+        if len(edges) < 2:
+            rows.append((c, 0, s.n, 0))
+            continue
+        # values are clipped into the edges, so that all are inside: below the first edge there is none, up to the last are all
+        up_to = [0, *s.ranks(edges[1:-1]).tolist(), s.n]
+        rows += [(c, i + 1, int(up_to[i + 1] - up_to[i]), 0) for i in range(len(edges) - 1)]
+    return rows
+
+
+def sketch_psi_table(reference: DataFrame, curr: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] | None = None,
+                     cfg: PsiConfig = PsiConfig()) -> DataFrame:
+    """``psi_table`` against a base that is known by its sketches (a table that ``sketch_columns`` made).
+
+    The base isn't read. n_base and dropped_base are exact; the base's share of a bin is off by
+    2 x rank_error / n_base at most, and the PSI of the base's rows over the same edges lies in psi_low .. psi_high.
+    """
+    known = read_sketches(reference)
+    names = include if include is not None else list(known)
+    cols = [c for c in names if c in known and c in curr.columns and c in numeric_columns(curr) and c not in (exclude or ())]
+    spark = curr.sparkSession
+    if not cols:
+        return local_rows(spark, [], "feature string, psi double, n_base bigint, n_curr bigint, bins_count int, dropped_base bigint, "
+                                     "dropped_curr bigint, note string, severity string, psi_low double, psi_high double, rank_error double")
+    plan = sketch_plan(known, cols, cfg)
+    plan = PsiPlan(cfg, plan.edges, plan.base_clip, _clip_bounds(curr, cols, cfg))
+    base = local_rows(spark, _sketched_counts(known, plan), "feature string, bin int, n_base bigint, n_curr bigint")
+    ours = _side_counts(curr, plan, plan.curr_clip, "n_curr").withColumn("n_base", F.lit(0).cast("bigint"))
+    counts = base.unionByName(ours).groupBy("feature", "bin").agg(F.sum("n_base").alias("n_base"), F.sum("n_curr").alias("n_curr"))
+    errors = local_rows(spark, [(c, float(known[c].error()), known[c].error() * 2 / max(1, known[c].n)) for c in cols], "feature string, rank_error double, slack double")
+
+    def contribution(b: Column) -> Column:
+        return (F.col("p_curr") - b) * F.log((F.col("p_curr") + cfg.epsilon) / (b + cfg.epsilon))
+
+    least = F.greatest(F.col("p_base") - F.col("slack"), F.lit(cfg.min_bin_pct))
+    most = F.greatest(F.least(F.col("p_base") + F.col("slack"), F.lit(1.0)), F.lit(cfg.min_bin_pct))
+    ends = [contribution(least), contribution(most)]
+    touched = (F.col("p_curr") >= least) & (F.col("p_curr") <= most)  # the least contribution is at equal shares
+    bounds = _bins(counts, plan).join(errors, "feature").groupBy("feature").agg(
+        F.sum(F.when(touched, F.lit(0.0)).otherwise(F.least(*ends))).alias("psi_low"), F.sum(F.greatest(*ends)).alias("psi_high"))
+    out = _psi_rows(counts, plan, _constant_current(curr, plan)).join(bounds, "feature", "left").join(errors.drop("slack"), "feature", "left")
+    plain = F.col("note").isNotNull() | F.col("psi_low").isNull()
+    return _ranked(out.withColumns({c: F.when(plain, F.col("psi")).otherwise(F.col(c)) for c in ("psi_low", "psi_high")}))
+
+
 def psi(base: DataFrame, curr: DataFrame, column: str, cfg: PsiConfig = PsiConfig()) -> DataFrame:
     """One-column form of ``psi_table``."""
     return psi_table(base, curr, include=[column], cfg=cfg)

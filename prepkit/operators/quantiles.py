@@ -1,10 +1,12 @@
 """Exact linear quantiles by narrowing brackets, one plan for every size of table.
 
 Doubles are mapped to whole numbers in the same order. A bracket is a range of them that holds a wanted
-rank; every pass counts the values of each bracket in a few thousand even steps and goes on with the step
-that holds the rank, cut down to the least and largest value in it. A bracket of one value is done; one of
-few values is gathered. The first pass parts values by sign and exponent, so two or three passes do as a
-rule, and seven at most. Tasks fold their Arrow batches to counts, so no task or group ever holds a column.
+rank. The first pass makes a sketch of each column, whose rank error gives brackets of about a hundredth of the rows; the
+second counts the values of every bracket and of the gaps between them, which tells the exact rank of each. A bracket of
+few values is counted value by value and is done; others are counted in a few thousand even steps, and later passes
+go on with the step that holds the rank, cut down to the least and largest value in it. A rank that the sketch has
+missed is in a gap, which is gone on with alike. Tasks fold their Arrow batches to counts, so no task or group
+ever holds a column.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 
 from prepkit.functions.columns import number, quoted
 from prepkit.functions.folds import columns_of
+from prepkit.functions.sketch import Sketch, sketches
 
 ACCURACY = 10_000
-#: Steps that the brackets of a column share in a pass, and values that they may hold when they are gathered.
+#: Steps that the brackets of a column share in a pass, values that they may hold when they are gathered, and in the first count.
 STEPS = 1 << 13
 GATHERED = 10_000
+COUNTED = 1 << 15
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -93,10 +97,30 @@ def _pass(values: DataFrame, brackets: dict[int, list[tuple[int, int, int]]]) ->
     """{(column, bracket): [(count, least key, largest key) of each step that has values, in order]}."""
     counts = values.mapInArrow(_fold(brackets), "col int, bracket int, step bigint, n bigint, low bigint, high bigint")
     total = counts.groupBy("col", "bracket", "step").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    out: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for r in sorted(total.collect()):  # at most STEPS a column
-        out.setdefault((r["col"], r["bracket"]), []).append((r["n"], r["low"], r["high"]))
-    return out
+    col, bracket, step, *parts = (c.to_numpy() for c in total.toArrow().columns)  # at most COUNTED or STEPS a column
+    order = np.lexsort((step, bracket, col))
+    col, bracket, parts = col[order], bracket[order], [p[order].tolist() for p in parts]
+    first = np.flatnonzero(np.diff(col, prepend=-1) | np.diff(bracket, prepend=-1)).tolist()
+    return {(int(col[a]), int(bracket[a])): list(zip(*(p[a:b] for p in parts), strict=True)) for a, b in zip(first, [*first[1:], len(col)])}
+
+
+def _spans(sketch: Sketch, ranks: list[int]) -> list[tuple[int, int, int]]:
+    """(low, high, width of a step) that cover all keys: brackets of the ranks and the gaps between them."""
+    found: list[list[int]] = []
+    for low, high in sorted(tuple(keys_of(np.array(sketch.bracket(r))).tolist()) for r in ranks):
+        if found and low <= found[-1][1]:
+            found[-1][1] = max(found[-1][1], high)
+        else:
+            found.append([low, high])
+    out, at = [], _LOW
+    for low, high in found:
+        if low > at:
+            out.append((at, low - 1, low - at))
+        up_to = sketch.ranks([np.nextafter(value_of(low), -math.inf), value_of(high)])
+        few = up_to[1] - up_to[0] + 2 * sketch.error() <= COUNTED // len(found)
+        out.append((low, high, 1 if few else (high - low) // max(2, STEPS // len(found)) + 1))
+        at = high + 1
+    return out + ([(at, _HIGH, _HIGH - at + 1)] if at <= _HIGH else [])
 
 
 def linear_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
@@ -106,10 +130,27 @@ def linear_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     if not cols or not probs:
         return out
     values = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
-    signs = _pass(values, {i: [(_LOW, _HIGH, 1 << 52)] for i in range(len(cols))})
-    live = {i: _ranks(sum(s[0] for s in signs[i, 0]), probs) for i in range(len(cols)) if (i, 0) in signs}
-    sizes = {i: sum(s[0] for s in signs[i, 0]) for i in live}
-    at = {i: _narrowed(Bracket(_LOW, _HIGH, 0, sizes[i]), signs[i, 0], ranks) for i, ranks in live.items()}
+    found = sketches(df, cols)
+    sizes = {i: found[c].n for i, c in enumerate(cols) if found[c].n}
+    live = {i: _ranks(n, probs) for i, n in sizes.items()}
+    at: dict[int, dict[int, Bracket]] = {}
+    parts = {}
+    for i, ranks in live.items():
+        own = found[cols[i]]
+        if own.error() == 0:  # every value is held
+            keys = {r: int(keys_of(np.array([own.bracket(r)[1]]))[0]) for r in ranks}
+            at[i] = {r: Bracket(k, k, r, 1) for r, k in keys.items()}
+        else:
+            parts[i] = _spans(own, ranks)
+    if parts:
+        counted = _pass(values, parts)
+        for i, spans in parts.items():
+            at[i], before = {}, 0
+            for k, (low, high, _) in enumerate(spans):
+                steps = counted.get((i, k), [])
+                inside = sum(s[0] for s in steps)
+                at[i] |= _narrowed(Bracket(low, high, before, inside), steps, [r for r in live[i] if before <= r < before + inside])
+                before += inside
     while True:
         most = {i: max(100, GATHERED // len(set(own.values()))) for i, own in at.items()}
         asked = {i: sorted({b for b in own.values() if b.low < b.high and b.inside > most[i]}) for i, own in at.items()}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from prepkit.functions.columns import numeric_columns, quoted
+from prepkit.functions.columns import numeric_columns
+from prepkit.functions.sketch import sketch_columns
 from prepkit.operators.scoring import ndjson
 
 
@@ -28,6 +29,9 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_drift_reference(df: DataFrame, path: str) -> str | None:
-    """The numeric columns, as parquet; nothing to write when there are none."""
+    """Sketches of the numeric columns, a row of some 100 KB a column at most; nothing to write when there are none.
+
+    ``operators.drift.sketch_psi_table`` checks a table against it without the rows it was made from.
+    """
     cols = numeric_columns(df)
-    return write_table(df.select(*map(quoted, cols)), path) if cols else None
+    return write_table(sketch_columns(df, cols), path) if cols else None
