@@ -8,6 +8,7 @@ from prepkit.operators import scoring as sc
 from prepkit.operators import splits as sp
 from prepkit.plans import attribution as at
 from prepkit.plans import automl as am
+from prepkit.plans import boosting as bo
 from prepkit.plans.train_job import train_job
 from prepkit.sources import store as st
 
@@ -64,6 +65,28 @@ def soft_vote(spark, d):
     return _r(am.soft_vote(members, ["o_orderkey"], "member", "proba", w), "p", places=9).withColumn("prediction", F.col("prediction").cast("bigint"))
 
 
+BOOSTED = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
+
+
+def _flags(spark, d):
+    items = table(spark, d, "lineitem").withColumns({"l_discount": F.expr("nullif(l_discount, 0.0D)"), "l_tax": F.expr("nullif(l_tax, 0.02D)")})
+    return items.withColumn("label", F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"))
+
+
+def boosting_first_split(spark, d):
+    """The first split of each class's first tree, with the side of missing values."""
+    model = bo.fit_boosting(_flags(spark, d), BOOSTED, "label", "classes", bo.BoostConfig(rounds=1, depth=1))
+    return _r(bo.split_table(model, spark).where("node = 0").select("class", "column", "cut", "missing_left", "gain"), "gain", "cut", places=6)
+
+
+def boosting_classes(spark, d):
+    """Rows that the model hasn't seen, by class, with the mean probability of the true one."""
+    rows = _flags(spark, d)
+    model = bo.fit_boosting(rows.where("l_orderkey % 4 <> 0"), BOOSTED, "label", "classes", bo.BoostConfig(rounds=4, depth=3))
+    out = bo.boost_predict(model, rows.where("l_orderkey % 4 = 0").select("label", *BOOSTED))
+    return _r(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("probability")[F.col("label")]).alias("mean_probability")), "mean_probability")
+
+
 def encode_labels(spark, d):
     return sp.encode_labels(table(spark, d, "customer"), "c_mktsegment").select("c_custkey", "label")
 
@@ -217,6 +240,8 @@ QUERIES = {
                                           "accuracy", "f1_weighted", "roc_auc_ovr", "pr_auc_macro"),
     "regression_metrics": regression_metrics,
     "best_threshold_f1": best("f1"),
+    "boosting_first_split": boosting_first_split,
+    "boosting_classes": boosting_classes,
     "best_threshold_accuracy": best("accuracy"),
     "best_threshold_youden": best("youden"),
     "encode_labels": encode_labels,
@@ -278,7 +303,24 @@ _CHUNKS = ("SELECT chunk, count(*) AS n, coalesce(string_agg(floor(p)::BIGINT::V
            "FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn, count(*) OVER () AS n FROM orders))) GROUP BY chunk")
 _VERSIONS = "v AS (SELECT DISTINCT o_orderpriority AS name, epoch(o_orderdate)::BIGINT AS created_ts FROM orders)"
 
+_SPLIT = """WITH r AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label, l_quantity, l_linenumber::DOUBLE AS l_linenumber,
+    nullif(l_discount, 0.0) AS l_discount, nullif(l_tax, 0.02) AS l_tax FROM lineitem),
+  p AS (SELECT k AS class, avg((label = k)::INT) AS p FROM r, range(3) t(k) GROUP BY k),
+  long AS (%s),
+  c AS (SELECT ord, feature, v, label, count(*) AS n FROM long GROUP BY ALL),
+  s AS (SELECT class, ord, feature, v, sum(n * (p - (label = class)::INT)) AS g, sum(n * p * (1 - p)) AS h FROM c, p GROUP BY ALL),
+  t AS (SELECT class, ord, feature, sum(g) AS g, sum(h) AS h, coalesce(sum(g) FILTER (v IS NULL), 0) AS gm, coalesce(sum(h) FILTER (v IS NULL), 0) AS hm FROM s GROUP BY ALL),
+  u AS (SELECT class, ord, feature, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, max(v) OVER (PARTITION BY class, feature) AS top FROM s WHERE v IS NOT NULL
+    WINDOW w AS (PARTITION BY class, feature ORDER BY v)),
+  x AS (SELECT u.class, u.ord, u.feature, u.v, m AS missing_left, gl + CASE WHEN m THEN gm ELSE 0 END AS gl, hl + CASE WHEN m THEN hm ELSE 0 END AS hl, t.g, t.h
+    FROM u JOIN t USING (class, feature), (VALUES (true), (false)) f(m) WHERE v < top AND (m OR hm > 0)),
+  y AS (SELECT *, 0.5 * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM x WHERE hl >= 1 AND h - hl >= 1)
+  SELECT class::INT AS class, feature AS "column", round(v, 6) AS cut, missing_left, round(gain, 6) AS gain FROM y
+  QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(gain, 9) DESC, ord, missing_left DESC, v) = 1""" % " UNION ALL ".join(
+    f"SELECT {i} AS ord, '{c}' AS feature, {c} AS v, label FROM r" for i, c in enumerate(BOOSTED))
+
 ORACLES = {
+    "boosting_first_split": _SPLIT,
     "binary_metrics": f"WITH {_B}, s AS (SELECT label AS y, score FROM b), a AS ("
                       + _RANK.format(k="", p="", p2="PARTITION BY score", src="s", g="") + "), ap AS (" + _AP.format(k="", p="", part="", src="s", g="") + "), "
                       "c AS (SELECT avg((y = (score >= 0.9)::INT)::INT) AS accuracy, 2.0 * count(*) FILTER (y = 1 AND score >= 0.9) / "
