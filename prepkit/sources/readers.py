@@ -14,6 +14,7 @@ from prepkit.functions import text as tx
 from prepkit.functions.columns import aggregate_rows, local_rows, quoted, string_columns
 from prepkit.operators.clean import dedupe_names, normalize_missing, parse_ratios
 from prepkit.sources.files import Files
+from prepkit.sources.records import spanning_records
 
 # Format by file ending.
 FORMATS = {".parquet": "parquet", ".orc": "orc", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json",
@@ -51,20 +52,54 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
              schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
     """Header row, sniffed separator. Types are inferred unless a schema is given, which saves a pass.
 
-    Quoted values may hold line breaks. A file is then read by one task; ``multi_line=False`` splits
-    files that have none.
+    Quoted values may hold line breaks: ranges of a file find out which of their lines begin inside quotes
+    (``records``), so that a file is many tasks. Where no record spans lines, Spark's own reader splits it;
+    ``multi_line=False`` says so without looking. Other encodings than UTF-8 are read by one task a file.
 
     Values are kept as written: text marks for "missing" are the business of ``normalize_missing``.
     """
-    reader = (spark.read.option("sep", sep or sniff_separator(spark, path)).option("encoding", encoding)
-              .option("multiLine", multi_line).option("quote", '"').option("escape", '"'))
-    if schema is not None:
+    sep = sep or sniff_separator(spark, path)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    records = spanning_records(spark, path, sep) if multi_line and encoding.upper().replace("-", "") == "UTF8" else None
+    if multi_line and records is None and encoding.upper().replace("-", "") == "UTF8":
+        multi_line = False
+    reader = spark.read.options(**options, encoding=encoding, multiLine=multi_line)
+    if records is None and schema is not None:
         return reader.schema(schema).option("header", True).csv(path)
     first = reader.option("header", False).csv(path).limit(1).collect()
-    df = reader.option("header", True).option("inferSchema", True).csv(path)
-    if first and len(first[0]) == len(df.columns):  # Spark renames repeated headers by position; use our rule
-        df = df.toDF(*dedupe_names([(h or "").strip() for h in first[0]]))
-    return df
+    if records is None:
+        df = reader.option("header", True).option("inferSchema", True).csv(path)
+        if first and len(first[0]) == len(df.columns):  # Spark renames repeated headers by position; use our rule
+            df = df.toDF(*dedupe_names([(h or "").strip() for h in first[0]]))
+        return df
+    names = dedupe_names([(h or "").strip() for h in first[0]])
+    wanted = schema if schema is not None else T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    wanted = T.StructType.fromDDL(wanted) if isinstance(wanted, str) else wanted
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.fields)
+    parsed = F.from_csv("text", ddl, {**options, "multiLine": "true"})
+    df = records.where(~F.col("first")).select(parsed.alias("r")).select("r.*")
+    return df if schema is not None else infer_types(df.toDF(*names))
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns as int, bigint, decimal, double, date, timestamp or boolean where all their values are; one aggregate."""
+    number = r"^\s*[+-]?(NaN|Infinity|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)\s*$"
+
+    def measures(c: str) -> list[Column]:
+        x = quoted(c)
+        whole = x.rlike(r"^[+-]?\d{1,38}$")
+        tests = [whole & x.try_cast("int").isNotNull(), whole & x.try_cast("bigint").isNotNull(), whole, x.rlike(number),
+                 x.rlike(r"^\d{4}-\d{2}-\d{2}$") & x.try_cast("date").isNotNull(), x.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$") & x.try_cast("timestamp").isNotNull(),
+                 F.lower(x).isin("true", "false")]
+        return [F.count(x), *(F.count(F.when(t, 1)) for t in tests), F.max(F.when(whole, F.length(x)))]
+
+    kinds = ["int", "bigint", None, "double", "date", "timestamp", "boolean"]
+    found = df.agg(F.array(*[F.array(*[m.cast("bigint") for m in measures(c)]) for c in df.columns]).alias("m")).first()["m"]
+    out = []
+    for c, (n, *fits, digits) in zip(df.columns, found, strict=True):
+        kind = next((k or f"decimal({digits},0)" for k, m in zip(kinds, fits, strict=True) if n and m == n), "string")
+        out.append(quoted(c).cast(kind).alias(c))
+    return df.select(*out)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
