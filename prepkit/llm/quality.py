@@ -7,10 +7,12 @@ seen, and all rows are scored in Arrow batches against a fixed threshold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
@@ -22,6 +24,8 @@ BITS = 16
 #: Labelled rows that the classifier is fitted on, at most: those whose ids hash lowest.
 SAMPLE_ROWS = 4_000
 KEEP_AT = 0.5
+#: Rows of a block of the fit: what a step holds beside the sample itself.
+FIT_ROWS = 256
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, WINDOW, REPEATED_PERCENT = 10, 5, 20
@@ -68,16 +72,38 @@ class Model(NamedTuple):
         return 1 / (1 + float(np.exp(-np.clip(self.slope * logit + self.shift, -60, 60))))
 
 
-def _logistic(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, size: int, steps: int, rate: float, ridge: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam steps over the whole sample; x: columns, values and row starts."""
-    column, value, start = x
-    row = np.repeat(np.arange(len(y)), np.diff(np.append(start, len(column))))
+class Rates(NamedTuple):
+    """Rows of hashed features: columns and rates of all rows one after another, and where each row begins."""
+
+    column: np.ndarray
+    value: np.ndarray
+    start: np.ndarray
+
+    def blocks(self, first: int, last: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows ``first`` to ``last`` in blocks: their places, columns, rates and each entry's row."""
+        for a in range(first, last, FIT_ROWS):
+            b = min(last, a + FIT_ROWS)
+            own = slice(self.start[a], self.start[b])
+            yield slice(a - first, b - first), self.column[own], self.value[own], np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1]))
+
+    def logits(self, first: int, last: int, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(last - first)
+        for rows, column, value, row in self.blocks(first, last):
+            out[rows] = np.bincount(row, value * w[column], rows.stop - rows.start)
+        return out
+
+
+def _logistic(x: Rates, y: np.ndarray, size: int, steps: int, rate: float, ridge: float) -> tuple[np.ndarray, float]:
+    """Logistic regression of the first rows of x, as many as y, by Adam steps; a block of rows at a time."""
     w, m, v, b = np.zeros(size), np.zeros(size), np.zeros(size), 0.0
     mb = vb = 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], len(y)) + b, -60, 60)))
-        g = np.bincount(column, value * (p - y)[row], size) / len(y) + ridge * w
-        gb = float((p - y).mean())
+        g, gb = ridge * w, 0.0
+        for rows, column, value, row in x.blocks(0, len(y)):
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[column], rows.stop - rows.start) + b, -60, 60)))
+            error = (p - y[rows]) / len(y)
+            g += np.bincount(column, value * error[row], size)
+            gb += float(error.sum())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-9)
@@ -125,27 +151,31 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
             [batch.column(id_col), batch.column("_label").cast(pa.int64()), pa.array(columns, pa.list_(pa.int32())), pa.array(rates, pa.list_(pa.float32()))],
             names=["id", "label", "columns", "rates"])
 
-    got = arrow_map(labelled_sample(df, labels, id_col, text_col, label_col, rows), work, schema).toArrow().sort_by("id")
-    y = np.minimum(got["label"].to_numpy(), 1).astype(float)
+    got = arrow_map(labelled_sample(df, labels, id_col, text_col, label_col, rows), work, schema).toArrow()
+    order = np.asarray(pa.compute.sort_indices(got["id"]))
+    y = np.minimum(got["label"].to_numpy(), 1).astype(float)[order]
     if len(y) < 8 or y.min() == y.max():
         return None
-    lists = got["columns"].combine_chunks()
-    offsets, column = np.asarray(lists.offsets), np.asarray(lists.values)
-    value = np.asarray(got["rates"].combine_chunks().values).astype(float)
-
-    def part(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.diff(offsets)
-        taken = np.repeat(own, sizes)
-        return column[taken], value[taken], np.concatenate([[0], np.cumsum(sizes[own])[:-1]]).astype(np.int64)
-
     held = mixed(np.arange(len(y)).astype(np.uint64)) % np.uint64(4) == 0
     if any(len(set(y[x])) < 2 for x in (held, ~held)):
         held = np.zeros(len(y), bool)
-    w, b = _logistic(part(~held), y[~held], 3 << BITS, steps=120, rate=0.3, ridge=1e-6)
-    own = held if held.any() else ~held
-    c, v, s = part(own)
-    logit = np.bincount(np.repeat(np.arange(own.sum()), np.diff(np.append(s, len(c)))), v * w[c], own.sum()) + b
-    return Model(w.astype(np.float32), b, *platt(logit, y[own]))
+    by = np.argsort(held, kind="stable")  # rows to fit on, then those to calibrate on
+    order, y, fitted = order[by], y[by], int((~held).sum())
+    sizes = pa.compute.list_value_length(got["columns"]).to_numpy()
+    start = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.int64)
+    x = Rates(np.empty(start[-1], np.int32), np.empty(start[-1], np.float32), start)
+    place = np.empty(len(order), np.int64)
+    place[order] = start[:-1]
+    done = 0
+    for batch in got.to_batches():
+        for k in range(batch.num_rows):
+            own = slice(place[done + k], place[done + k] + sizes[done + k])
+            x.column[own], x.value[own] = (np.asarray(batch.column(c)[k].values) for c in ("columns", "rates"))
+        done += batch.num_rows
+    del got
+    w, b = _logistic(x, y[:fitted], 3 << BITS, steps=120, rate=0.3, ridge=1e-6)
+    first = fitted if fitted < len(y) else 0
+    return Model(w.astype(np.float32), b, *platt(x.logits(first, len(y), w) + b, y[first:]))
 
 
 def quality_rules(
