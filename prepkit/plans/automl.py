@@ -143,8 +143,11 @@ def probabilities(scored: DataFrame, out: str = "proba") -> DataFrame:
 # --- calibration ---------------------------------------------------------------------------
 
 
+CALIBRATION_FOLDS = 3
+
+
 def calibrate(estimator: Estimator, train: DataFrame, key: Sequence[str], classes: int, seed: int = 42,
-              folds: int = 3) -> list[Transformer]:
+              folds: int = CALIBRATION_FOLDS) -> list[Transformer]:
     """Stages that turn the model's scores into calibrated ones, fitted on out-of-fold scores.
 
     Two classes: isotonic on P(1), giving column ``calibrated``. More: a logistic (sigmoid) model on
@@ -218,16 +221,15 @@ def train_baseline(df: DataFrame, target: str, key: Sequence[str], seed: int = 4
     best: dict[str, Any] = {"score": -math.inf}
     every: dict[str, dict[str, float]] = {}
     try:
+        skipped = None
+        if is_cls and calibrated and train.groupBy("label").count().agg(F.min("count")).first()[0] < CALIBRATION_FOLDS:
+            skipped = "a class has fewer rows than folds"  # the plain scores are used
         for name, est in candidates(classes, seed, trees, "weight").items():
             if families and name not in families:
                 continue
             stages: list[Transformer] = [est.fit(train)]
-            skipped = None
-            if is_cls and calibrated:
-                try:
-                    stages += calibrate(est, train, key, classes, seed)
-                except Exception as e:  # a class too rare for the folds: the plain scores are used
-                    skipped = str(e)
+            if is_cls and calibrated and not skipped:
+                stages += calibrate(est, train, key, classes, seed)
             model = PipelineModel([*pre.stages, *stages])
             out, threshold = PipelineModel(stages).transform(test), None
             if not is_cls:

@@ -92,9 +92,9 @@ def insights(df: DataFrame, target: str | None = None, max_rows: int | None = No
                     pf.top_k(scores), classes, recommendations(constant, high, problem, classes))
 
 
-def eda_report(df: DataFrame, metrics: dict[str, float] | None = None, max_hist_cols: int | None = 6,
-               include_corr: bool = True, sample: int = 12, max_describe_cols: int | None = 12) -> dict[str, DataFrame]:
-    """The report's tables by name."""
+def eda_report(df: DataFrame, metrics: dict[str, float] | None = None, max_hist_cols: int | None = None,
+               include_corr: bool = True, sample: int = 12, max_describe_cols: int | None = None) -> dict[str, DataFrame]:
+    """The report's tables by name; all numeric columns, unless a number of them is asked for."""
     out = {
         "metrics": local_rows(df.sparkSession, [(k, float(v)) for k, v in (metrics or {}).items()], "name string, value double"),
         "shape": pf.table_size(df), "schema": pf.schema_profile(df, None), "missing": pf.missing_table(df),

@@ -21,7 +21,6 @@ FORMATS = {".parquet": "parquet", ".orc": "orc", ".jsonl": "jsonl", ".ndjson": "
            ".csv": "csv", ".tsv": "tsv", ".txt": "csv"}
 COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 SEPARATORS = (",", ";", "\t", "|")
-SNIFF_LINES = 50
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -41,11 +40,11 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """The candidate that occurs in every one of the first lines, most often."""
-    lines = [r["value"] for r in spark.read.text(path).limit(SNIFF_LINES).collect() if r["value"].strip()]
-    if not lines:
-        return ","
-    return max(SEPARATORS, key=lambda s: (min(x.count(s) for x in lines), lines[0].count(s), -SEPARATORS.index(s)))
+    """The candidate that most lines hold, then the most frequent one; decided over all lines in one aggregate."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    times = [F.length("value") - F.length(F.replace("value", F.lit(s), F.lit(""))) for s in SEPARATORS]
+    found = lines.agg(*[m for t in times for m in (F.count(F.when(t > 0, 1)), F.sum(t))]).first()
+    return SEPARATORS[max(range(len(SEPARATORS)), key=lambda i: (found[2 * i], found[2 * i + 1] or 0, -i))]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8",

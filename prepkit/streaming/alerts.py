@@ -63,19 +63,15 @@ def suppress_repeats(df: DataFrame, signature: Sequence[str], ts: str, window_se
 
 def _fold_sorted(base: DataFrame, keys: list[str], ts: str, window: int) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last = None, 0
+        last_key, free = None, 0
         for pdf in batches:
-            keep = np.zeros(len(pdf), dtype=bool)
-            times, names = pdf["_t"].to_numpy(), pdf["_k"].to_numpy()
-            starts = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(pdf) else []
-            for a, b in zip(starts, [*starts[1:], len(pdf)]):  # jumps from kept event to kept event in a signature's run
-                run = times[a:b]
-                first = int(np.searchsorted(run, last + window, side="left")) if names[a] == last_key else 0
-                kept = _chain(run, first, window)
+            keep = []
+            for key, t in zip(pdf["_k"].tolist(), pdf["_t"].tolist(), strict=True):  # a comparison a row: most signatures have few
+                kept = t >= free or key != last_key
+                keep.append(kept)
                 if kept:
-                    keep[a + np.array(kept)] = True
-                    last_key, last = names[a], int(run[kept[-1]])
-            yield pdf.loc[keep, [*keys, ts]]
+                    last_key, free = key, t + window
+            yield pdf.loc[np.array(keep, bool), [*keys, ts]]
 
     fields = ", ".join(f"`{k}` {t}" for k, t in base.select(*keys, ts).dtypes)
     ordered = (base.withColumn("_k", F.to_json(F.struct(*keys))).repartition(*keys).sortWithinPartitions("_k", "_t"))
