@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import scratch, table
@@ -27,6 +28,25 @@ def csv_line_breaks(spark, d):
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def json_array_elements(spark, d):
+    """Nested rows with brackets and quotes in their texts, written as one JSON array a task and read back."""
+    home = f"{scratch(spark)}/json"
+    rows = table(spark, d, "documents").select(F.to_json(F.struct("doc_id", F.struct("lang", F.concat(F.lit('}],["{\\'), "text").alias("text")).alias("body"))).alias("value"))
+
+    def arrays(batches):
+        opening = "["
+        for pdf in batches:
+            if len(pdf):
+                pdf["value"] = [opening + pdf["value"].iloc[0], *("," + v for v in pdf["value"].iloc[1:])]
+                opening = ","
+                yield pdf
+        yield pd.DataFrame({"value": ["]" if opening == "," else "[]"]})
+
+    rows.mapInPandas(arrays, "value string").write.text(home)
+    back = rd.read_json_records(spark, home)
+    return back.select("doc_id", F.col("`body.lang`").alias("lang"), F.md5(F.col("`body.text`").cast("binary")).alias("text_md5"))
+
+
 def normalize_missing(spark, d):
     df = table(spark, d, "customer").select("c_custkey", F.expr(
         "CASE c_mktsegment WHEN 'BUILDING' THEN 'n/a' WHEN 'MACHINERY' THEN '--' WHEN 'FURNITURE' THEN 'NA' ELSE c_mktsegment END").alias("seg"))
@@ -144,6 +164,7 @@ def date_features(spark, d):
 QUERIES = {
     "scan_parquet": scan_parquet,
     "csv_line_breaks": csv_line_breaks,
+    "json_array_elements": json_array_elements,
     "normalize_missing": normalize_missing,
     "downcast_plan": downcast_plan,
     "auto_parse_dates": auto_parse_dates,
@@ -208,6 +229,7 @@ _RAW = ("raw AS (SELECT o_orderkey AS order_key, trim(regexp_replace(' ' || o_or
         "quantile_cont(half, 0.01) AS ha, quantile_cont(half, 0.99) AS hb, quantile_cont(cust, 0.01) AS ca, quantile_cont(cust, 0.99) AS cb FROM filled)")
 
 ORACLES = {
+    "json_array_elements": "SELECT doc_id, lang, md5('}],[\"{' || chr(92) || text) AS text_md5 FROM documents",
     "csv_line_breaks": "SELECT doc_id, md5(chr(34) || 'a,' || text) AS text_md5 FROM documents",
     "scan_parquet": "SELECT l_orderkey, l_quantity, l_shipdate FROM lineitem WHERE l_quantity > 49",
     "normalize_missing": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN NULL WHEN 'FURNITURE' THEN 'NA' ELSE c_mktsegment END AS seg FROM customer",

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from prepkit.functions import text as tx
 from prepkit.functions.columns import aggregate_rows, local_rows, quoted, string_columns
 from prepkit.operators.clean import dedupe_names, normalize_missing, parse_ratios
+from prepkit.sources.elements import read_arrays
 from prepkit.sources.files import Files
 from prepkit.sources.records import spanning_records
 
@@ -106,8 +107,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str |
 
 
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """An array (or object) per file; nested objects become dotted columns."""
-    return flatten(spark.read.option("multiLine", True).json(path))
+    """An array (or object) per file; nested objects become dotted columns. Arrays of objects are read by many tasks a file."""
+    df = read_arrays(spark, path)
+    return flatten(df if df is not None else spark.read.option("multiLine", True).json(path))
 
 
 def flatten(df: DataFrame) -> DataFrame:
