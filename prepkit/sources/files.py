@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -48,6 +51,37 @@ class Files:
         options[0] = self._jvm.java.lang.Enum.valueOf(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
         fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(self._path(part), self._path(path), options)
 
+    def create_text(self, path: str, text: str) -> bool:
+        """Write a file that must not exist yet, whole or not at all; False where another writer was first.
+
+        The text is written aside and then linked (local files) or renamed without overwriting to its place, which one
+        writer alone succeeds with; a store without such a rename can't be shared by several writers.
+        """
+        target = self._path(path)
+        part = self._path(f"{path}.{uuid.uuid4().hex}.part")
+        self._fs.mkdirs(target.getParent())
+        out = self._fs.create(part, False)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                nio = self._jvm.java.nio.file
+                one, other = (nio.Path.of(self._fs.makeQualified(p).toUri()) for p in (target, part))
+                nio.Files.createLink(one, other)
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+                kind = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+                context.rename(part, target, self._jvm.java.lang.reflect.Array.newInstance(kind, 0))
+            return True
+        except Py4JJavaError:
+            if self._fs.exists(target):
+                return False
+            raise
+        finally:
+            self._fs.delete(part, False)
+
     def read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:

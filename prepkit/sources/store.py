@@ -1,6 +1,6 @@
 """Versioned feature sets and models: immutable version folders, a pointer to the latest, metadata lines.
 
-Layout: root/<name>/version=<ms>-<n>/ with data, root/<name>/_meta/<version>.json, root/<name>/_latest.
+Layout: root/<name>/version=<ms>-<n>/ with data, root/<name>/_meta/<version>.json, root/<name>/_log/<commits or registered>/<number>.json.
 A version shows up only when its metadata file does, so a lost writer leaves nothing half visible.
 """
 
@@ -99,7 +99,12 @@ class VersionMeta:
 
 
 class _Versions:
-    """Version folders of one root; one writer per name."""
+    """Version folders of one root, for any number of writers.
+
+    What is committed or registered under a name is a numbered log: a writer creates the entry after the last one it has
+    read, and where another writer was first, reads on and tries the next number. The latest version and the
+    registered facts are read from the log. A version's number is claimed before its data is written.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -116,17 +121,30 @@ class _Versions:
 
     def _new_version(self, name: str) -> tuple[str, int]:
         taken, ms, n = set(self._ids(name)), int(time.time() * 1000), 0
-        while f"{ms:013d}-{n}" in taken:
+        while f"{ms:013d}-{n}" in taken or not self.files.create_text(f"{self._home(name)}/_claims/{ms:013d}-{n}", ""):
             n += 1
         return f"{ms:013d}-{n}", ms
 
+    def _numbers(self, name: str, log: str) -> list[int]:
+        return [int(x.removesuffix(".json")) for x in self.files.names(f"{self._home(name)}/_log/{log}") if x.endswith(".json")]
+
+    def _entry(self, name: str, log: str, number: int) -> dict[str, Any]:
+        return json.loads(self.files.read_text(f"{self._home(name)}/_log/{log}/{number:012d}.json"))
+
+    def _append(self, name: str, log: str, entry: dict[str, Any]) -> int:
+        """The number under which the entry stands; every entry of every writer gets one of its own."""
+        number = max(self._numbers(name, log), default=0) + 1
+        while not self.files.create_text(f"{self._home(name)}/_log/{log}/{number:012d}.json", json.dumps(entry)):
+            number += 1
+        return number
+
     def _ids(self, name: str) -> list[str]:
         return [x.removesuffix(".json") for x in self.files.names(f"{self._home(name)}/_meta") if x.endswith(".json")]
 
     def _commit(self, meta: VersionMeta) -> None:
         home = self._home(meta.name)
         self.files.write_text(f"{home}/_meta/{meta.version}.json", json.dumps(asdict(meta)))
-        self.files.write_text(f"{home}/_latest", meta.version)
+        self._append(meta.name, "commits", {"version": meta.version})
 
     def _meta(self, name: str, version: str) -> VersionMeta:
         path = f"{self._home(name)}/_meta/{version}.json"
@@ -136,10 +154,15 @@ class _Versions:
         return VersionMeta(**{**raw, "tags": tuple(raw["tags"])})
 
     def latest_version(self, name: str) -> str:
-        path = f"{self._home(name)}/_latest"
-        if not self.files.exists(path):
-            raise FileNotFoundError(f"nothing stored under {name}")
-        return self.files.read_text(path).strip()
+        """The version that was committed last, of those that retention has left."""
+        home = self._home(name)
+        for number in reversed(self._numbers(name, "commits")):
+            version = self._entry(name, "commits", number)["version"]
+            if self.files.exists(f"{home}/_meta/{version}.json"):
+                return version
+        if self.files.exists(f"{home}/_latest"):  # written before there was a log
+            return self.files.read_text(f"{home}/_latest").strip()
+        raise FileNotFoundError(f"nothing stored under {name}")
 
     def latest_meta(self, name: str) -> VersionMeta:
         return self._meta(name, self.latest_version(name))
@@ -174,13 +197,20 @@ class FeatureStore(_Versions):
         new = {"name": name, "description": description, "owner": owner,
                "tags": list(tags) if tags is not None else None,
                "schema": dict(example.dtypes) if example is not None and not example.isEmpty() else None}
-        entry = {**(self.get_registered(name) or {}), **{k: v for k, v in new.items() if v is not None}}
-        self.files.write_text(f"{self._home(name)}/_registered.json", json.dumps(entry))
-        return entry
+        number = self._append(name, "registered", {k: v for k, v in new.items() if v is not None})
+        return self._registered(name, number)
+
+    def _registered(self, name: str, up_to: int | None = None) -> dict[str, Any] | None:
+        """The fields of all registrations, later ones over earlier ones."""
+        path = f"{self._home(name)}/_registered.json"  # written before there was a log
+        entry = json.loads(self.files.read_text(path)) if self.files.exists(path) else {}
+        for number in self._numbers(name, "registered"):
+            if up_to is None or number <= up_to:
+                entry |= self._entry(name, "registered", number)
+        return entry or None
 
     def get_registered(self, name: str) -> dict[str, Any] | None:
-        path = f"{self._home(name)}/_registered.json"
-        return json.loads(self.files.read_text(path)) if self.files.exists(path) else None
+        return self._registered(name)
 
     def write(self, df: DataFrame, name: str, tags: Sequence[str] | None = None, keep_last: int | None = 10,
               max_age_days: float | None = None, validate: bool = True) -> str:
