@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from prepkit.functions.sizing import bucket_count, lookup_side
 from prepkit.operators.ordering import RANGE, as_number, with_range
@@ -119,27 +119,57 @@ def _fold_ranges(base: DataFrame, keys: list[str], ts: str, window: int, parts:
     return kept.join(times, [*keys, "_t"]).select(*keys, ts)
 
 
-def suppress_stream(stream: DataFrame, signature: Sequence[str], ts: str, window_seconds: int = 300) -> DataFrame:
-    """Live form: the state is the time of the last alert sent per signature."""
-    keys = list(signature)
-    micros = window_seconds * 1_000_000
-    base = stream.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).filter("_t IS NOT NULL")
-    fields = ", ".join(f"`{k}` {t}" for k, t in base.select(*keys).dtypes)
+#: Times of a signature keep their microseconds as text.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([b["_t"].to_numpy() for b in batches]))
-        last = state.get[0] if state.exists else None
-        start = 0 if last is None else int(np.searchsorted(times, last + micros, side="left"))
-        kept = times[_chain(times, start, micros)]
+
+class _Suppressor(StatefulProcessor):
+    """Per signature the time of the last alert sent, until the watermark has passed its window."""
+
+    def __init__(self, micros: int) -> None:
+        self.micros = micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t bigint")
+
+    def _end(self, last: int) -> int:
+        return -(-(last + self.micros) // 1000)  # timers are in milliseconds
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([b["t"].to_numpy() for b in rows]))
+        last = self.last.get()[0] if self.last.exists() else None
+        start = 0 if last is None else int(np.searchsorted(times, last + self.micros, side="left"))
+        kept = times[_chain(times, start, self.micros)]
         if len(kept):
-            state.update((int(kept[-1]),))
-            out = pd.DataFrame({"_t": kept})
-            for name, value in zip(keys, key):
-                out[name] = value
-            yield out[[*keys, "_t"]]
+            if last is not None:
+                self.handle.deleteTimer(self._end(last))
+            self.last.update((int(kept[-1]),))
+            self.handle.registerTimer(self._end(int(kept[-1])))
+            yield pd.DataFrame({"sig": key[0], "t": kept})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
-    sent = base.groupBy(*keys).applyInPandasWithState(
-        step, f"{fields}, _t bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
-    return sent.select(*keys, F.timestamp_micros("_t").alias(ts))
+    def close(self) -> None:
+        pass
 
 
+def suppress_stream(stream: DataFrame, signature: Sequence[str], ts: str, window_seconds: int = 300, late: str | None = "10 minutes") -> DataFrame:
+    """Live form: the state is the time of the last alert sent per signature, and ends with its window.
+
+    An event may come ``late`` behind the newest one seen (None: the stream has a watermark on ``ts``); beyond
+    that it is dropped, for the state that would judge it may be gone. Within it, an event older than the end of
+    its signature's window is a repeat. Once the watermark has passed a window's end, a timer clears the
+    signature: whatever is still let in is newer. State so covers the signatures of window + late, however many
+    the stream has had. Needs the RocksDB state store, which ``configure`` sets.
+    """
+    keys = [F.col(k) for k in signature]
+    timed = stream.select(F.to_json(F.struct(*keys), _EXACT).alias("sig"), (F.col(ts).cast("timestamp") if late else F.col(ts)).alias("at"))
+    timed = timed.withWatermark("at", late) if late else timed
+    base = timed.withColumn("t", F.unix_micros("at")).filter("t IS NOT NULL")  # names that a tuple can have, and one key that is never null
+    sent = base.groupBy("sig").transformWithStateInPandas(
+        _Suppressor(window_seconds * 1_000_000), "sig string, t bigint", "append", "eventTime")
+    schema = stream.select(*signature).schema
+    return sent.select(F.from_json("sig", schema, _EXACT).alias("k"), F.timestamp_micros("t").alias(ts)).select("k.*", ts)

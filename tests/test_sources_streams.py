@@ -157,6 +157,31 @@ def test_streams_equal_batch(spark, tmp_path, table):
     assert closed == whole[: len(closed)] and len(whole) - len(closed) <= 3
 
 
+def test_suppression_state_ends(spark, tmp_path):
+    """Late events, a restart from the checkpoint after every file, and state that goes with its window."""
+    source, state, out = (f"{tmp_path}/{x}" for x in ("in", "state", "out"))
+    held = []
+    files = [
+        [("a", 0), ("a", 299), ("b", 100), ("c", None), (None, 50)],
+        [("a", 300), ("b", 350), ("a", 250), ("a", 1000)],  # 250 is out of order, and a repeat of 0; the watermark goes to 400
+        [("b", 5000)],  # the watermark goes to 4400: every other signature's window is over
+        [("a", 4300), ("b", 5299), ("d", 4500), ("b", 5300)],  # 4300 is beyond the watermark
+    ]
+    for rows_ in files:
+        new = spark.createDataFrame(rows_, "s string, t bigint").select("s", F.timestamp_seconds(F.col("t") + 10**6).alias("ts"))
+        new.coalesce(1).write.mode("append").parquet(source)
+        live = spark.readStream.schema("s string, ts timestamp").parquet(source)
+        sent = suppress_stream(live, ["s"], "ts", 300, late="10 minutes")
+        q = (sent.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        left = spark.read.format("statestore").option("path", state).option("stateVarName", "last").load()
+        held.append(sorted(str(r.key[0]) for r in left.select("key").collect()))
+    got = sorted(rows(spark.read.parquet(out).select(F.coalesce("s", F.lit("")), F.unix_seconds("ts") - 10**6)))
+    assert got == [("", 50), ("a", 0), ("a", 300), ("a", 1000), ("b", 100), ("b", 5000), ("b", 5300), ("d", 4500)]
+    assert held == [['{"s":"a"}', '{"s":"b"}', "{}"], ['{"s":"a"}'], ['{"s":"b"}'], ['{"s":"b"}', '{"s":"d"}']]
+
+
 def test_train_job(spark, tmp_path):
     rng = np.random.RandomState(0)
     pdf = pd.DataFrame({"id": range(200), "a": rng.rand(200), "b": rng.rand(200)})
