@@ -60,6 +60,12 @@ def text_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("\0"))).alias("_th")]
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named own_0, own_1, ..., which no helper column is named like, and the new name of each."""
+    own = {c: f"own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*(f"own_{i}" for i in range(len(df.columns)))), own
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
     """``work`` over each Arrow batch; a batch for which it returns None leaves nothing."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prepkit.llm.codepoints import mixed, windows, words
-from prepkit.llm.common import arrow_map, text_key, texts_of, written
+from prepkit.llm.common import arrow_map, shielded, text_key, texts_of, written
 from prepkit.llm.graph import components
 
 BANDS = 8
@@ -272,12 +272,14 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
     Rows without words are components of their own and stay. Of rows that repeat in id and text one stays.
     """
-    labelled = _joined(df, id_col, text_col, n)
+    inner, own = shielded(df)
+    id_col, text_col = own[id_col], own[text_col]
+    labelled = _joined(inner, id_col, text_col, n)
     first = labelled.where("_label IS NOT NULL").groupBy("_label").agg(F.min(F.struct("_id", "_th")).alias("k")).select("k._th", F.col("k._id").alias("_kid"))
     keep = written(first.unionByName(labelled.where("n_shingles = 0").select("_th", F.col("_id").alias("_kid"))).distinct(), "kept")
-    own = df.select("*", *text_key(id_col, text_col))
-    left = own.join(keep.withColumnRenamed("_th", "_kth").hint("merge"), (F.col("_th") == F.col("_kth")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
-    return left.dropDuplicates(["_id", "_th"]).drop("_id", "_th")
+    keyed = inner.select("*", *text_key(id_col, text_col))
+    left = keyed.join(keep.withColumnRenamed("_th", "_kth").hint("merge"), (F.col("_th") == F.col("_kth")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
+    return left.dropDuplicates(["_id", "_th"]).drop("_id", "_th").toDF(*df.columns)
 
 
 SQL = r"""

@@ -19,7 +19,7 @@ from prepkit.llm.whitening import whiten
 def op1_line_dedup(spark, sf_dir):
     """Digest of the operator's rows: counts and the md5 of the text that is left (empty for null)."""
     out = linededup.drop_repeated_chunks(table(tuned(spark), sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_chunks", "lines_removed", "chunks_removed",
+    return out.select("doc_id", "n_lines", "n_chunks", "lines_removed", "chunks_removed", "chunk_lines",
                       F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 

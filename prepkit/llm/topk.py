@@ -62,19 +62,21 @@ def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 def best_of_block(qid: np.ndarray, q: np.ndarray, least: np.ndarray, cid: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query, id, score) of each query's k best in a block, of those that reach ``least``; ties to smaller ids."""
-    order = np.lexsort((cid, -(c * c).sum(1)))
+    order = np.lexsort((cid, -(c.astype(float) ** 2).sum(1)))
     cid, c = cid[order], c[order]
-    qr, cr = q @ rotation, c @ rotation
+    qr, cr = q.astype(float) @ rotation, c.astype(float) @ rotation
     lead = min(LEADING, c.shape[1])
     q_rest, c_rest = np.linalg.norm(qr[:, lead:], axis=1), np.linalg.norm(cr[:, lead:], axis=1)
     q_all, c_all = np.linalg.norm(qr, axis=1), np.linalg.norm(cr, axis=1)
+    if q_all.max(initial=0) * c_all.max(initial=0) >= 2.0**62:
+        c, q = c.astype(object), q.astype(object)  # products and sums of any size
     slack = 1e-6 * (q_all.max(initial=0) * c_all.max(initial=0) + 1)
     out = []
     for i in range(len(qid)):
         reach = int(np.searchsorted(-c_all, -(least[i] - slack) / max(q_all[i], 1e-9), "right")) if least[i] > 0 else len(cid)
         bound = cr[:reach, :lead] @ qr[i, :lead] + c_rest[:reach] * q_rest[i]
         at = np.flatnonzero((bound >= least[i] - slack) & (cid[:reach] != qid[i]))
-        score = c[at] @ q[i]
+        score = np.clip(c[at] @ q[i], -(2**63 - 1), 2**63 - 1).astype(np.int64) if len(at) else np.empty(0, np.int64)
         for j in np.lexsort((cid[at], -score))[:k]:
             if score[j] >= least[i]:
                 out.append((int(qid[i]), int(cid[at[j]]), int(score[j])))
@@ -86,11 +88,11 @@ def top_inner_products(df: DataFrame, id_col: str = "vec_id", vector_col: str =
 
     A query's candidates are all rows with another id. Vectors are integers (floor of 256 x); ties go to smaller
     ids. Vectors that are null or hold nulls or numbers that aren't finite take no part, as rows without an id;
-    shorter vectors count as padded with zeros; rows that repeat are candidates each; an empty table has no rows.
+    components and scores beyond 64 bits count as the nearest long; shorter vectors as padded with zeros; rows that repeat are candidates each; an empty table has no rows.
     Where an id divisible by ``every`` has several rows, each of them asks, and the k best of all are its results.
     """
     spark = df.sparkSession
-    vectors = written(integer_vectors(df, id_col, vector_col).withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)), "vectors")
+    vectors = written(integer_vectors(df, id_col, vector_col).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), "vectors")
     seen = vectors.agg(F.max(F.size("v")), F.count(F.lit(1)), F.count(F.when(F.col("id") % every == 0, 1))).first()
     schema = "query_id long, vec_id long, score long"
     width = seen[0] or 0
@@ -126,14 +128,14 @@ def top_inner_products(df: DataFrame, id_col: str = "vec_id", vector_col: str =
         line = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(line)).where(F.col("rank") <= k)
 
-    none = F.lit(-(2**62)).cast("long")
+    none = F.lit(-(2**63 - 1)).cast("long")
     start = longest.orderBy(F.desc("most")).limit(1).select("block")
     first = written(best(opened(queries.withColumn("least", none).join(F.broadcast(start)))), "first")
     known = first.groupBy("query_id").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n"))
     asked = queries.join(known, "query_id", "left").withColumn("least", F.when(F.col("n") >= k, F.col("s")).otherwise(none))
     rest = longest.join(F.broadcast(start), "block", "left_anti")
     # blocks against query groups, bounded by the lengths alone (squares as doubles, with a margin)
-    reach = (F.sqrt(F.col("q2").cast("double") * F.col("most")) + 1 >= F.col("least")) | (F.col("least") <= 0)
+    reach = (F.sqrt(F.col("q2")) * F.sqrt(F.col("most")) * (1 + 1e-9) + 1 >= F.col("least")) | (F.col("least") <= 0)
     further = opened(asked.join(rest, reach))
     return best(first.select("query_id", "vec_id", "score").unionByName(further)).select("query_id", "rank", "vec_id", "score")
 

@@ -1,6 +1,7 @@
 """Line dedup, secret scans and archives against plain Python, with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -8,57 +9,40 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prepkit.llm import linededup, secretscan, warc
+from prepkit.llm import jaccard, linededup, secretscan, warc
 from prepkit.llm.common import fresh_path
 from tests.conftest import rows
 
 LINES = [f"line number {i} of the set" for i in range(12)] + ["", "  ", "é tail"]
 
 
-def _python_dedup(docs, mean=3, least=2):
+def _python_chunks(docs):
+    """Of each document: chunks, and those of two lines and more that stand before."""
     h = lambda line: int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
     seen, out = set(), {}
     for i, text in sorted(docs.items()):
-        lines, chunks, now = (text or "").split("\n"), [], []
-        hs = [h(x) for x in lines]
-        for k, line in enumerate(lines):
-            now.append(line)
-            rolled = hs[k] + 31 * (hs[k - 1] if k > 0 else 0) + 961 * (hs[k - 2] if k > 1 else 0)
-            if rolled % mean == 0 or k == len(lines) - 1:
-                chunks.append(now)
-                now = []
-        kept, lost = [], 0
-        for c in chunks:
-            body = "\n".join(c)
-            if len(c) >= least and body.strip(" "):
-                if body in seen:
-                    lost += len(c)
-                    continue
-                seen.add(body)
-            kept.append(body)
-        out[i] = (None if text is None else "\n".join(kept), lost)
+        lines = (text or "").split("\n")
+        at = [k for k, line in enumerate(lines) if re.search(r"[^ \t-\r]", line)]
+        hs = [h(lines[k]) for k in at]
+        rolled = [x + 31 * (hs[k - 1] if k else 0) for k, x in enumerate(hs)]
+        ends = [k for k in range(len(at)) if k == len(at) - 1 or (k and rolled[k] < rolled[k - 1] and rolled[k] <= rolled[k + 1])]
+        gone = []
+        for a, b in zip([0, *(e + 1 for e in ends)], ends):
+            body = "\n".join(lines[at[a] : at[b] + 1])
+            if a < b and body in seen:
+                gone.append(at[b] - at[a] + 1)
+            seen |= {body} if a < b else set()
+        out[i] = (len(ends), len(gone), sum(gone))
     return out
 
 
-def test_line_dedup(docs):
-    rng = random.Random(1)
-    texts = {i: "\n".join(rng.choice(LINES) for _ in range(rng.randint(1, 4)))
-             + "\n" + "\n".join(LINES[a : a + 9]) for i in range(60) for a in [rng.randint(0, 3)]}
-    texts |= {60: None, 61: "", 62: "single", 63: "\n".join(LINES), 64: "\n\n\n\n", 65: "\n".join(LINES * 300)}
-    df = docs([(i, t, "s") for i, t in texts.items()]).withColumn("n_lines", F.lit("clash"))
-    got = {r.doc_id: (r.text, r.lines_removed) for r in linededup.drop_repeated_chunks(df).collect()}
-    assert got == _python_dedup(texts)
-    assert sum(lost for _, lost in got.values()) > 100
-    twice = docs([(1, texts[63], "s"), (1, texts[63], "s"), (2, texts[63], "s")])
-    out = rows(linededup.drop_repeated_chunks(twice).select("doc_id", "lines_removed"), "doc_id")
-    assert [r[1] > 0 for r in out] == [False, False, True]
-    assert linededup.drop_repeated_chunks(df.where("false")).count() == 0
-
-
 def test_boundaries_resist_shifts(docs):
     passage = "\n".join(f"shared passage, line {i}" for i in range(30))
-    df = docs([(1, passage, "s"), (2, "new first line\nanother\n" + passage, "s")])
-    assert linededup.drop_repeated_chunks(df).where("doc_id = 2").first().lines_removed >= 15
+    df = docs([(1, passage, "s"), (2, "new first line\nanother\n" + passage, "s"), (3, passage + "\nlast", "s")])
+    got = {r.doc_id: r for r in linededup.drop_repeated_chunks(df).collect()}
+    assert (got[1].lines_removed, got[2].lines_removed, got[3].lines_removed) == (0, 30, 30)
+    assert got[2].text == "new first line\nanother" and got[3].text == "last"
+    assert min(got[2].chunk_lines, got[3].chunk_lines) >= 20  # most of them through chunks
 
 
 def _python_runs(docs, long_words=50):
@@ -78,14 +62,16 @@ def test_repeated_runs(docs):
     rng = random.Random(3)
     many = [*LINES, "\t", " ".join(["word"] * 50), " ".join(["word"] * 49)]
     texts = {i: "\n".join(rng.choice(many) if rng.random() < 0.3 else f"own {rng.random()}" for _ in range(rng.randint(1, 20))) for i in range(80)}
-    texts |= {80: None, 81: "", 82: "single", 83: "\n".join(LINES), 84: "\n\n\n\n", 85: "\n".join(LINES * 300), 86: "same\nsame\nsame\nsame"}
+    texts |= {90: "blank\n\n \n\t\n\nlines", 91: "others\n\n \n\t\n\nstay", 80: None, 81: "", 82: "single", 83: "\n".join(LINES), 84: "\n\n\n\n", 85: "\n".join(LINES * 300), 86: "same\nsame\nsame\nsame"}
     df = docs([(i, t, "s") for i, t in texts.items()]).withColumn("n_lines", F.lit("clash"))
-    got = {r.doc_id: (r.text, r.lines_removed) for r in linededup.drop_repeated_runs(df).collect()}
+    out = linededup.drop_repeated_chunks(df).collect()
+    got = {r.doc_id: (r.text, r.lines_removed) for r in out}
     assert got == _python_runs(texts)
+    assert {r.doc_id: (r.n_chunks, r.chunks_removed, r.chunk_lines) for r in out} == _python_chunks(texts)
     assert got[86] == ("same\nsame", 2) and sum(lost for _, lost in got.values()) > 100
     twice = docs([(1, texts[83], "s"), (1, texts[83], "s"), (2, texts[83], "s"), (None, texts[83], "s")])
-    assert sorted(r.lines_removed for r in linededup.drop_repeated_runs(twice).where("doc_id > 0").collect()) == [15, 15, 15]
-    assert linededup.drop_repeated_runs(df.where("false")).count() == 0
+    assert sorted(r.lines_removed for r in linededup.drop_repeated_chunks(twice).where("doc_id > 0").collect()) == [15, 15, 15]
+    assert linededup.drop_repeated_chunks(df.where("false")).count() == 0
 
 
 def test_short_passages_go_completely(docs):
@@ -133,6 +119,36 @@ def test_secret_scan(docs):
     assert secretscan.secret_scan(docs(data).where("false")).count() == 0
 
 
+def test_owners_and_repositories(docs):
+    """One owner with many repositories, several owners, and documents without a source or an id."""
+    keys = [f"Zx9Qw8Er7Ty6Ui5Op4As{k}" for k in range(5)]
+    data = [(100 + k, f"a {keys[0]} b", "hot") for k in range(9)] + [(200 + k, f"a {keys[1]} b", "hot") for k in range(10)]
+    data += [(300 + k, f"a {keys[2]} b", None) for k in range(2)] + [(400 + k, f"a {keys[3]} b", None) for k in range(3)]
+    data += [(None, f"c {keys[4]} d {k}", None) for k in range(4)]
+    got = {}
+    for r in secretscan.secret_scan(docs(data)).collect():
+        got.setdefault(r.doc_id and r.doc_id // 100, set()).add((r.n_owned, r.n_live, r.most_repos, r.most_owners))
+    assert got == {1: {(1, 1, 9, 1)}, 2: {(0, 0, 0, 0)}, 3: {(1, 1, 2, 2)}, 4: {(0, 0, 0, 0)}, None: {(1, 1, 1, 1)}}
+    texts = {r.doc_id: r.text for r in secretscan.redact(docs(data)).where("doc_id IS NOT NULL").collect()}
+    assert texts[100] == "a [REDACTED] b" and texts[200] == f"a {keys[1]} b" and texts[400] == f"a {keys[3]} b"
+
+
+HELPERS = ["_id", "_th", "_gid", "_gth", "_fid", "_fth", "_kid", "_kth", "_lines", "_at", "_ends", "_chunks", "_cuts", "_text", "_label", "own_0", "gone", "cuts", "h", "a.b"]
+
+
+@pytest.mark.parametrize("operator", [linededup.drop_repeated_chunks, secretscan.redact, jaccard.one_of_each])
+def test_helper_names_clash(docs, operator):
+    text = "\n".join(LINES)
+    data = [(1, text, "s"), (2, text + "\nmore", "s"), (2, text + "\nmore", "s"), (None, f"x token={HEX} y", "s"), (3, None, None)]
+    plain = docs(data)
+    df = plain.select("*", *(F.lit(f"{k} kept").alias(c) for k, c in enumerate(HELPERS)))
+    out = operator(df)
+    assert out.columns[: len(df.columns)] == df.columns
+    assert {tuple(r)[5 : 5 + len(HELPERS)] for r in out.collect()} == {tuple(f"{k} kept" for k in range(len(HELPERS)))}
+    assert sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, operator(plain).select("doc_id", "text").collect()))
+    assert operator(df.where("false")).count() == 0
+
+
 def test_redaction(docs):
     copied = f"token={HEX}"
     df = docs([(1, f"a {KEY} b token={KEY[4:]}Q c", "s1"), (2, None, "s2"), (3, "", "s3"), (4, "clean", "s4")] + [(10 + k, copied, f"s{k}") for k in range(4)])
@@ -180,3 +196,15 @@ def test_inflate_and_split():
         assert list(warc.records(warc.inflated(parts))) == data
     with pytest.raises(ValueError):
         list(warc.records(iter([data[3][:-1]])))
+
+
+def test_products_beyond_64_bits(spark):
+    from prepkit.llm import topk
+
+    data = [(0, [1e9, 1e9]), (1, [1e9, 2.0]), (2, [-1e12, -1e12]), (3, [1e15, 1e15]), (4, [1e15, 2e15]), (50, [-1.0, 0.5]), (7, [1e300, 0.0]), (8, [float("nan"), 1.0])]
+    got = rows(topk.top_inner_products(spark.createDataFrame(data, "vec_id long, embedding array<double>")), "query_id", "rank")
+    v = {i: [min(max(math.floor(256 * x), -(2**63)), 2**63 - 1) for x in e] for i, e in data if i != 8}
+    for q in (0, 50):
+        score = {i: min(max(sum(a * b for a, b in zip(v[q], e, strict=True)), 1 - 2**63), 2**63 - 1) for i, e in v.items() if i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [tuple(r) for r in got if r[0] == q] == [(q, k + 1, i, score[i]) for k, i in enumerate(best)]
