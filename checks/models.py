@@ -10,6 +10,7 @@ from prepkit.plans import attribution as at
 from prepkit.plans import automl as am
 from prepkit.plans import boosting as bo
 from prepkit.plans.train_job import train_job
+from prepkit.plans.tree_shapley import tree_shapley_values
 from prepkit.sources import store as st
 
 
@@ -200,6 +201,12 @@ def shapley(spark, d):
     return at.shapley_values(model, df, features, "p_partkey", 50, 20)
 
 
+def tree_shapley(spark, d):
+    """Every part explained."""
+    model, df, features = _regression_model(spark, d)
+    return _r(tree_shapley_values(model, df, features, "p_partkey", max_background=50), "contribution", "base_value")
+
+
 def run_train_job(spark, d):
     out = train_job(spark, f"{d}/labels.parquet", "toxic", "doc_id", scratch(spark), trials=1, folds=2,
                     rounds=(2, 3), final_trees=3)
@@ -265,6 +272,7 @@ QUERIES = {
     "train_fusion": train_fusion,
     "predict": predict,
     "shapley_values": shapley,
+    "tree_shapley": tree_shapley,
     "train_job": run_train_job,
     "list_versions": list_versions,
     "retention": retention,
