@@ -27,8 +27,11 @@ from prepkit.llm.codepoints import mixed
 from prepkit.llm.common import texts_of
 
 SPACE = "▁"
-#: Words whose lattices a worker keeps.
+#: Words, and edges of 28 bytes, whose lattices a worker keeps beyond the batch at hand.
 KEPT_WORDS = 300_000
+KEPT_EDGES = 6_000_000
+#: Step of the counters of which the draws are hashes.
+STEP = np.uint64(0xD1342543DE82EF95)
 #: Log-probability by which bytes of unknown characters lie below the rarest piece.
 BYTE_PENALTY = 10.0
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -69,6 +72,9 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             if i >= 0:
                 self.text[i] = bytes([b])
+        self.size = np.array([len(t) for t in self.text])
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         used = sorted({b for i in plain for b in self.text[i]})
         self.classes = np.zeros(256, np.int64)
         self.classes[used] = np.arange(1, len(used) + 1)
@@ -114,8 +120,8 @@ class Vocabulary:
         head, *rest = text.split(SPACE)
         return [head, *map(SPACE.__add__, rest)] if head else list(map(SPACE.__add__, rest))
 
-    def edges(self, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(from, to, id) of all edges over the bytes; end[i]: where the unit of byte i ends."""
+    def edges(self, data: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(from, to, id) of all edges over the bytes, a part a length, longer ones first; end[i]: where the unit of byte i ends."""
         classes = self.classes[data]
         first = (data & 0xC0) != 0x80  # a character's first byte
         at = np.flatnonzero(first)
@@ -137,13 +143,14 @@ class Vocabulary:
             hit = piece >= 0
             out.append((begin[hit], begin[hit] + depth, piece[hit].astype(np.int64)))
             single[begin[hit][begin[hit] + depth == char_end_of[begin[hit]]]] = True
+        out.reverse()
         unknown = np.flatnonzero(first & ~single)
         if len(unknown):  # characters that aren't pieces: byte by byte
             sizes = char_end_of[unknown] - unknown
             places = np.repeat(unknown - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             ids = self.byte_ids[data[places]]
             out.append((places, places + 1, np.where(ids >= 0, ids, self.unknown)))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (at, at, at)
+        return out
 
 
 class Lattices:
@@ -155,6 +162,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.first: dict[str, int] = {}
+        self.again: set[str] = set()  # units asked for again since the others were dropped
         self.nodes = self.n_edges = 0
         for name, kind in (("start", np.int32), ("degree", np.int32), ("to", np.int32), ("id", np.int32), ("head", np.int32), ("logp", np.float64), ("cum", np.float64)):
             setattr(self, name, np.zeros(1 << 16, kind))
@@ -177,11 +185,28 @@ class Lattices:
         rest = np.flatnonzero(self.head[head : min(head + 4096, self.n_edges)] != head)
         return np.arange(head, head + (int(rest[0]) if len(rest) else min(4096, self.n_edges - head)))
 
+    def _keep(self, units: set[str]) -> None:
+        """Drop all lattices but those of the units."""
+        kept = list(units)
+        sizes = np.array([len(u.encode()) for u in kept], np.int64)
+        nodes = _ranges(np.array([self.first[u] for u in kept], np.int64), sizes)
+        degree = self.degree[nodes].astype(np.int64)
+        edges, start = _ranges(self.start[nodes], degree), np.cumsum(degree) - degree
+        place = np.zeros(self.nodes, np.int32)
+        place[nodes] = np.arange(1, len(nodes) + 1)
+        left = dict(to=place[self.to[edges]], id=self.id[edges], head=np.repeat(start, degree), logp=self.logp[edges], cum=self.cum[edges])
+        self.clear()
+        self._put(1, start=start, degree=degree)
+        self._put(0, **left)
+        self.first = dict(zip(kept, (1 + np.cumsum(sizes) - sizes).tolist(), strict=True))
+        self.nodes, self.n_edges = 1 + len(nodes), len(edges)
+
     def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.first]
-        if len(self.first) + len(new) > KEPT_WORDS and self.first:
-            self.clear()
-            new = list(units)
+        known = units & self.first.keys()
+        new = list(units - known)
+        self.again |= known
+        if (len(self.first) + len(new) > KEPT_WORDS or self.n_edges > KEPT_EDGES) and self.first:
+            self._keep(self.again if len(self.again) <= KEPT_WORDS // 2 else known)
         if not new:
             return
         parts = [u.encode() for u in new]
@@ -189,33 +214,47 @@ class Lattices:
         data = np.frombuffer(b"".join(parts), np.uint8)
         unit_end = np.cumsum(sizes)
         end = np.repeat(unit_end, sizes)
-        a, b, piece = self.v.edges(data, end)
-        left = end[a] - a  # bytes to the end: edges of smaller ones come first, then by node, longer pieces first
-        order = np.argsort((left << 40) | (a << 8) | (255 - np.minimum(b - a, 255)))
-        a, b, piece, left = a[order], b[order], piece[order], left[order]
+        edges = self.v.edges(data, end)
+        degree, start = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        for a, _, _ in edges:
+            degree[a] += 1
+        # nodes of fewer bytes to the end come first; edges lie by their nodes
+        nodes = np.flatnonzero(degree)
+        left = end[nodes] - nodes
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        nodes, left = nodes[order], left[order]
+        each = degree[nodes]
+        heads = np.cumsum(each) - each
+        start[nodes] = heads
+        b, piece = np.empty(int(each.sum()), np.int64), np.empty(int(each.sum()), np.int64)
+        free = start.copy()
+        for a, to, ids in edges:
+            at = free[a]
+            b[at], piece[at] = to, ids
+            free[a] = at + 1
+        start[nodes] += self.n_edges
         score = self.alpha * self.v.score[piece]
-        last = b - a == left  # the edge ends its unit
+        last = b == np.repeat(end[nodes], each)  # the edge ends its unit
         beta = np.zeros(len(data) + 1)
-        weight = np.zeros(len(a))
+        weight = np.zeros(len(b))
         cuts = np.flatnonzero(np.diff(left, prepend=-1))
-        for s, e in zip(cuts, np.append(cuts[1:], len(a)), strict=True):
+        for p, q in zip(cuts, np.append(cuts[1:], len(nodes)), strict=True):
+            s, e = heads[p], heads[q - 1] + each[q - 1]
             w = score[s:e] + np.where(last[s:e], 0.0, beta[b[s:e]])
-            heads = np.flatnonzero(np.diff(a[s:e], prepend=-1))
-            top = np.maximum.reduceat(w, heads)
-            each = np.diff(np.append(heads, e - s))
-            total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, each)), heads))
-            beta[a[s:e][heads]] = total
-            weight[s:e] = w - np.repeat(total, each)
-        heads = np.flatnonzero(np.diff(a, prepend=-1))
-        each = np.diff(np.append(heads, len(a)))
-        degree, start = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
-        degree[a[heads]], start[a[heads]] = each, heads + self.n_edges
-        total = np.cumsum(np.exp(weight))
-        cum = total - np.repeat(total[heads] - np.exp(weight[heads]), each)
+            top = np.maximum.reduceat(w, heads[p:q] - s)
+            total = top + np.log(np.add.reduceat(np.exp(w - np.repeat(top, each[p:q])), heads[p:q] - s))
+            beta[nodes[p:q]] = total
+            weight[s:e] = w - np.repeat(total, each[p:q])
+        cum, j = np.exp(weight), 1
+        more = heads[each > 1], each[each > 1]
+        while len(more[0]):
+            cum[more[0] + j] += cum[more[0] + j - 1]
+            j += 1
+            more = more[0][more[1] > j], more[1][more[1] > j]
         self._put(self.nodes, start=start, degree=degree)
         self._put(self.n_edges, to=np.where(last, 0, b + self.nodes), id=piece, head=np.repeat(heads + self.n_edges, each), logp=weight, cum=cum)
         self.first.update(zip(new, (unit_end - sizes + self.nodes).tolist(), strict=True))
-        self.nodes, self.n_edges = self.nodes + len(data), self.n_edges + len(a)
+        self.nodes, self.n_edges = self.nodes + len(data), self.n_edges + len(b)
 
     def paths(self, node: np.ndarray, seed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Paths drawn from each node to its unit's end: for each step, which starts take it and over which edge."""
@@ -258,7 +297,12 @@ class Path(NamedTuple):
     taken: dict[int, list[int]]  # edges that other paths took at a step
 
 
-def _truncated(location: np.ndarray, most: float, draw: np.ndarray) -> np.ndarray:
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _truncated(location: np.ndarray, most: np.ndarray | float, draw: np.ndarray) -> np.ndarray:
     """Gumbels of the locations, below ``most``."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
         out = location - np.log(np.exp(location - most) - np.log(draw))
@@ -269,10 +313,14 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((mixed(seed) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _seeds(key: int, sample: int, n: int, kind: int) -> np.ndarray:
-    """Counters, of which the draws are hashes."""
-    top = mixed(np.array([(key & (2**64 - 1)) ^ (sample << 8) ^ kind], np.uint64))
-    return top + np.arange(n, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+def _seeds(keys: np.ndarray, sample: int, kind: int) -> np.ndarray:
+    """The first counter of each key."""
+    return mixed(keys ^ np.uint64((sample << 8) ^ kind))
+
+
+def _counters(seeds: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """So many counters from each seed, one seed after the other."""
+    return np.repeat(seeds, sizes) + _ranges(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64) * STEP
 
 
 def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -284,15 +332,14 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
     paths: list[list[Path]] = [[] for _ in texts]
     kappa = [-np.inf] * len(texts)
     live = [i for i, s in enumerate(split) if s]
+    signs = np.array(keys, np.int64).view(np.uint64)
     for r in range(k + 1):
-        asked, nodes, seeds = [], [], []
-        for i in live:
-            key = keys[i]
+        asked, nodes = [], []
+        draws = _uniform(_seeds(signs[live], r, 1 if r == 0 else 3)[:, None] + np.arange(2, dtype=np.uint64) * STEP)
+        for i, u in zip(live, draws, strict=True):
             if r == 0:
-                root = float(-np.log(-np.log(_uniform(_seeds(key, 0, 1, 1))[0])))
-                asked.append((i, None, 0, -1, 0, root))
+                asked.append((i, None, 0, -1, 0, float(-np.log(-np.log(u[0])))))
                 nodes.append(first[i])
-                seeds.append(_seeds(key, 0, len(first[i]), 2))
                 continue
             tops = [int(p.bound.argmax()) for p in paths[i]]
             j = max(range(len(tops)), key=lambda x: paths[i][x].bound[tops[x]])  # noqa: B023
@@ -305,10 +352,10 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
                 continue
             # the group at step t parts: one sibling keeps its bound, the others stay in the agenda
             e0 = path.edges[t]
-            node_edges = lat.siblings(int(e0))
-            left = node_edges[~np.isin(node_edges, [e0, *path.taken.get(t, [])])]
+            left = lat.siblings(int(e0))
+            for gone in (e0, *path.taken.get(t, [])):
+                left = left[left != gone]
             mass = np.exp(lat.logp[left])
-            u = _uniform(_seeds(key, r, 2, 3))
             pick = int(left[min(int(np.searchsorted(np.cumsum(mass), u[0] * mass.sum(), "right")), len(left) - 1)])
             path.taken.setdefault(t, []).append(pick)
             rest = mass.sum() - np.exp(lat.logp[pick])
@@ -317,32 +364,32 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
             unit = int(path.unit[t])
             asked.append((i, j, t, pick, unit, bound))
             nodes.append(np.concatenate([lat.to[[pick]], first[i][unit + 1 :]]))
-            seeds.append(_seeds(key, r, len(first[i]) - unit, 2))
         live = [x[0] for x in asked]
         if r == k or not asked:
             continue
-        node = np.concatenate(nodes)
-        drawn, count = _flat(lat.paths(node, np.concatenate(seeds)), len(node))
         sizes = np.array([len(x) for x in nodes])
-        begins = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
-        at = 0
-        for (i, j, t, pick, unit, bound), n_units, a, b in zip(asked, sizes, begins[:-1], begins[1:], strict=True):
-            own = np.repeat(np.arange(unit, unit + n_units), count[at : at + n_units])
-            at += n_units
+        drawn, count = _flat(lat.paths(np.concatenate(nodes), _counters(_seeds(signs[live], r, 2), sizes)), int(sizes.sum()))
+        ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
+        own = np.repeat(_ranges(np.array([x[4] for x in asked]), sizes), count)  # the unit of each edge
+        # the prefixes of all paths, then the bounds of all siblings at once
+        logp = lat.logp[drawn]
+        befores, prefix = [], np.empty(len(drawn))
+        for (i, j, t, pick, _, _), a, b in zip(asked, ends[:-1], ends[1:], strict=True):
+            steps = logp[a:b] if j is None else np.concatenate([lat.logp[paths[i][j].edges[:t]], [lat.logp[pick]], logp[a:b]])
+            befores.append(np.concatenate([[0.0], np.cumsum(steps)]))
+            prefix[a:b] = befores[-1][len(steps) - (b - a) : -1]
+        with np.errstate(divide="ignore"):
+            others = prefix + np.log(-np.expm1(np.minimum(logp, 0.0)))
+        others[logp > -1e-15] = -np.inf  # no sibling
+        many = np.diff(ends)
+        group = _truncated(others, np.repeat([x[5] for x in asked], many), _uniform(_counters(_seeds(signs[live], r, 4), many)))
+        for (i, j, t, pick, unit, bound), before, a, b in zip(asked, befores, ends[:-1], ends[1:], strict=True):
             if j is None:
-                edges, units = drawn[a:b], own
-            else:
-                p = paths[i][j]
-                edges, units = np.concatenate([p.edges[:t], [pick], drawn[a:b]]), np.concatenate([p.unit[:t], [unit], own])
-            logp = lat.logp[edges]
-            before = np.concatenate([[0.0], np.cumsum(logp)])
-            fresh = 0 if j is None else t + 1
-            with np.errstate(divide="ignore"):
-                others = before[fresh:-1] + np.log(-np.expm1(np.minimum(logp[fresh:], 0.0)))
-            others[lat.logp[edges[fresh:]] > -1e-15] = -np.inf  # no sibling
-            group = np.full(len(edges), -np.inf)
-            group[fresh:] = _truncated(others, bound, _uniform(_seeds(keys[i], r, len(edges) - fresh, 4)))
-            paths[i].append(Path(edges, units, group, before, bound, {}))
+                paths[i].append(Path(drawn[a:b], own[a:b], group[a:b], before, bound, {}))
+                continue
+            p = paths[i][j]
+            paths[i].append(Path(np.concatenate([p.edges[:t], [pick], drawn[a:b]]), np.concatenate([p.unit[:t], [unit], own[a:b]]),
+                                 np.concatenate([np.full(t + 1, -np.inf), group[a:b]]), before, bound, {}))
     return [[(lat.id[p.edges], float(p.before[-1]), p.score, _log_inclusion(float(p.before[-1]) - kap)) for p in own] for own, kap in zip(paths, kappa, strict=True)]
 
 
@@ -356,6 +403,19 @@ def decoded(vocabulary: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocabulary.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+def round_trips(vocabulary: Vocabulary, ids: list[np.ndarray], texts: list[str]) -> list[bool]:
+    """Whether ids decode to their normalised texts: the bytes of some lists at a time are gathered and compared."""
+    out, step = [], 64
+    for s in range(0, len(ids), step):
+        flat = np.concatenate(ids[s : s + step])
+        size = vocabulary.size[flat]
+        data = vocabulary.bytes[_ranges(vocabulary.begin[flat], size)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, ids[s : s + step])])].tolist()
+        for own, text, a, b in zip(ids[s : s + step], texts[s : s + step], ends[:-1], ends[1:], strict=True):
+            out.append(data[a:b] == text.encode() or decoded(vocabulary, own) == text)
+    return out
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -389,11 +449,12 @@ def sample_segmentations(
             for i, samples in enumerate(sample_texts(lat, texts, keys, k)):
                 for r, (ids, logp, perturbed, inclusion) in enumerate(samples or [(np.zeros(0, np.int32), 0.0, 0.0, 0.0)]):
                     owner.append(i)
-                    rows.append((r + 1, ids, logp, perturbed, inclusion, decoded(lat.v, ids) == texts[i]))
+                    rows.append((r + 1, ids, logp, perturbed, inclusion))
             if rows:
-                kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+                kinds = [pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64()]
+                same = round_trips(lat.v, [x[1] for x in rows], [texts[i] for i in owner])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.fieldNames())
+                    [batch.column("_id").take(pa.array(owner, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), pa.array(same, pa.bool_())], names=schema.fieldNames())
 
     keyed = df.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("_key"), F.col(text_col).alias("_text"))
     return keyed.mapInArrow(run, schema)

@@ -138,6 +138,34 @@ def _all_segmentations(v, text):
     return out
 
 
+def test_samples_survive_dropped_words(monkeypatch):
+    def run():
+        lat = lattice.Lattices(lattice.Vocabulary(vocabulary_path("piece_bpe_32k.model")), 0.5)
+        out, rng = [], np.random.default_rng(3)
+        for a in range(12):
+            texts = [lat.v.library.normalize(" ".join(f"w{x} große" for x in rng.zipf(1.5, 30) % 90)) for _ in range(8)]
+            for group, text in zip(lattice.sample_texts(lat, texts, list(range(8 * a, 8 * a + 8)), 2), texts, strict=True):
+                assert lattice.round_trips(lat.v, [ids for ids, *_ in group], [text] * len(group)) == [True] * len(group)
+                out += [(ids.tolist(), *rest) for ids, *rest in group]
+        return out, len(lat.first)
+
+    whole, words = run()
+    for words_kept, edges_kept in ((words // 2, 10**9), (10**9, 300), (1, 1)):
+        monkeypatch.setattr(lattice, "KEPT_WORDS", words_kept)
+        monkeypatch.setattr(lattice, "KEPT_EDGES", edges_kept)
+        fewer, left = run()
+        assert fewer == whole and left < words
+
+
+def test_round_trips_tell_other_texts():
+    v = lattice.vocabulary(vocabulary_path("piece_bpe_32k.model"))
+    ids = [np.array(v.library.encode(t), np.int64) for t in ("one two", "", "three")]
+    normal = [lattice.decoded(v, x) for x in ids]
+    assert lattice.round_trips(v, ids, normal) == [True] * 3
+    assert lattice.round_trips(v, ids, [normal[0] + "x", "", normal[2][:-1]]) == [False, True, False]
+    assert lattice.round_trips(v, [], []) == []
+
+
 @pytest.mark.parametrize("text", ["ab cd", "héllo", "a  b", "日𐍈x", "\n \n"])
 def test_samples_are_the_lattices(lat, text):
     normal = lat.v.library.normalize(text)
