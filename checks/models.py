@@ -185,6 +185,13 @@ def search(spark, d):
     return am.search(ready, "doc_id", 2, trials=1, folds=2, rounds=(2, 4))
 
 
+def learned_search(spark, d):
+    """Two families, five draws each over all labelled documents; three learn from those before, the last may stop early."""
+    df = _documents(spark, d).withColumn("label", F.col("toxic").cast("double"))
+    ready = am.build_preprocessor(df, ["n_chars", "lang", "quality"]).fit(df).transform(df).select("doc_id", "label", "features")
+    return am.learned_search(ready, "doc_id", 2, trials=5, folds=2, rounds=(2, 4), families=["RandomForest", "Linear"], startup=2)
+
+
 def train_fusion(spark, d):
     return am.train_fusion(_parts(spark, d), "p_retailprice", "p_partkey", trials=1, folds=2, rounds=(3, 5), final_trees=5).predict(
         _parts(spark, d)).select("p_partkey", "prediction")
@@ -269,6 +276,7 @@ QUERIES = {
     "calibrate": calibrate,
     "train_baseline": train_baseline,
     "search": search,
+    "learned_search": learned_search,
     "train_fusion": train_fusion,
     "predict": predict,
     "shapley_values": shapley,

@@ -37,6 +37,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ from prepkit.functions.columns import is_numeric, local_rows, number, quoted, re
 from prepkit.operators import metrics as mt
 from prepkit.operators.profile import infer_problem_type, label_codes
 from prepkit.operators.splits import fold_assign, oversample_minority, stratified_split
+from prepkit.plans.parzen import Estimator as Parzen
+from prepkit.plans.parzen import Range, Trial, optimise
 
 
 # --- preprocessing -------------------------------------------------------------------------
@@ -320,6 +323,67 @@ def search(data: DataFrame, key: str, classes: int, trials: int = 30, seed: int
     return local_rows(spark, rows, "trial int, family string, score double, error string")
 
 
+def search_ranges(classes: int, rounds: tuple[int, int] = (300, 900)) -> dict[str, dict[str, Range]]:
+    """The parameters of each family and their ranges (fixed values, those of ``draw_candidates``)."""
+    trees = {"n": Range(*rounds, "int"), "depth": Range(3, 10, "int"), "sub": Range(0.6, 1.0), "col": Range(0.6, 1.0)}
+    return {"RandomForest": trees, "BoostedTrees": {**trees, "rate": Range(0.01, 0.3, "log")}, "Linear": {"l2": Range(1e-3, 10.0, "log")}}
+
+
+def built(family: str, classes: int, p: dict[str, float | int]) -> Estimator:
+    """The estimator of a family with these parameters."""
+    if family == "Linear":
+        return LogisticRegression(regParam=p["l2"] / 10, maxIter=50) if classes else LinearRegression(regParam=p["l2"] / 10)
+    shared = dict(maxDepth=p["depth"], subsamplingRate=p["sub"], featureSubsetStrategy=f"{p['col']:.3f}", seed=42)
+    if family == "RandomForest":
+        return (RandomForestClassifier if classes else RandomForestRegressor)(numTrees=p["n"], **shared)
+    boosted = (GBTClassifier if classes else GBTRegressor)(maxIter=p["n"], stepSize=p["rate"], **shared)
+    return OneVsRest(classifier=boosted) if classes > 2 else boosted
+
+
+def learned_search(data: DataFrame, key: str, classes: int, trials: int = 30, seed: int = 42, folds: int = 5,
+                   rounds: tuple[int, int] = (300, 900), oversample: bool = True, raw: Sequence[str] | None = None,
+                   families: Sequence[str] | None = None, startup: int = 8) -> DataFrame:
+    """(trial, family, score, error, state, folds, running, params) of draws that learn from those before (``parzen``).
+
+    Each family is searched by itself, the families side by side; a draw's folds are fitted one after the other, so
+    that bad draws stop early (state ``stopped``, ``running`` is their mean so far, no score). The first ``startup``
+    draws of a family are random. Other arguments are those of ``search``; the training sets of all folds are made once and kept on the executors' disks.
+    """
+    is_cls = classes > 0
+    folded = fold_assign(data, [key], "label" if is_cls else None, folds, seed).persist(StorageLevel.DISK_ONLY)
+    judge = MulticlassClassificationEvaluator(metricName="f1") if is_cls else RegressionEvaluator(metricName="r2")
+    parts: list[tuple[DataFrame, DataFrame]] = []
+    try:
+        for f in range(folds):
+            train, held = folded.filter(F.col("fold") != f), folded.filter(F.col("fold") == f)
+            if raw is not None:
+                pre = build_preprocessor(train, raw).fit(train)
+                train, held = pre.transform(train), pre.transform(held)
+            train = train.select(key, "label", "features")
+            if is_cls and oversample:
+                train = with_oversampling(train, key)
+            parts.append((train.persist(StorageLevel.DISK_ONLY), held))
+
+        def run(family: str) -> list[Trial]:
+            def score(values: dict[str, float | int], fold: int) -> float:
+                train, held = parts[fold]
+                return judge.evaluate(built(family, classes, values).fit(train).transform(held))
+
+            return optimise(Parzen(ranges[family], seed, startup), score, trials, folds)
+
+        ranges = {n: r for n, r in search_ranges(classes, rounds).items() if not families or n in families}
+        with ThreadPool(max(1, len(ranges))) as pool:
+            found = dict(zip(ranges, pool.map(run, ranges), strict=True))
+    finally:
+        for train, _ in parts:
+            train.unpersist()
+        folded.unpersist()
+    rows = [(t.trial, n, t.score, t.error, t.state, t.folds, t.running, {k: float(v) for k, v in t.values.items()})
+            for n, tried in found.items() for t in tried]
+    return local_rows(data.sparkSession, rows, "trial int, family string, score double, error string, state string, folds int, "
+                                               "running double, params map<string,double>")
+
+
 def with_oversampling(train: DataFrame, key: str) -> DataFrame:
     """(key, label, features) with synthetic minority rows; vectors in, vectors out."""
     arrays = train.withColumn("features", vector_to_array("features"))
@@ -403,8 +467,12 @@ def _named_outputs(model: Model, prefix: str) -> Model:
 
 
 def train_fusion(df: DataFrame, target: str, key: str, seed: int = 42, trials: int = 30, folds: int = 5,
-                 rounds: tuple[int, int] = (300, 900), final_trees: int = 600, parallelism: int = 4) -> FusionResult:
-    """Search, leaderboard, blend of the best three families refitted on all rows."""
+                 rounds: tuple[int, int] = (300, 900), final_trees: int = 600, parallelism: int = 4,
+                 learned: bool = False) -> FusionResult:
+    """Search, leaderboard, blend of the best three families refitted on all rows.
+
+    With ``learned`` the draws of the search learn from those before (``learned_search``); without, they are random.
+    """
     require(df, target, key)
     features = [c for c in df.columns if c not in (target, key)]
     is_cls = infer_problem_type(df, target, "fusion") == "classification"
@@ -413,7 +481,9 @@ def train_fusion(df: DataFrame, target: str, key: str, seed: int = 42, trials: i
     pre = build_preprocessor(df, features).fit(df)  # for the members, which learn from all rows
     ready = pre.transform(data).select(key, "label", "features").persist()
     try:
-        tried = search(data.select(key, "label", *features), key, classes, trials, seed, folds, rounds, parallelism, raw=features)
+        rows = data.select(key, "label", *features)
+        tried = (learned_search(rows, key, classes, trials, seed, folds, rounds, raw=features) if learned
+                 else search(rows, key, classes, trials, seed, folds, rounds, parallelism, raw=features))
         board = [(r["family"], r["mean_score"]) for r in leaderboard(tried).collect()]
         if not board:
             raise RuntimeError("no candidate could be evaluated")
