@@ -140,3 +140,16 @@ def test_fusion_and_shapley(spark):
     want = at.linear_attribution(df, "id", {"a": 3.0, "b": -2.0}, back).withColumnRenamed("contribution", "w")
     both = got.join(want, ["id", "feature"]).toPandas()
     assert len(both) == 20 and np.allclose(both["contribution"], both["w"], atol=1e-6)
+
+
+def test_fusion_of_a_target_that_nothing_tells(spark):
+    rng = np.random.RandomState(1)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(200), "a": rng.rand(200), "y": rng.rand(200)}))
+    r = am.train_fusion(df, "y", "id", trials=1, folds=2, rounds=(3, 5), final_trees=3)
+    assert all(score <= 0 for _, score in r.leaderboard) and r.blend_weights == {r.leaderboard[0][0]: 1.0}
+    assert r.predict(df).where("prediction IS NOT NULL").count() == 200
+
+
+def test_members_below_the_mean_do_not_vote():
+    got = am.member_weights([("A", 0.6), ("B", 0.2), ("C", -0.1)])
+    assert got == {"A": pytest.approx(0.75), "B": pytest.approx(0.25)}
