@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -153,3 +155,29 @@ def test_fusion_of_a_target_that_nothing_tells(spark):
 def test_members_below_the_mean_do_not_vote():
     got = am.member_weights([("A", 0.6), ("B", 0.2), ("C", -0.1)])
     assert got == {"A": pytest.approx(0.75), "B": pytest.approx(0.25)}
+
+
+def test_nearest_points_of_blocks():
+    """Against all differences: copies, far and missing numbers, own ids, fewer points than k; within bounded memory."""
+    rng = np.random.RandomState(3)
+    t = rng.rand(3000, 6).round(1)
+    t[:200] = t[0]
+    t[5, 2], t[6, 1], t[7] = np.nan, np.inf, 1e180
+    t[100:110] += 1e6
+    ti = rng.permutation(3000)
+    for n in (3000, 40, 3):
+        got = sp.k_nearest(ti[:400], t[:400], ti[:n], t[:n], 5)
+        want = []
+        for i in range(400):
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = np.sqrt(((t[i] - t[:n]) ** 2).sum(-1))
+            d[ti[:n] == ti[i]] = np.inf
+            by = np.lexsort((ti[:n], d))[:5]
+            want += [(ti[i], ti[j], d[j]) for j in by if np.isfinite(d[j])]
+        assert sorted(zip(*got)) == sorted(want)
+    q = rng.rand(4096, 64)
+    tracemalloc.start()
+    sp.k_nearest(np.arange(4096), q, np.arange(4096), q, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all differences of 512 points with these are 1,074 MB
