@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from prepkit.functions.sizing import spread
 from prepkit.operators import metrics as mt
 from prepkit.operators import scoring as sc
 from prepkit.operators import splits as sp
@@ -181,3 +182,34 @@ def test_nearest_points_of_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6  # all differences of 512 points with these are 1,074 MB
+
+
+def test_only_the_first_copies_are_compared():
+    """Copies beyond the k-th and one for the point itself can't be near first."""
+    t = np.array([[0.0, 1.0], [2.0, 3.0], [-0.0, 1.0]])[np.arange(9000) % 3]
+    assert sorted(sp._first_copies(t, 6)) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 13, 16]
+    got = sp.k_nearest(np.arange(9000), t, np.arange(9000), t, 2)
+    assert len(got[0]) == 18000 and not got[2].any() and set(got[1]) == {0, 2, 3, 1, 4, 7}
+
+
+def test_rows_of_fits_are_spread(spark, tmp_path):
+    """One partition of many rows becomes several, many of few rows become one; a search fits on them."""
+    assert spread(spark.range(0, 100_000, 1, 1), 100_000, "id").rdd.getNumPartitions() == 5
+    assert spread(spark.range(0, 100, 1, 64), 100, "id").rdd.getNumPartitions() == 1
+    assert spread(spark.range(1), 5_000_000).rdd.getNumPartitions() == 16
+    assert spread(spark.range(1), 50_000_000).rdd.getNumPartitions() == 100
+    seen = []
+
+    class Watch(am.LinearRegression):
+        def _fit(self, dataset):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    data = spark.range(0, 60_000, 1, 1).selectExpr("id", "id % 7 + 0.5D AS label", "array(id % 7 * 1.0D) AS f")
+    data = data.select("id", "label", am.array_to_vector("f").alias("features"))
+    drawn, am.draw_candidates = am.draw_candidates, lambda *_: {"Linear": Watch()}
+    try:
+        assert am.search(data, "id", 0, trials=1, folds=2).first()["score"] > 0.99
+    finally:
+        am.draw_candidates = drawn
+    assert seen == [3, 3]
