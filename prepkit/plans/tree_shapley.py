@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from prepkit.functions.columns import quoted
+from prepkit.functions.sizing import spread
 from prepkit.operators.profile import sample_rows
 from prepkit.plans.attribution import pick_member
 
@@ -129,7 +130,7 @@ def tree_shapley_values(model: PipelineModel, df: DataFrame, features: Sequence[
                         max_background: int = 200, seed: int = 42, class_index: int = 1) -> DataFrame:
     """(key, feature, contribution, base_value), exact; the contributions of a row add up to its value minus the base.
 
-    Explains all rows of df, or the first ``max_samples`` in hash order, where they lie. The background (at most
+    Explains all rows of df, or the first ``max_samples`` in hash order, spread over tasks by their number. The background (at most
     ``max_background`` rows, those that ``shapley_values`` takes) and the trees go to the tasks. Columns that no
     tree looks at contribute 0. Rows that repeat are explained each; an empty table has no rows.
     """
@@ -156,6 +157,7 @@ def tree_shapley_values(model: PipelineModel, df: DataFrame, features: Sequence[
                 pa.array(got.ravel()), pa.array(np.full(got.size, base))], names=[key, "feature", "contribution", "base_value"])
 
     rows = df if max_samples is None else sample_rows(df, max_samples, seed, [key])
+    rows = spread(rows, rows.count(), key)  # however few files or row groups they come from
     schema = StructType([StructField(key, df.schema[key].dataType), StructField("feature", StringType()),
                          StructField("contribution", DoubleType()), StructField("base_value", DoubleType())])
     return inputs(rows).mapInArrow(explain, schema)

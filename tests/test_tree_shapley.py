@@ -64,3 +64,11 @@ def test_exact(spark, estimator, output):
     assert np.abs(table.sum(axis=1) - (whole - base)).max() < 1e-9
     assert (table[:, 3] == 0).all() and np.abs(table[:, :3]).max() > 0.01
     assert tree_shapley_values(model, df.where("false"), FEATURES, "id").count() == 0
+
+
+def test_rows_of_one_partition_are_spread(spark):
+    df = spark.range(0, 60_000, 1, 1).selectExpr("id", "id % 10 * 1.0D AS a", "id % 10 * 2.0D AS y")
+    pre = am.build_preprocessor(df, ["a"])
+    model = am.Pipeline(stages=[*pre.getStages(), RandomForestRegressor(labelCol="y", numTrees=1, maxDepth=2, seed=1)]).fit(df)
+    got = tree_shapley_values(model, df, ["a"], "id", max_background=3)
+    assert got.rdd.getNumPartitions() == 3 and got.count() == 60_000
