@@ -178,11 +178,26 @@ class _Growing:
 
 
 def _matrix(batch: pa.RecordBatch, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, columns)
+    column = batch.column("bins")
+    start = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0]  # rows of one length lie one after the other
+    bins = np.frombuffer(column.buffers()[2], np.uint8, batch.num_rows * columns, start).reshape(-1, columns)
     margins = np.asarray(batch.column("margins").flatten()).reshape(batch.num_rows, -1)
     return bins, batch.column("label").to_numpy(), margins
 
 
+def _binaries(x: np.ndarray) -> pa.Array:
+    """The rows of a byte matrix."""
+    x = np.ascontiguousarray(x)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix of doubles."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(x, float).ravel()))
+
+
 def histograms(table: DataFrame, model: BoostModel, done: int, trees: Sequence[Tree], wanted: Sequence[tuple[int, int]], bins: int) -> dict[tuple[int, int], np.ndarray]:
     """{(class, node): (columns, bins, [gradient, Hessian, rows])} over the whole table; ``done`` rounds are in its margins."""
     columns = len(model.columns)
@@ -202,9 +217,10 @@ def histograms(table: DataFrame, model: BoostModel, done: int, trees: Sequence[T
                 at = {k: trees[k].nodes(x) for k in {k for k, _ in own}}
                 for i, (k, node) in enumerate(own):
                     rows = np.flatnonzero(at[k] == node)
+                    gradient, hessian = g[rows, k], h[rows, k]
                     for c in range(columns):
                         b = x[rows, c]
-                        for j, weights in enumerate((g[rows, k], h[rows, k], None)):
+                        for j, weights in enumerate((gradient, hessian, None)):
                             total[i, c, :, j] += np.bincount(b, weights, bins)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
@@ -241,8 +257,8 @@ def _binned(df: DataFrame, model: BoostModel, label: str) -> DataFrame:
             *columns, y = columns_of(batch)
             kept = ~np.isnan(y)
             x = model.binned(columns)[kept]
-            rows = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows, pa.array(y[kept]), pa.array([model.base] * len(x), pa.list_(pa.float64()))], names=["bins", "label", "margins"])
+            base = np.tile(np.array(model.base), (len(x), 1))
+            yield pa.RecordBatch.from_arrays([_binaries(x), pa.array(y[kept]), _lists(base)], names=["bins", "label", "margins"])
 
     return values.mapInArrow(work, BINNED)
 
@@ -261,7 +277,7 @@ def _with_margins(table: DataFrame, model: BoostModel, done: int) -> DataFrame:
             if batch.num_rows:
                 x, _, margins = _matrix(batch, len(model.columns))
                 now = model.margins(x, margins, done)
-                yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("label"), pa.array(list(now), pa.list_(pa.float64()))], names=["bins", "label", "margins"])
+                yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("label"), _lists(now)], names=["bins", "label", "margins"])
 
     return table.mapInArrow(work, BINNED)
 
@@ -324,7 +340,7 @@ def boost_predict(model: BoostModel, df: DataFrame, name: str = "probability", p
         for batch in batches:
             values = [batch.column(len(kept) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(inputs))]
             p = model.probabilities(model.margins(model.binned(values)))
-            found = [pa.array(p[:, 0])] if regression else [pa.array(list(p), pa.list_(pa.float64())), pa.array(p.argmax(axis=1).astype(np.int32))]
+            found = [pa.array(p[:, 0])] if regression else [_lists(p), pa.array(p.argmax(axis=1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *found], names=[*(f.name for f in kept), *(e.name for e in extra)])
 
     return own.mapInArrow(work, StructType([*kept, *extra]))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -170,3 +171,13 @@ def test_values_beyond_the_cuts_and_split_table(spark):
     assert (root["column"], root["cut"]) == ("a", 119.0) and model.split_text(model.rounds[0][0], 0) == "a <= 119.0"
     far = spark.createDataFrame([(-1e300,), (math.inf,)], "a double")
     assert [r["prediction"] for r in boost_predict(model, far).orderBy("a").collect()] == [0, 1]
+
+
+def test_rows_as_arrow_buffers():
+    """Matrices become columns and back, also of a slice, without an object a row."""
+    x, m = np.arange(12, dtype=np.uint8).reshape(6, 2), np.arange(18, dtype=float).reshape(6, 3)
+    assert boosting._binaries(x[::-1]).to_pylist() == [bytes(r) for r in x[::-1]] and boosting._lists(m[:, :2]).to_pylist() == m[:, :2].tolist()
+    batch = pa.RecordBatch.from_arrays([boosting._binaries(x), pa.array(m[:, 0]), boosting._lists(m)], names=["bins", "label", "margins"])
+    for own, at in ((batch, slice(0, 6)), (batch.slice(2, 3), slice(2, 5)), (batch.slice(6), slice(6, 6))):
+        bins, label, margins = boosting._matrix(own, 2) if own.num_rows else (x[at], m[at, 0], m[at])
+        assert (bins == x[at]).all() and (label == m[at, 0]).all() and (margins == m[at]).all()
