@@ -12,6 +12,9 @@ from prepkit.streaming.alerts import suppress_stream
 from prepkit.streaming.drift import drift_stream as start_drift
 from prepkit.streaming.scoring import predict_stream as score
 
+#: States that the signatures of ``suppress_repeats_stream`` share.
+GROUPS = 1 << 12
+
 
 def _drain(writer, checkpoint):
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -34,7 +37,7 @@ def drift_stream(spark, d):
 
 def suppress(spark, d):
     home = scratch(spark)
-    sent = suppress_stream(stream(spark, d, "events"), ["event_type", "user_id"], "ts", 300)
+    sent = suppress_stream(stream(spark, d, "events"), ["event_type", "user_id"], "ts", 300, groups=GROUPS)
     _drain(sent.writeStream.outputMode("append").format("parquet").option("path", f"{home}/out"), f"{home}/state")
     return spark.read.parquet(f"{home}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

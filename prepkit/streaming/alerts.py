@@ -124,29 +124,41 @@ _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFor
 
 
 class _Suppressor(StatefulProcessor):
-    """Per signature the time of the last alert sent, until the watermark has passed its window."""
+    """Per group of signatures the time of the last alert sent of each, until the watermark has passed its window.
+
+    Signatures whose windows are over leave with the next alert of their group, or with the timer of its last window.
+    """
 
     def __init__(self, micros: int) -> None:
         self.micros = micros
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t bigint")
+        self.last = handle.getListState("last", "sig string, t bigint")
 
     def _end(self, last: int) -> int:
         return -(-(last + self.micros) // 1000)  # timers are in milliseconds
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        times = np.sort(np.concatenate([b["t"].to_numpy() for b in rows]))
-        last = self.last.get()[0] if self.last.exists() else None
-        start = 0 if last is None else int(np.searchsorted(times, last + self.micros, side="left"))
-        kept = times[_chain(times, start, self.micros)]
-        if len(kept):
-            if last is not None:
-                self.handle.deleteTimer(self._end(last))
-            self.last.update((int(kept[-1]),))
-            self.handle.registerTimer(self._end(int(kept[-1])))
-            yield pd.DataFrame({"sig": key[0], "t": kept})
+        events = pd.concat([b[["sig", "t"]] for b in rows]).sort_values("t")
+        last = dict(self.last.get())
+        timer = self._end(max(last.values())) if last else None
+        keep = []
+        for sig, t in zip(events["sig"].tolist(), events["t"].tolist(), strict=True):
+            kept = sig not in last or t >= last[sig] + self.micros
+            keep.append(kept)
+            if kept:
+                last[sig] = t
+        if any(keep):
+            live = [(sig, t) for sig, t in last.items() if self._end(t) > timerValues.getCurrentWatermarkInMs()]
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if live:
+                self.last.put(live)
+                self.handle.registerTimer(self._end(max(t for _, t in live)))
+            else:
+                self.last.clear()
+            yield events[np.array(keep)]
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -156,7 +168,8 @@ class _Suppressor(StatefulProcessor):
         pass
 
 
-def suppress_stream(stream: DataFrame, signature: Sequence[str], ts: str, window_seconds: int = 300, late: str | None = "10 minutes") -> DataFrame:
+def suppress_stream(stream: DataFrame, signature: Sequence[str], ts: str, window_seconds: int = 300, late: str | None = "10 minutes",
+                    groups: int | None = None) -> DataFrame:
     """Live form: the state is the time of the last alert sent per signature, and ends with its window.
 
     An event may come ``late`` behind the newest one seen (None: the stream has a watermark on ``ts``); beyond
@@ -164,12 +177,17 @@ def suppress_stream(stream: DataFrame, signature: Sequence[str], ts: str, window
     its signature's window is a repeat. Once the watermark has passed a window's end, a timer clears the
     signature: whatever is still let in is newer. State so covers the signatures of window + late, however many
     the stream has had. Needs the RocksDB state store, which ``configure`` sets.
+
+    A call of the operator costs some milliseconds. ``groups`` (fixed for a checkpoint) lets signatures share so many states
+    by their hash, so that a batch costs a call a group, whatever its signatures; None keeps a state a signature. The alerts
+    are the same. A group holds its own events of one batch.
     """
     keys = [F.col(k) for k in signature]
     timed = stream.select(F.to_json(F.struct(*keys), _EXACT).alias("sig"), (F.col(ts).cast("timestamp") if late else F.col(ts)).alias("at"))
     timed = timed.withWatermark("at", late) if late else timed
     base = timed.withColumn("t", F.unix_micros("at")).filter("t IS NOT NULL")  # names that a tuple can have, and one key that is never null
-    sent = base.groupBy("sig").transformWithStateInPandas(
+    base = base.withColumn("part", F.col("sig") if groups is None else F.pmod(F.xxhash64("sig"), F.lit(groups)))
+    sent = base.groupBy("part").transformWithStateInPandas(
         _Suppressor(window_seconds * 1_000_000), "sig string, t bigint", "append", "eventTime")
     schema = stream.select(*signature).schema
     return sent.select(F.from_json("sig", schema, _EXACT).alias("k"), F.timestamp_micros("t").alias(ts)).select("k.*", ts)

@@ -182,6 +182,35 @@ def test_suppression_state_ends(spark, tmp_path):
     assert held == [['{"s":"a"}', '{"s":"b"}', "{}"], ['{"s":"a"}'], ['{"s":"b"}'], ['{"s":"b"}', '{"s":"d"}']]
 
 
+def test_suppression_with_shared_states(spark, tmp_path):
+    """Signatures that share states: the alerts of a state each, late events and restarts included, in a bounded number of states."""
+    source, got, left = f"{tmp_path}/in", {}, {}
+    rng = np.random.RandomState(3)
+    files = [[(f"s{int(s)}", int(t)) for s, t in zip(rng.randint(0, 60, 400), rng.randint(lo, lo + 1500, 400), strict=True)] for lo in (0, 900, 1800, 9000)]
+    files[1] += [(None, 1000), (None, 1100), ("s1", None)]
+    for rows_ in files:
+        new = spark.createDataFrame(rows_, "s string, t bigint").select("s", F.timestamp_seconds(F.col("t") + 10**6).alias("ts"))
+        new.coalesce(1).write.mode("append").parquet(source)
+        for groups in (None, 7):
+            live = spark.readStream.schema("s string, ts timestamp").parquet(source)
+            sent = suppress_stream(live, ["s"], "ts", 300, late="10 minutes", groups=groups)
+            (sent.writeStream.format("parquet").option("path", f"{tmp_path}/out{groups}").option("checkpointLocation", f"{tmp_path}/state{groups}")
+             .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    for groups in (None, 7):
+        got[groups] = sorted(rows(spark.read.parquet(f"{tmp_path}/out{groups}").select(F.coalesce("s", F.lit("")), F.unix_seconds("ts") - 10**6)))
+        left[groups] = spark.read.format("statestore").option("path", f"{tmp_path}/state{groups}").option("stateVarName", "last").load().select("key").distinct().count()
+    assert got[7] == got[None] and ("", 1000) in got[7] and ("", 1100) not in got[7]
+    want, newest, at = {}, 0, []
+    for rows_ in files:  # each run ends with a batch without data, after which the watermark holds
+        for s, t in sorted((s or "", t) for s, t in rows_ if t is not None and (not newest or t > newest - 600)):
+            if t >= want.get(s, -(10**9)) + 300:
+                want[s] = t
+                at.append((s, t))
+        newest = max(newest, max(t for _, t in rows_ if t is not None))
+    assert got[7] == sorted(at)
+    assert left[7] <= 7 < left[None]
+
+
 def test_train_job(spark, tmp_path):
     rng = np.random.RandomState(0)
     pdf = pd.DataFrame({"id": range(200), "a": rng.rand(200), "b": rng.rand(200)})
