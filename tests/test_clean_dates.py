@@ -1,6 +1,8 @@
 import datetime as dtm
+import itertools
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from prepkit.functions import text as tx
 from prepkit.operators import clean as cl
 from prepkit.operators import dates as dt
+from prepkit.operators import quantiles
 from prepkit.operators.clean import CleanConfig
 from tests.conftest import rows
 
@@ -124,3 +127,44 @@ def test_detect_by_text(spark):
     df = spark.createDataFrame([("2024-01-01", "hello", "1.5")] * 5, "d string, t string, n string")
     assert dt.detect_datetime_cols(df) == ["d"]
     assert pd.Timestamp("2024-01-01") == cl.coerce_dates(df).first()["d"]
+
+
+def test_shapes_equal_the_plain_rules(spark):
+    """Number shapes turn away dates before the cast, spaces are matched letter by letter; no value changes."""
+    texts = ["".join(p) for n in range(4) for p in itertools.product("-+().,'  1eE", repeat=n)]
+    texts += [a + b for a in ("1996-09-13", "(1,234.5)", "-1'000e-2", "inf", "-Infinity", "1e", "5-", "( 5 )", "1.000.000", "1e1.000") for b in ("", " ", "\n", "0", ")", " ")]
+    c, plain = F.col("s"), r"^[-+().,'  \deE]+$|^(?i)[-+]?inf(inity)?$"
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for thousands in (True, False):
+        want = F.when(c.rlike(plain), tx.number_text(c, thousands).try_cast("double"))
+        assert df.filter(~tx.parse_number(c, thousands).eqNullSafe(want)).count() == 0
+    assert df.filter(c.rlike(plain) & c.rlike(r"^\d{4}-\d")).count() and not df.filter(c.rlike(tx._NUMBER_SHAPE) & c.rlike(r"^\d{4}-\d")).count()
+    spaces = ["".join(p) for n in range(6) for p in itertools.product(" \t  \x85a", repeat=n)]
+    df = spark.createDataFrame([(t,) for t in spaces], "s string")
+    assert df.filter(F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " ") != F.regexp_replace(c, tx.SPACE_RUN, " ")).count() == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_fills_and_limits_share_their_passes(spark, monkeypatch, small):
+    """Limits of the filled columns from the passes of the medians, equal to a second run over the filled table."""
+    if small:
+        monkeypatch.setattr(quantiles, "COUNTED", 64)
+        monkeypatch.setattr(quantiles, "GATHERED", 50)
+        monkeypatch.setattr(quantiles, "sketches", lambda df, cols, whole=quantiles.sketches: whole(df, cols, 64))
+    rng = np.random.RandomState(5)
+    n = 4000
+    pdf = pd.DataFrame({"most": np.where(rng.rand(n) < 0.7, np.nan, rng.randn(n)), "few": np.where(rng.rand(n) < 0.01, np.nan, rng.rand(n)),
+                        "ties": np.where(rng.rand(n) < 0.3, np.nan, rng.randint(0, 3, n)), "none": np.full(n, np.nan), "whole": rng.randint(0, 1000, n),
+                        "one": np.where(np.arange(n) == 7, 2.5, np.nan), "ends": np.where(np.arange(n) < 2, [(-1) ** i * math.inf for i in range(n)], np.nan)})
+    df = spark.createDataFrame(pdf).withColumns({"gaps": F.expr("CASE WHEN whole % 3 > 0 THEN whole * 2 + 1 END"), "none": F.lit(None).cast("double")})
+    cols = df.columns
+    for lo, hi in ((0.01, 0.99), (0.4, 0.6), (0.0, 1.0)):
+        fills = cl.fill_values(df, cols, "median")
+        limits = cl.clip_limits(cl.fill_numeric(df, fills), lo, hi, cols)
+        got = cl.fills_and_limits(df, cols, lo, hi)
+        assert repr(sorted(got[0].items())) == repr(sorted(fills.items())) and repr(sorted(got[1].items())) == repr(sorted(limits.items()))
+    calls = []
+    plain = quantiles.sketches
+    monkeypatch.setattr(quantiles, "sketches", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    cl.decide(df, CleanConfig(clip_quantiles=(0.01, 0.99)))
+    assert len(calls) == 1
