@@ -207,16 +207,35 @@ def _curve(discount: float) -> np.ndarray:
 def _long_scores(n: int, base: float, others: float, discount: float, strength: float) -> np.ndarray:
     """Log weights of 1, 2, .. tables of n customers beyond TABULATED, to where they are negligible.
 
-    R(n, t) = S(n, t) (t - 1)! a^(t - 1) / S(n, 1) is a mean of R(n - 1, t) and R(n - 1, t - 1): each of t - 1 is left out
-    at a rate of a / n. Hence R(n, t) is the mean of R(TABULATED, 1 + X) for X of a binomial law, taken here to second order.
+    R(n, t) = S(n, t) (t - 1)! a^(t - 1) / S(n, 1) is a mean of R(n - 1, t) and R(n - 1, t - 1): one of t - 1 is left out
+    at a rate of a / (n - 1 - a) each. Hence R(n, t) is the mean of R(TABULATED, 1 + X) for the number X that stays, of which
+    all factorial moments are known. X is taken as the binomial law of its mean and variance, the mean by a saddle point.
     """
+
+    def staying(k: int) -> float:
+        """The k-th factorial moment of X over that of t - 1: a quotient of gamma functions, by their series."""
+        c = -k * discount
+        to, since = (c * np.log(x) + c * (c - 1) / (2 * x) - c * (c - 1) * (2 * c - 1) / (12 * x * x) for x in (n - discount, TABULATED - discount))
+        return float(np.exp(to - since))
+
+    one, two = staying(1), staying(2)
     most = (strength + discount * others) * base / (discount * max(1 - base, 1e-6)) + 1
-    stay = ((TABULATED - discount) / (n - discount)) ** discount
-    top = int(min(n, most + 12 * most**0.5 + 60, 1 + (TABULATED - 2) / stay))
+    top = int(min(n, most + 12 * most**0.5 + 60, 1 + (TABULATED - 2) / one))
     t = np.arange(1, top + 1)
-    h, h1, h2 = (np.interp((t - 1) * stay, np.arange(TABULATED), c) for c in _curve(discount))
+    mean = (t - 1) * one
+    variance = mean + (t - 1.0) * (t - 2) * two - mean * mean
+    stay = np.clip(1 - variance / np.maximum(mean, one), 1e-9, 1 - 1e-9)
+    trials, x = mean / stay, mean
+    h, h1, h2 = ((lambda x, c=c: np.interp(x, np.arange(TABULATED), c)) for c in _curve(discount))
+    for _ in range(30):
+        odds = stay * np.exp(h1(x))
+        x = (x + trials * odds / (1 - stay + odds)) / 2
+    tilt = h1(x)
+    odds = stay * np.exp(tilt)
+    spread = trials * odds * (1 - stay) / (1 - stay + odds) ** 2
+    body = h(x) - tilt * x + trials * np.log1p(stay * np.expm1(tilt)) - np.log1p(np.maximum(-h2(x) * spread, -0.9)) / 2
     new = np.log(strength + discount * (others + t - 1)) + np.log(base) - np.log(np.where(t > 1, discount * (t - 1), 1))
-    return np.cumsum(new) + h + (h2 + h1 * h1) * (t - 1) * stay * (1 - stay) / 2
+    return np.cumsum(new) + body
 
 
 class Model(NamedTuple):

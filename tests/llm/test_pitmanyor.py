@@ -165,6 +165,20 @@ def test_tables_of_many_customers(n, base, others, a):
     assert np.abs(got - want).sum() < 0.05
 
 
+@pytest.mark.parametrize(("n", "base", "others", "a"), [(3000, 0.5, 800, 0.2), (1500, 0.7, 400, 0.4), (2000, 0.3, 1500, 0.5)])
+def test_tables_of_many_customers_with_many_tables(n, base, others, a):
+    """Hundreds of tables, where those that stay are far from a law of independent ones."""
+    t = np.arange(1501)
+    weights = np.where(t == 1, 0.0, -np.inf)
+    with np.errstate(divide="ignore"):
+        opened = np.log((1.0 + a * (others + t)) * base)
+        for i in range(1, n):
+            weights = np.logaddexp(weights + np.log(np.maximum(i - a * t, 0)), np.concatenate([[-np.inf], (weights + opened)[:-1]]))
+    want, got = (np.exp(s - s.max()) for s in (weights, pitmanyor._long_scores(n, base, others, a, 1.0)))
+    want, got = want / want.sum(), np.pad(got / got.sum(), (1, 1500 - len(got)))
+    assert abs((t * got).sum() / (t * want).sum() - 1) < 0.003 and np.abs(got - want).sum() < 0.05
+
+
 def test_token_hashes_do_not_cross_texts():
     texts = ["ab", "c", "", None, " a\tb ", "AB", "Ab c", "x" * 10_000, "x" * 10_001, "y" * 4096 + "x" * 100, "x" * 100 + "y" * 4096]
     tokens, sizes = pitmanyor.token_hashes(pa.array(texts))
