@@ -35,6 +35,8 @@ from prepkit.llm.common import fresh_path, written
 ADDED, FOLDS = 0.1, 10
 #: Tokens of a block, bytes of text a shard has (about), buckets of the shards' table at most.
 BLOCK_TOKENS, SHARD_BYTES, BUCKETS = 2_000_000, 16 << 20, 2_000
+#: Bytes of text (about, and a token at least) whose hashes are taken at once: each needs some 50 bytes meanwhile.
+HASHED_BYTES = 1 << 18
 #: Documents (about) that frequent tokens are looked for in, and how many of these there can be.
 SAMPLE_DOCS, FREQUENT = 4_000, 16_384
 #: Rounds, and in each round sweeps; draws that the last round keeps; strengths of contexts and parent.
@@ -78,16 +80,17 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     fresh[offsets[:-1]] = True
     begin = np.flatnonzero(inside & fresh[:-1])
     words = np.diff(np.searchsorted(begin, offsets))
-    hashes = np.zeros(0, np.uint64)
-    if len(begin):
-        codes, inside = codes[begin[0] :], inside[begin[0] :]
-        begin = begin - begin[0]
-        place = np.arange(len(codes), dtype=np.int64) - np.repeat(begin, np.diff(begin, append=len(codes)))
-        parts = _CODES[codes] * _POWERS[place & ((1 << _POWER_BITS) - 1)]
+    hashes = np.empty(len(begin), np.uint64)
+    ends = np.append(begin, len(codes))
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, len(codes), HASHED_BYTES)), len(begin)))
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        part, word, at = codes[ends[i] : ends[j]], inside[ends[i] : ends[j]], begin[i:j] - begin[i]
+        place = np.arange(len(part), dtype=np.int64) - np.repeat(at, np.diff(at, append=len(part)))
+        parts = _CODES[part] * _POWERS[place & ((1 << _POWER_BITS) - 1)]
         if place.max() >> _POWER_BITS:
             parts *= mixed((place >> _POWER_BITS).astype(np.uint64)) | np.uint64(1)
-        parts[~inside] = 0
-        hashes = mixed(np.add.reduceat(parts, begin) + np.add.reduceat(inside, begin, dtype=np.uint64))
+        parts[~word] = 0
+        hashes[i:j] = mixed(np.add.reduceat(parts, at) + np.add.reduceat(word, at, dtype=np.uint64))
     tokens = np.full(len(hashes) + len(words), END)
     tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(words)), words)] = hashes
     return tokens, words + 1
@@ -105,40 +108,47 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each among them; np.unique needs twice the memory."""
+    order = np.argsort(x)
+    x = x[order]
+    starts = _runs(x)
+    place = np.empty(len(x), np.int32)
+    place[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(x)))
+    return x[starts], place
+
+
 def messages(tokens: np.ndarray, sizes: np.ndarray, learn: np.ndarray, frequent: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
     """(shard, data) of a block: its pairs sorted by token and context, with counts and documents."""
-    first = np.cumsum(sizes) - sizes
-    context = np.empty_like(tokens)
-    context[1:], context[first] = tokens[:-1], BOS
-    context = (context >> np.uint64(32)).astype(np.uint32)
-    docs = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-    learned = np.repeat(learn, sizes)
-
-    def parts(w: np.ndarray, u: np.ndarray, own: np.ndarray, shard: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """Of tokens sorted by shard, token and context."""
-        pair = _runs(shard, w, u)
-        counts, learned_counts = np.diff(pair, append=len(w)), _sums(learned[own], pair)
-        for a, b in _slices(_runs(shard[pair]), len(pair)):
-            word = _runs(w[pair[a:b]])
-            yield int(shard[pair[a]]), pack(w[pair[a:b]][word], small(np.diff(word, append=b - a)), u[pair[a:b]], small(counts[a:b]), small(learned_counts[a:b]),
-                                            small(docs[own[pair[a] : pair[b - 1] + counts[b - 1]]]))
-
-    words, place = np.unique(tokens, return_inverse=True)
-    place = place.astype(np.int32)
-    known = np.isin(words, frequent)[place]
-    own = np.flatnonzero(known)
-    if len(own):
-        shard = (mixed(tokens[own] + mixed(context[own].astype(np.uint64))) % np.uint64(shards)).astype(np.int64)
-        order = np.lexsort((context[own], tokens[own], shard))
-        yield from parts(tokens[own][order], context[own][order], own[order], shard[order])
-    own = np.flatnonzero(~known)
-    if len(own):
-        shard = (mixed(words) % np.uint64(shards)).astype(np.int32 if shards < 2**31 else np.int64)
-        by = np.lexsort((words, shard))
-        rank = np.empty(len(by), np.uint64)
-        rank[by] = np.arange(len(by), dtype=np.uint64)
-        own = own[np.argsort((rank[place[own]] << np.uint64(32)) | context[own])]
-        yield from parts(tokens[own], context[own], own, shard[place[own]])
+    context = np.empty(len(tokens), np.uint32)
+    context[1:] = tokens[:-1] >> np.uint64(32)
+    context[np.cumsum(sizes) - sizes] = BOS >> np.uint64(32)
+    words, place = _ranked(tokens)
+    del tokens  # a block's arrays are let go as soon as they are used: two workers share an executor
+    keys = place.astype(np.uint64)
+    del place
+    keys <<= np.uint64(32)
+    keys |= context
+    del context
+    order = np.argsort(keys)
+    keys = keys[order]
+    pair = _runs(keys)
+    keys = keys[pair]
+    docs = small(np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)[order])
+    del order
+    counts, learned_counts = np.diff(pair, append=len(docs)), _sums(learn[docs], pair)
+    place, u = (keys >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32)
+    del keys
+    shard = (mixed(words) % np.uint64(shards)).astype(np.min_scalar_type(shards))[place]
+    known = np.flatnonzero(np.isin(words, frequent)[place])
+    shard[known] = mixed(words[place[known]] + mixed(u[known].astype(np.uint64))) % np.uint64(shards)
+    by = np.argsort(shard, kind="stable")
+    for a, b in _slices(_runs(shard[by]), len(by)):
+        own = by[a:b]
+        n, word = counts[own], _runs(place[own])
+        ends = np.cumsum(n)
+        at = np.repeat(pair[own] - ends + n, n) + np.arange(ends[-1])
+        yield int(shard[own[0]]), pack(words[place[own][word]], small(np.diff(word, append=b - a)), u[own], small(n), small(learned_counts[own]), small(docs[at]))
 
 
 def _slices(starts: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
@@ -151,13 +161,13 @@ def merged(table: pa.Table) -> pa.Table:
     if shard < 0:
         return pa.table({"shard": [shard], "pairs": pa.array([None], pa.binary()), "tokens": table["data"].combine_chunks()[:1]})
     blocks, data = table["block"].to_pylist(), [unpack(d.as_py()) for d in table["data"]]
-    w = np.concatenate([np.repeat(d[0], d[1]) for d in data])
-    u, learned = (np.concatenate([d[i] for d in data]) for i in (2, 4))
-    words, place = np.unique(w, return_inverse=True)
-    keys, at = np.unique((place.astype(np.uint64) << np.uint64(32)) | u, return_inverse=True)
-    counts = np.bincount(at, learned, len(keys)).astype(np.int64)
+    words = np.unique(np.concatenate([d[0] for d in data]))
+    keys = np.concatenate([(np.repeat(np.searchsorted(words, d[0]), d[1]).astype(np.uint64) << np.uint64(32)) | d[2] for d in data])
+    keys, at = _ranked(keys)
+    counts = np.bincount(at, np.concatenate([d[4] for d in data]), len(keys)).astype(np.int64)
     per_word = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(words))
     pairs = pack(words, small(per_word), keys.astype(np.uint32), small(counts))
+    del keys, counts
     cuts = np.cumsum([len(d[2]) for d in data])[:-1]
     tokens = [(b, small(np.diff(own, prepend=0)), d[3], d[5]) for b, own, d in zip(blocks, np.split(at, cuts), data, strict=True)]
     return pa.table({"shard": [shard], "pairs": pa.array([pairs], pa.binary()), "tokens": pa.array([pack(tokens)], pa.binary())})
@@ -267,11 +277,11 @@ class Shard:
     def __init__(self, pairs: bytes, frequent: np.ndarray) -> None:
         self.words, per_word, self.u, counts = unpack(pairs)
         self.counts = counts.astype(np.int64)
-        self.word = np.repeat(np.arange(len(self.words)), per_word)
+        self.word = np.repeat(np.arange(len(self.words), dtype=np.int32), per_word)
         spot = np.minimum(np.searchsorted(frequent, self.words), max(0, len(frequent) - 1))
         self.frequent = frequent[spot] == self.words if len(frequent) else np.zeros(len(self.words), bool)
         self.spot = spot
-        self.contexts, self.context = np.unique(self.u, return_inverse=True)
+        self.contexts, self.context = _ranked(self.u)
 
     def per_word(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, x, len(self.words)).astype(np.int64)
@@ -384,10 +394,17 @@ def _scores(shard: Shard, tokens: bytes, answers: pa.Table, shards: int, model:
         tables[several] = state[2 * k]
         customers = shard.of_word(shard.per_word(tables), model.frequent_customers[:, k])
         root = shard.of_word(state[2 * k + 1].astype(np.int64), model.frequent_tables[:, k])
-        rest = STRENGTH + model.discount * tables_of_context[k][shard.context]
-        probability += (np.maximum(shard.counts - model.discount * tables, 0) + rest * model.parent(customers, root, k)[shard.word]) / total / draws
+        seen = np.maximum(shard.counts - model.discount * tables, 0)
+        del tables
+        more = (STRENGTH + model.discount * tables_of_context[k])[shard.context]
+        more *= model.parent(customers, root, k)[shard.word]
+        seen += more
+        seen /= total
+        seen /= draws
+        probability += seen
+    del total, more, seen
     of_word = shard.of_word(shard.per_word(shard.counts), model.counts)
-    score, base, known = np.log10(probability), model.base(of_word)[shard.word], (of_word > 0)[shard.word]
+    score, base, known = np.log10(probability, out=probability), model.base(of_word)[shard.word], (of_word > 0)[shard.word]
     for block, steps, counts, docs in unpack(tokens)[0]:
         at = np.repeat(np.cumsum(steps.astype(np.int64)), counts)
         own, place = np.unique(docs, return_inverse=True)
@@ -451,10 +468,12 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         number, kept = TaskContext.get().partitionId() << 32, []
 
         def sent() -> Iterator[pa.RecordBatch]:
-            tokens, sizes, flags = (np.concatenate([k[i] for k in kept]) for i in (0, 1, 2))
-            for shard, data in messages(tokens, sizes, ~flags, frequent, shards):
+            sizes, flags, ids = *(np.concatenate([k[i] for k in kept]) for i in (1, 2)), pa.concat_arrays([k[3] for k in kept])
+            found = messages(np.concatenate([k[0] for k in kept]), sizes, ~flags, frequent, shards)
+            kept.clear()
+            for shard, data in found:
                 yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([data], pa.binary())], names=["shard", "block", "data"])
-            docs = pack(pa.concat_arrays([k[3] for k in kept]), sizes, flags)
+            docs = pack(ids, sizes, flags)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([docs], pa.binary())], names=["shard", "block", "data"])
 
         for batch in batches:
@@ -463,7 +482,7 @@ def pitman_yor_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept.append((tokens, sizes, batch.column("held").to_numpy(zero_copy_only=False), batch.column("id")))
             if sum(len(k[0]) for k in kept) >= BLOCK_TOKENS:
                 yield from sent()
-                number, kept = number + 1, []
+                number += 1
         if kept:
             yield from sent()
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -179,6 +180,28 @@ def test_tables_of_many_customers_with_many_tables(n, base, others, a):
     assert abs((t * got).sum() / (t * want).sum() - 1) < 0.003 and np.abs(got - want).sum() < 0.05
 
 
+def _most_bytes(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block():
+    """Two workers share an executor: bytes that a token of a block, and a byte of text, take at most."""
+    n = 500_000
+    tokens = np.random.default_rng(1).zipf(1.3, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sizes, frequent = np.full(n // 500, 500), np.unique(tokens)[:50]
+    found = _most_bytes(lambda: [(shard, sum(map(int, pitmanyor.unpack(data)[3]))) for shard, data in pitmanyor.messages(tokens, sizes, np.ones(len(sizes), bool), frequent, 300)])
+    assert found[0] < 45 * n
+    assert sum(c for _, c in found[1]) == n and sorted(s for s, _ in found[1]) == sorted({s for s, _ in found[1]}) and max(s for s, _ in found[1]) > 255
+    text = " ".join(map(str, range(400_000)))
+    most, (hashes, _) = _most_bytes(lambda: pitmanyor.token_hashes(pa.array([text])))
+    assert most < 25 * len(text) and len(set(hashes.tolist())) == 400_001
+
+
 def test_token_hashes_do_not_cross_texts():
     texts = ["ab", "c", "", None, " a\tb ", "AB", "Ab c", "x" * 10_000, "x" * 10_001, "y" * 4096 + "x" * 100, "x" * 100 + "y" * 4096]
     tokens, sizes = pitmanyor.token_hashes(pa.array(texts))
