@@ -32,6 +32,25 @@ def test_pieces_are_the_librarys(enc):
             assert np.frombuffer(ids, "<u4").tolist() == _ids(enc, text), text
 
 
+def test_pieces_with_punctuation_are_the_librarys():
+    rng = random.Random(7)
+    parts = ["don't", "'s", "'S.", "'ll", "...", "!'", "a.'s", "_x_", "word", "Word", "ñandú", "日本", "\u0251", "\u1c89", "٣", "²", "\u0301", "<|", "|>", "\u00a0", "\t", "\u0120a", "é,", "7%", "$", "--", "😀", "\r", "\x1c", "\x85", "\u2028", "\ufeff"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", " ", "\n", "."]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for kept in (30, 400_000):
+        fresh = PieceEncoder(vocabulary_path(), kept=kept)
+        for k in range(0, len(texts), 100):
+            for text, ids in zip(texts[k : k + 100], fresh.ids(texts[k : k + 100]), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == _ids(fresh, text), text
+
+
+def test_a_stem_is_encoded_once(monkeypatch):
+    fresh, given = PieceEncoder(vocabulary_path()), []
+    block = PieceEncoder._encode_block
+    monkeypatch.setattr(PieceEncoder, "_encode_block", lambda self, pieces, lead: given.extend(pieces) or block(self, pieces, lead))
+    (ids,) = fresh.ids(["on stem stem. stem, stem;) stem"])
+    assert sorted(p.strip() for p in given) == ["on", "stem"] and np.frombuffer(ids, "<u4").tolist() == _ids(fresh, "on stem stem. stem, stem;) stem")
+
+
 def test_spliced_counts(enc):
     rng = random.Random(4)
     for _ in range(400):
