@@ -33,6 +33,10 @@ def test_search_query_asks_for_all_draws_folds_and_rounds(spark, monkeypatch):
     assert (got["trials"], got["folds"], got["rounds"]) == (30, 5, (300, 900))
 
 
+def test_candidates_query_asks_for_whole_families(spark, monkeypatch):
+    assert arguments(spark, monkeypatch, models.train_candidates, "candidates")["trees"] == 300
+
+
 def test_draws_of_all_folds(spark, monkeypatch):
     data = spark.range(0, 300, 1, 1).selectExpr("id", "id % 7 + id % 11 + 0.5D AS label", "array(id % 7 * 1.0D) AS f")
     data = data.select("id", "label", am.array_to_vector("f").alias("features"))
