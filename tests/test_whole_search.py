@@ -33,6 +33,11 @@ def test_search_query_asks_for_all_draws_folds_and_rounds(spark, monkeypatch):
     assert (got["trials"], got["folds"], got["rounds"]) == (30, 5, (300, 900))
 
 
+def test_fusion_query_asks_for_all_draws_folds_rounds_and_trees(spark, monkeypatch):
+    got = arguments(spark, monkeypatch, models.train_fusion, "train_fusion")
+    assert (got["trials"], got["folds"], got["rounds"], got["final_trees"]) == (30, 5, (300, 900), 600)
+
+
 def test_candidates_query_asks_for_whole_families(spark, monkeypatch):
     assert arguments(spark, monkeypatch, models.train_candidates, "candidates")["trees"] == 300
 
